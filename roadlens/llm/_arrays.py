@@ -11,7 +11,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Tokens handled at once, so that scratch arrays stay within a few dozen MB.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Stands for a missing doc_id: it comes after every real one.
 LAST_ID = np.iinfo(np.int64).max
 
@@ -54,6 +54,10 @@ class PrefixHash:
         raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def same(self, a: np.ndarray, b: np.ndarray, size) -> np.ndarray:
+        """Whether the stretches of `size` at a and b have equal hashes."""
+        return (self.sums[a + size] - self.sums[a]) * self.inverse[a] == (self.sums[b + size] - self.sums[b]) * self.inverse[b]
+
     def windows(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         if n <= 0:

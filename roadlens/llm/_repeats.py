@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _arrays as A
 from ._arrays import U64
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: A seed with more different runs than this is dealt out by whole windows.
 WIDE = 4096
 

@@ -29,13 +29,17 @@ class SuffixOrder:
         self.text, self.length, self.hash = text, length, A.PrefixHash(text)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many bytes the suffixes at a and b share, by binary search."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        """How many bytes the suffixes at a and b share, by binary search; most compared ones share all."""
+        n = np.full(len(a), self.length)
+        left = np.flatnonzero(~self.hash.same(a, b, self.length))
+        a, b = a[left], b[left]
+        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = self.hash.of(a, a + mid) == self.hash.of(b, b + mid)
+            same = self.hash.same(a, b, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        n[left] = lo
+        return n
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
         """a < b, or a <= b if ties."""

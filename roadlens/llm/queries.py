@@ -4,20 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_array, suffix_tree
+from . import chat, decontamination, embedding_dedup, html_text, line_dedup, mixing, ngram_join, suffix_array, suffix_tree, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(chat.with_tricky(table(spark, sf_dir, "conversations")))
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op8_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_format, op2_html_extract, op3_suffix_array_dedup, op4_source_mix, op5_toxicity, op6_line_dedup, op7_embedding_dedup, op8_substring_dedup, op9_decontamination, op10_ngram_join)
+}
+ORACLES = {"op4_source_mix": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}

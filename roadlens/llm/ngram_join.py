@@ -7,9 +7,9 @@ least estimated cost: more matches cost more shingles and leave fewer candidates
 Frequencies for the order come from a counter table of fixed size over all
 documents; any order is right, a good one is fast.
 
-Near copies link by the thousands, so pairs are not all formed. First, the
-members of a shingle are compared with its least member only; then, of what
-shares enough shingles, just those pairs that aren't known to be connected.
+Near copies link by the thousands, so pairs are not all formed. In a few turns,
+the members of a shingle are compared with one of them only; then, of what shares
+enough shingles, just those pairs that aren't known to be connected.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ MOST_MATCHES = 8
 VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Turns in which classes are compared with one other for each shingle, before the remaining pairs.
+LEADER_TURNS = 3
+#: Bytes of the sets in a block.
+BLOCK_BYTES = 16 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -97,7 +101,7 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 often = table.value[(h >> U64(64 - COUNTER_BITS)).astype(np.int64)]
                 order = np.lexsort((h, np.log2(often).astype(np.int8), row))
                 at = np.append(0, np.cumsum(n))
-                cost = np.append(0, np.cumsum((often - 1 + UNSEEN)[order]))
+                cost = np.append(0, np.cumsum((often - 1 + UNSEEN)[order], dtype=np.float64))
                 need = least_overlap(n, percent)
                 best, matches = np.full(j - i, np.inf), np.ones(j - i, np.int64)
                 for m in range(1, MOST_MATCHES + 1):
@@ -137,61 +141,64 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "rep"), "class")
-    sets = _sets(docs, nodes, k)
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for r, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(r)
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep))
+    """The pairs (a, b) of classes whose sets are similar enough.
 
-    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    Classes are dealt out to blocks, and the pairs of two blocks are verified
+    together: a set is sent once for each block that it meets, not for each pair.
+    """
+    pairs = cut(pairs)
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "rep", "n"), "class"))
+    sets = _sets(docs, nodes.select("class", "rep"), k)
+    blocks = max(1, -(-8 * (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    keyed = pairs.withColumn("x", F.least(block("a"), block("b"))).withColumn("y", F.greatest(block("a"), block("b")))
+    needed = keyed.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class")
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        have = {c: np.frombuffer(s.as_buffer(), U64) for c, s in zip(sets["class"].to_pylist(), sets["set"], strict=True)}
+        keep = []
+        for r, (a, b) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
+            x, y = have[a], have[b]
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                keep.append(r)
+        return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return cut(keyed.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInArrow(run, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of `features` that connect all that similar pairs connect."""
     classes = cut(found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("prefix").alias("prefix")))
     sent = classes.select(F.explode("prefix").alias("token"), "class", "n", "matches")
-    heads = sent.groupBy("token").agg(F.count("*").alias("f"), F.min(F.struct("class", "n", "matches")).alias("head")).filter("f > 1")
-    shared = cut(sent.join(heads.select("token", "head"), "token"))
+    shared = cut(sent.join(sent.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    label = shared.select("class", F.col("class").alias("label")).limit(0)
+    tested = links = label.toDF("a", "b")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    first = (
-        shared.filter((F.col("class") != F.col("head.class")) & alike(F.col("n"), F.col("head.n")))
-        .groupBy(F.col("head.class").alias("a"), F.col("class").alias("b"))
-        .agg(F.count("*").alias("met"), F.min(F.least("matches", "head.matches")).alias("least"))
-        .filter("met >= least")
-        .select("a", "b")
-    )
-    first = cut(first)
-    links = _verified(docs, first, classes, k, percent)
-    # a label that a node shares with others is proof of a connection
-    up = cut(links.groupBy("b").agg(F.min("a").alias("a")))
-    label = up.join(up.select(F.col("b").alias("a"), F.col("a").alias("c")), "a", "left").select(F.col("b").alias("class"), F.coalesce("c", "a").alias("label"))
-    named = shared.drop("head").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = cut(named)
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """Pairs that meet in enough shingles and weren't looked at before."""
+        met = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least").select("a", "b")
+        return met.join(tested, ["a", "b"], "left_anti")
+
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    for turn in range(LEADER_TURNS):
+        named = shared.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        heads = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "label", "n", "matches")).alias("head")).filter("lo <> hi")
+        met = named.join(heads.select("token", "head"), "token").filter((F.col("label") != F.col("head.label")) & alike(F.col("n"), F.col("head.n")))
+        new = cut(enough(met.select(*pair("class", "head.class"), F.least("matches", "head.matches").alias("least"))))
+        links = cut(links.unionByName(_verified(docs, new, classes, k, percent)))
+        tested = cut(tested.unionByName(new))
+        label = cut(components(links).withColumnsRenamed({"node": "class", "root": "label"}))
+    named = shared.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = named.join(mixed, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
-    second = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")))
-        .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        .agg(F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("least"))
-        .filter("met >= least")
-        .select("a", "b")
-    )
-    second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return links.unionByName(_verified(docs, second, classes, k, percent))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")))
+    rest = enough(met.select(*pair("x.class", "y.class"), F.least("x.matches", "y.matches").alias("least")))
+    return links.unionByName(_verified(docs, rest, classes, k, percent))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import fleet, intake, journeys, learning, live, talk  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

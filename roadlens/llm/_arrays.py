@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -94,6 +95,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches, column: str = "text", most: int = 4 << 20):
+    """Record batches cut so that their texts hold about `most` bytes; a longer text stands alone."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for i, j in slices(np.append(0, np.cumsum(size.astype(np.int64))), most):
+            yield batch.slice(i, j - i)
+
+
 def ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A column of integer ids; null comes last."""
     return np.asarray(column.cast(pa.int64()).fill_null(int(LAST_ID)).to_numpy(zero_copy_only=False), np.int64)

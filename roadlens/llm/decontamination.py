@@ -54,7 +54,7 @@ def _benchmark(bench: DataFrame, window: int) -> DataFrame:
     """item_id, size, print, hash of every window."""
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             data, offsets = A.utf8(batch.column("text"))
             parts = _windows(data, offsets, window, [], True)
             next(parts)
@@ -88,7 +88,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches):
         bits = np.unpackbits(bloom.value).astype(bool)
-        for batch in batches:
+        for batch in A.pieces(batches):
             data, offsets = A.utf8(batch.column("text"))
             parts = _windows(data, offsets, window, short, False)
             at = next(parts)

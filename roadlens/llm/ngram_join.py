@@ -64,7 +64,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in batches:
+        for batch in A.pieces(batches):
             for _, _, _, h in shingle_sets(*A.utf8(batch.column("text")), k):
                 total += np.bincount((h >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
         blocks = [total[i : i + BLOCK] for i in range(0, len(total), BLOCK)]
@@ -95,7 +95,7 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(rank.astype(np.float32))
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k):
                 n = np.bincount(row - i, minlength=j - i)
                 often = table.value[(h >> U64(64 - COUNTER_BITS)).astype(np.int64)]
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     texts = texts.join(F.broadcast(reps) if small else reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in A.pieces(batches):
             for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k):
                 n = np.bincount(row - i, minlength=j - i)
                 at = np.append(0, np.cumsum(n))

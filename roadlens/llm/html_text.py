@@ -24,6 +24,7 @@ SKIP = frozenset("aside audio button canvas dialog footer form head iframe map m
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 SIGMA, SPREAD = 1.5, 0.5
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _NAME = re.compile(r"(?:has|with|no)[-_][a-z]+|[a-z]+")
 
 
@@ -58,8 +59,6 @@ class Lines(HTMLParser):
                     break
                 if self.open[k][0] in BLOCK:
                     break
-        elif tag in SKIP:
-            self.flush()
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -90,7 +89,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in BLOCK or tag in SKIP:
+        if tag in BLOCK:
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
@@ -102,6 +101,8 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
     def close(self):
+        if _UNFINISHED.match(self.rawdata):  # a tag or comment that the page breaks off in
+            self.rawdata = ""
         super().close()
         self.flush()
 

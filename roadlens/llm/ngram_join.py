@@ -146,7 +146,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     Classes are dealt out to blocks, and the pairs of two blocks are verified
     together: a set is sent once for each block that it meets, not for each pair.
     """
-    pairs = cut(pairs)
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "rep", "n"), "class"))
     sets = _sets(docs, nodes.select("class", "rep"), k)
     blocks = max(1, -(-8 * (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
@@ -189,6 +188,8 @@ def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) ->
         heads = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "label", "n", "matches")).alias("head")).filter("lo <> hi")
         met = named.join(heads.select("token", "head"), "token").filter((F.col("label") != F.col("head.label")) & alike(F.col("n"), F.col("head.n")))
         new = cut(enough(met.select(*pair("class", "head.class"), F.least("matches", "head.matches").alias("least"))))
+        if new.isEmpty():
+            break
         links = cut(links.unionByName(_verified(docs, new, classes, k, percent)))
         tested = cut(tested.unionByName(new))
         label = cut(components(links).withColumnsRenamed({"node": "class", "root": "label"}))
@@ -197,7 +198,9 @@ def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) ->
     left = named.join(mixed, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")))
-    rest = enough(met.select(*pair("x.class", "y.class"), F.least("x.matches", "y.matches").alias("least")))
+    rest = cut(enough(met.select(*pair("x.class", "y.class"), F.least("x.matches", "y.matches").alias("least"))))
+    if rest.isEmpty():
+        return links
     return links.unionByName(_verified(docs, rest, classes, k, percent))
 
 

@@ -22,6 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small table that are kept together; a thousand tasks for a few rows each would cost more than the rows.
+TOGETHER = 50_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """`cut`, in as few partitions as its rows need."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // TOGETHER)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node that links reach) of links (a, b).
 
@@ -29,14 +39,14 @@ def components(links: DataFrame) -> DataFrame:
     neighbour until all are stars. Nodes without links, null ends and loops give
     no row.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = gathered(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
-        after = cut(small)
+        after = gathered(small)
         # stars: no end of a link is the start of another, and a start has one end
         if after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0 and after.groupBy("a").count().filter("count > 1").limit(1).count() == 0:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b"), F.col("b")).distinct())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
-from .components import components, cut
+from .components import components, cut, gathered
 
 COSINE = 0.98
 TABLES = 6
@@ -125,7 +125,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) ->
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("class", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "embedding")))
     classes = cut(rows.filter("class is not null").groupBy("class").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    found = cut(_compared(classes, cosine, tables))
+    found = gathered(_compared(classes, cosine, tables))
     root = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("class").agg(F.sum("links").alias("links"))
     ids = classes.select("class", "copies", "least").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

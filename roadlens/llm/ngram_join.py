@@ -2,13 +2,15 @@
 
 Documents with equal sets form one class; only classes are compared. A class
 sends its rarest shingles, n - ceil(t * n) + l of its n, and a pair is looked at
-only if it shares min(l, l') of what both send. Each class picks the l with the
+only if it shares at least min(l, l') of what both send, more if the sizes call for
+more. Each class picks the l with the
 least estimated cost: more matches cost more shingles and leave fewer candidates.
 Frequencies for the order come from a counter table of fixed size over all
 documents; any order is right, a good one is fast.
 
 Near copies link by the thousands, so pairs are not all formed. In a few turns,
-the members of a shingle are compared with one of them only; then, of what shares
+the members of a shingle are compared with one of them only, of the largest
+component so far; then, of what shares
 enough shingles, just those pairs that aren't known to be connected.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
-from .components import components, cut
+from .components import components, cut, gathered
 
 COUNTER_BITS, BLOCK = 18, 1 << 13
 MOST_MATCHES = 8
@@ -30,7 +32,11 @@ VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Turns in which classes are compared with one other for each shingle, before the remaining pairs.
-LEADER_TURNS = 3
+LEADER_TURNS = 8
+#: Classes that share a shingle are a large group from here on.
+LARGE = 8
+#: A class need not lead in all shingles that it shares: this share of those asked for will do in a turn.
+LEADER_SHARE = 0.4
 #: Bytes of the sets in a block.
 BLOCK_BYTES = 16 << 20
 
@@ -119,7 +125,7 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """class, set (packed hashes, in order) of the wanted classes (class, rep)."""
-    wanted = cut(wanted)
+    wanted = gathered(wanted)
     reps = wanted.select("rep").distinct()
     small = wanted.count() <= BROADCAST_IDS
     texts = _texts(docs)
@@ -146,12 +152,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     Classes are dealt out to blocks, and the pairs of two blocks are verified
     together: a set is sent once for each block that it meets, not for each pair.
     """
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "rep", "n"), "class"))
+    ends = lambda rows, *also: rows.select(*also, F.col("a").alias("class")).union(rows.select(*also, F.col("b").alias("class"))).distinct()
+    nodes = gathered(ends(pairs).join(classes.select("class", "rep", "n"), "class"))
     sets = _sets(docs, nodes.select("class", "rep"), k)
     blocks = max(1, -(-8 * (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     keyed = pairs.withColumn("x", F.least(block("a"), block("b"))).withColumn("y", F.greatest(block("a"), block("b")))
-    needed = keyed.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class")
+    needed = ends(keyed, F.col("x").alias("p"), F.col("y").alias("q")).join(sets, "class")
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         have = {c: np.frombuffer(s.as_buffer(), U64) for c, s in zip(sets["class"].to_pylist(), sets["set"], strict=True)}
@@ -165,40 +172,49 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
                 keep.append(r)
         return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return cut(keyed.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInArrow(run, "a long, b long"))
+    return gathered(keyed.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInArrow(run, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of `features` that connect all that similar pairs connect."""
-    classes = cut(found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("prefix").alias("prefix")))
-    sent = classes.select(F.explode("prefix").alias("token"), "class", "n", "matches")
-    shared = cut(sent.join(sent.groupBy("token").count().filter("count > 1").select("token"), "token"))
-    label = shared.select("class", F.col("class").alias("label")).limit(0)
-    tested = links = label.toDF("a", "b")
+    classes = cut(found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix")))
+    sent = classes.select(F.explode("prefix").alias("token"), "class", "n", (F.col("n") - F.size("prefix")).alias("kept"))
+    shared = cut(sent.join(sent.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"), "token"))
+    label = shared.select("class", F.col("class").alias("label"), F.lit(1).cast("long").alias("size")).limit(0)
+    tested = links = label.select("class", "label").toDF("a", "b")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    def enough(rows: DataFrame) -> DataFrame:
-        """Pairs that meet in enough shingles and weren't looked at before."""
-        met = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least").select("a", "b")
+    def pair(x: str, y: str):
+        """The pair, and in how many of the shingles sent it must meet: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all."""
+        n, kept = F.col(f"{x}n") + F.col(f"{y}n"), F.greatest(f"{x}kept", f"{y}kept")
+        common = F.floor((n * percent + 99 + percent) / (100 + percent))
+        return F.least(f"{x}class", f"{y}class").alias("a"), F.greatest(f"{x}class", f"{y}class").alias("b"), (common - kept).alias("least")
+
+    def enough(rows: DataFrame, share: float = 1.0) -> DataFrame:
+        """Pairs that meet in enough shingles, or a share of them, and weren't looked at before."""
+        met = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter(F.col("met") >= F.col("least") * share).select("a", "b")
         return met.join(tested, ["a", "b"], "left_anti")
 
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    named_by = lambda rows: rows.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     for turn in range(LEADER_TURNS):
-        named = shared.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        heads = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "label", "n", "matches")).alias("head")).filter("lo <> hi")
+        # where few share a shingle, one turn has seen them; later turns are for large groups
+        named = named_by(shared if turn == 0 else shared.filter(F.col("f") >= LARGE))
+        head = F.struct((-F.coalesce("size", F.lit(1))).alias("s"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "label", "n", "kept")
+        heads = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(head).alias("head")).filter("lo <> hi")
         met = named.join(heads.select("token", "head"), "token").filter((F.col("label") != F.col("head.label")) & alike(F.col("n"), F.col("head.n")))
-        new = cut(enough(met.select(*pair("class", "head.class"), F.least("matches", "head.matches").alias("least"))))
+        new = gathered(enough(met.select(*pair("", "head.")), LEADER_SHARE))
         if new.isEmpty():
             break
-        links = cut(links.unionByName(_verified(docs, new, classes, k, percent)))
-        tested = cut(tested.unionByName(new))
-        label = cut(components(links).withColumnsRenamed({"node": "class", "root": "label"}))
-    named = shared.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        links = gathered(links.unionByName(_verified(docs, new, classes, k, percent)))
+        tested = gathered(tested.unionByName(new))
+        root = components(links).withColumnsRenamed({"node": "class", "root": "label"})
+        label = gathered(root.join(root.groupBy("label").agg(F.count("*").alias("size")), "label"))
+    named = named_by(shared)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = named.join(mixed, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")))
-    rest = cut(enough(met.select(*pair("x.class", "y.class"), F.least("x.matches", "y.matches").alias("least"))))
+    rest = gathered(enough(met.select(*pair("x.", "y."))))
     if rest.isEmpty():
         return links
     return links.unionByName(_verified(docs, rest, classes, k, percent))

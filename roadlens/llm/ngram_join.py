@@ -32,7 +32,9 @@ VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Turns in which classes are compared with one other for each shingle, before the remaining pairs.
-LEADER_TURNS = 8
+LEADER_TURNS = 4
+#: A turn that links a smaller share of its pairs is the last.
+LEAST_YIELD = 0.05
 #: Classes that share a shingle are a large group from here on.
 LARGE = 8
 #: A class need not lead in all shingles that it shares: this share of those asked for will do in a turn.
@@ -205,10 +207,13 @@ def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) ->
         new = gathered(enough(met.select(*pair("", "head.")), LEADER_SHARE))
         if new.isEmpty():
             break
-        links = gathered(links.unionByName(_verified(docs, new, classes, k, percent)))
+        similar = _verified(docs, new, classes, k, percent)
+        links = gathered(links.unionByName(similar))
         tested = gathered(tested.unionByName(new))
         root = components(links).withColumnsRenamed({"node": "class", "root": "label"})
         label = gathered(root.join(root.groupBy("label").agg(F.count("*").alias("size")), "label"))
+        if similar.count() < LEAST_YIELD * new.count():
+            break  # what is left lies near the threshold, and another turn would show no more
     named = named_by(shared)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = named.join(mixed, "token", "left_semi")

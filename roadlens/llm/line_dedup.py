@@ -1,10 +1,12 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
 A window is `window` consecutive lines that aren't blank; a line of `long_words`
-words is a window by itself. Of each window the least line hash is its
-fingerprint, so equal windows share one. Windows whose fingerprint comes once are
-done with; the rest are compared as a whole, matches that touch or overlap extend
-to runs, and every run but the earliest is deleted.
+words is a window by itself. With `runs`, so are fewer lines than `window` that
+have `long_words` words together: no passage of so many words is then too short in
+lines. ORACLE_SQL, and op6_line_dedup with it, is without runs. Of each window the
+least line hash is its fingerprint, so equal windows share one. Windows whose
+fingerprint comes once are done with; the rest are compared as a whole, matches
+that touch or overlap extend to runs, and every run but the earliest is deleted.
 """
 
 from __future__ import annotations
@@ -22,23 +24,25 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """doc_id, key (hash of the row), lines (numbers of those to delete, from 0) of rows that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.xxhash64("doc_id", "text").alias("key")
-    lines = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("h"), (F.regexp_count(s["x"], F.lit(WORD)) >= long_words).alias("long")))
+    lines = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("h"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
     rows = docs.select("doc_id", key, lines.alias("lines"))
-    part = lambda i: [F.get(F.col("lines"), i + k) for k in range(window)]
-    least = lambda x: F.least(*x) if window > 1 else x[0]
-    several = F.when(
-        F.size("lines") >= window,
-        F.transform(
-            F.sequence(F.lit(0), F.size("lines") - window),
-            lambda i: F.struct(i.alias("at"), F.array(*(p["line"] for p in part(i))).alias("lines"), least([p["h"] for p in part(i)]).alias("print"), F.xxhash64(F.lit(window), *(p["h"] for p in part(i))).alias("whole")),
-        ),
-    )
-    single = F.transform(F.filter(F.transform("lines", lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda t: t["s"]["long"]), lambda t: F.struct(t["at"].alias("at"), F.array(t["s"]["line"]).alias("lines"), t["s"]["h"].alias("print"), F.xxhash64(F.lit(1), t["s"]["h"]).alias("whole")))
-    windows = rows.select("doc_id", "key", F.inline(F.concat(F.coalesce(several, F.array().cast("array<struct<at: int, lines: array<int>, print: bigint, whole: bigint>>")), single)))
+    least = lambda x: F.least(*x) if len(x) > 1 else x[0]
+
+    def stretches(n: int, words: int = 0) -> Column:
+        """All n consecutive lines that have so many words together."""
+        part = lambda i: [F.get(F.col("lines"), i + k) for k in range(n)]
+        at = F.sequence(F.lit(0), F.size("lines") - n)
+        if words:
+            at = F.filter(at, lambda i: sum((p["words"] for p in part(i)), F.lit(0)) >= words)
+        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.array(*(p["line"] for p in part(i))).alias("lines"), least([p["h"] for p in part(i)]).alias("print"), F.xxhash64(F.lit(n), *(p["h"] for p in part(i))).alias("whole")))
+        return F.coalesce(F.when(F.size("lines") >= n, found), F.array().cast("array<struct<at: int, lines: array<int>, print: bigint, whole: bigint>>"))
+
+    short = range(1, window if runs else 2)
+    windows = rows.select("doc_id", "key", F.inline(F.concat(stretches(window), *(stretches(n, long_words) for n in short))))
     common = windows.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     windows = windows.join(common, "print", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
@@ -47,7 +51,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """All columns of docs, text without the repeated lines, and _n_lines (not blank) and _n_removed.
 
     Deleted is every line in a window that also starts earlier: in a document
@@ -56,7 +60,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     that share an id are taken in a fixed order, rows equal in id and text count
     as one document. Other columns are kept as they are.
     """
-    found = repeated_lines(docs, window, long_words).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
+    found = repeated_lines(docs, window, long_words, runs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
     docs = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_own"] == found["_key"]), "left")
     every = F.split("text", "\n")
@@ -76,8 +80,8 @@ def digest(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """`deduplicated` with the columns of docs; a document of which no word is left goes, one that had none stays."""
-    out = deduplicated(docs, window, long_words)
+    """`deduplicated`, runs too, with the columns of docs; a document of which no word is left goes, one that had none stays."""
+    out = deduplicated(docs, window, long_words, runs=True)
     return out.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines"))).drop("_n_lines", "_n_removed")
 
 

@@ -155,6 +155,14 @@ def test_lines_odd(spark, empty):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_passage_on_two_lines(spark):
+    half = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 45), ("b", 45), ("c", 60), ("d", 4), ("e", 45))]
+    texts = {1: half[:2], 2: ["x", *half[:2], "y"], 3: half[1:3], 4: [*half[1:3], "z"], 5: [half[3], half[4]], 6: [half[3], half[4], "q"], 7: half[:2]}
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.cleaned(df).collect()}
+    assert got == {1: texts[1], 2: ["x", "y"], 3: texts[3], 4: ["z"], 5: texts[5], 6: texts[6]}
+
+
 # --- toxicity
 
 @pytest.fixture(scope="module")

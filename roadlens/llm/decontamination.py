@@ -74,7 +74,7 @@ def _bloom(prints: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans (word ranges inside an occurring window), items (ids, sorted) of docs (doc_id, text) against bench (item_id, text).
+    """doc_id, key (hash of the row), n_words, spans (word ranges inside an occurring window), items (ids, sorted) of docs (doc_id, text) against bench (item_id, text).
 
     A window is `window` consecutive words of an item; an item with fewer words,
     but not none, is one window. Null or empty text has no words; nothing
@@ -116,7 +116,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
         if(size(acc) > 0 and element_at(acc, -1).e >= x.s,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))),
            concat(acc, array(named_struct('s', x.s, 'e', x.e)))))""")
-    return met.select("doc_id", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).drop("_")
+    return met.select("doc_id", "key", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).drop("_")
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -128,6 +128,7 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, without those in which a window of the benchmark occurs; ids are taken to name documents."""
-    bad = report(docs, bench, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs, all columns, without those in which a window of the benchmark occurs: each by its own text, whatever its id."""
+    bad = hits(docs, bench, window).filter("size(spans) > 0").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
+    docs = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (docs["_own"] == bad["_key"]), "left_anti").drop("_own")

@@ -50,8 +50,13 @@ def rate(size: str, target: str, most: int = MOST):
     return F.when(F.col(size) > 0, F.least(F.round(F.exp(dual), 12), F.lit(float(most)))).otherwise(F.lit(0.0))
 
 
+def _key():
+    """Hash of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies of docs (doc_id, text, source).
+    """doc_id, key (hash of the row), source, size, source_size, target, rate, copies of docs (doc_id, text, source).
 
     size counts words, null text has 0. Rates are rounded to whole copies, in
     parts of a source in order of size, so that the fractions of neighbours add
@@ -59,12 +64,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     source, a null doc_id is allowed. Without rows there is no result; without
     words all targets are 0. Other columns are ignored.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key().alias("key")))
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     totals = totals.withColumn("rate", rate("source_size", "target", most)).withColumnRenamed("source", "_source")
     both = sized.join(totals, sized["source"].eqNullSafe(totals["_source"])).drop("_source")
     part = W.partitionBy("source", F.pmod(F.coalesce("doc_id", F.lit(0)), F.ceil(F.col("n") / TOGETHER)))
-    k = F.row_number().over(part.orderBy(F.desc("size"), "doc_id"))
+    k = F.row_number().over(part.orderBy(F.desc("size"), "doc_id", "key"))
     fraction = F.col("rate") - F.floor("rate")
     even = F.floor(fraction * k + 0.5) - F.floor(fraction * (k - 1) + 0.5)
     both = both.withColumn("extra", even)
@@ -73,9 +78,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     both = both.withColumn("lack", lack)
     off = F.when((F.col("lack") > 0) & (F.col("extra") == 0), F.abs(F.col("lack") - F.col("size"))).when((F.col("lack") < 0) & (F.col("extra") == 1), F.abs(F.col("lack") + F.col("size")))
     both = both.withColumn("off", off)
-    best = (F.row_number().over(part.orderBy(F.col("off").asc_nulls_last(), "doc_id")) == 1) & (F.col("off") < F.abs("lack"))
+    best = (F.row_number().over(part.orderBy(F.col("off").asc_nulls_last(), "doc_id", "key")) == 1) & (F.col("off") < F.abs("lack"))
     extra = F.when(best, 1 - F.col("extra")).otherwise(F.col("extra"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "rate", (F.floor("rate") + extra).alias("copies"))
+    return both.select("doc_id", "key", "source", "size", "source_size", "target", "rate", (F.floor("rate") + extra).alias("copies"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -83,9 +88,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of docs, all columns, that the mix takes, and _copies, how often; ids are taken to name documents."""
-    copies = mixed(docs, weights, most).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).drop("_id")
+    """The rows of docs, all columns, that the mix takes, and _copies, how often: each row as `mixed` has it, whatever its id.
+
+    Rows equal in id, source and text may take a copy more or less than others;
+    they are numbered by a hash of all columns, and the first take the more.
+    """
+    same = ["doc_id", "source", "key"]
+    few = F.min("copies")
+    counts = mixed(docs, weights, most).groupBy(*same).agg(few.alias("_few"), (F.sum("copies") - few * F.count("*")).alias("_more")).filter("_few + _more > 0")
+    counts = cut(counts.withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key"}))
+    docs = docs.withColumn("_own", _key())
+    both = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & docs["source"].eqNullSafe(some["_source"]) & (docs["_own"] == some["_key"]))
+    several = counts.filter("_more > 0")
+    out = both(counts.filter("_more = 0")).withColumn("_copies", F.col("_few"))
+    if not several.isEmpty():
+        rows = both(several)
+        number = F.row_number().over(W.partitionBy("_id", "_source", "_key").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
+        out = out.unionByName(rows.withColumn("_copies", F.col("_few") + (number <= F.col("_more")).cast("long")).filter("_copies > 0"))
+    return out.drop("_own", "_id", "_source", "_key", "_few", "_more")
 
 
 ORACLE_SQL = r"""

@@ -67,6 +67,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _key():
+    """Hash of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents have shingles of each counter; 2**COUNTER_BITS numbers."""
 
@@ -96,7 +101,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), class (null if empty), matches, prefix (its rarest shingles) of each row."""
+    """doc_id, key (hash of the row), n (size of the set), class (null if empty), matches, prefix (its rarest shingles) of each row."""
     counts = frequencies(docs, k)
     usual = counts.mean()
     rank = np.maximum(1, counts - (usual + 4 * np.sqrt(usual)))
@@ -120,9 +125,9 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 size = np.minimum(n, n - need + matches)
                 sent, ends = A.gather(h[order], at[:-1], size)
                 key = np.add.reduceat(np.append(A.mix(h ^ U64(0x5851F42D4C957F2D)), U64(0)), np.minimum(at[:-1], len(h))) + n.astype(U64)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "n": pa.array(n), "class": pa.array(A.mix(key).view(np.int64), mask=n == 0), "matches": pa.array(matches, pa.int32()), "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sent.view(np.int64)))})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "key": batch.column("key").slice(i, j - i), "n": pa.array(n), "class": pa.array(A.mix(key).view(np.int64), mask=n == 0), "matches": pa.array(matches, pa.int32()), "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sent.view(np.int64)))})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, class long, matches int, prefix array<long>")
+    return _texts(docs).withColumn("key", _key()).mapInArrow(run, "doc_id long, key long, n long, class long, matches int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -235,8 +240,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component's id unless there is no other. Other columns are ignored.
     """
     found = cut(features(docs, k, percent))
-    links = similar_classes(docs, found, k, percent)
-    root = components(links)
+    root = components(similar_classes(docs, found, k, percent))
     ids = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(root.withColumnRenamed("node", "class"), "class", "left")
     ids = ids.withColumn("root", F.coalesce("root", "class"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -245,6 +249,25 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that have the least doc_id of their group; ids are taken to name documents."""
-    keep = groups(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """One row of docs, all columns, of each group, and all rows without words.
+
+    Groups are those of `groups`, formed by the rows' own texts. Of each stays the
+    row with the least doc_id, null last; of rows that share it that with the least
+    hash of its text; of rows equal in both one, the first by a hash of all columns.
+    """
+    found = cut(features(docs, k, percent))
+    root = components(similar_classes(docs, found, k, percent))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")
+    rows = found.filter("class is not null").groupBy("class", "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("class").agg(F.min(place).alias("first")).join(root.withColumnRenamed("node", "class"), "class", "left")
+    first = first.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
+    wordless = found.filter("class is null").select("doc_id", "key").distinct().withColumn("copies", F.lit(1).cast("long"))
+    keep = cut(first.select("first.doc_id", "first.key", "first.copies").union(wordless).toDF("_id", "_key", "_copies"))
+    docs = docs.withColumn("_own", _key())
+    taken = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (docs["_own"] == some["_key"]), "left_semi")
+    several = keep.filter("_copies > 1")
+    out = taken(keep.filter("_copies = 1"))
+    if not several.isEmpty():
+        row = F.struct(*out.columns)
+        out = out.unionByName(taken(several).groupBy("doc_id", "_own").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*"))
+    return out.drop("_own")

@@ -165,6 +165,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that aren't predicted to be toxic; ids are taken to name documents."""
-    bad = scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs, all columns, that aren't predicted to be toxic: each by its own text, whatever its id."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        pair = model.value.compressors()
+        for batch in batches:
+            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in batch.column("_text")]).reshape(-1, 4)
+            yield batch.filter(pa.array(model.value.score(x) < LIMIT))
+
+    rows = docs.withColumn("_text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.schema).drop("_text")

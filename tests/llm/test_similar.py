@@ -56,6 +56,22 @@ def test_odd_ids(spark, empty):
     assert rows(ngram_join.groups(empty)) == []
 
 
+def test_clean_by_row(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1), (None, "d e", 2), (1, "a b c", 3), (1, "d e", 4), (1, "d e", 5)], "doc_id long, text string, hash long")
+    bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    out = decontamination.clean(docs, bench)
+    assert sorted(r["hash"] for r in out.collect()) == [2, 4, 5] and out.columns == docs.columns
+
+
+def test_one_of_each_by_row(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    docs = [(None, near), (None, other), (7, near), (7, third), (7, third), (None, "alone"), (None, "alone"), (None, None), (8, ""), (8, "")]
+    out = ngram_join.one_of_each(spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, key string"))
+    assert rows(out.select("doc_id", "text")) == sorted([(7, near), (7, third), (None, "alone"), (None, None), (8, ""), (8, "")], key=str)
+    assert out.columns == ["doc_id", "text", "key"]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -5,6 +5,7 @@ import random
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadlens.llm import chat, html_text, line_dedup, mixing, queries, toxicity
@@ -128,6 +129,16 @@ def test_mix_odd(spark, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_taken_by_row(spark):
+    rng = random.Random(2)
+    docs = [((None, 5, i)[i % 3], "w " * int(rng.paretovariate(1) * 20 if i % 5 else 20), f"s{i % 4}", "z") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, key string")
+    out = mixing.taken(df)
+    assert set(out.columns) == {*df.columns, "_copies"}
+    got = rows(out.selectExpr("doc_id", "source", "size(split(trim(text), ' '))", "_copies"))
+    assert got == rows(mixing.mixed(df).filter("copies > 0").select("doc_id", "source", F.col("size").cast("int"), "copies"))
+
+
 # --- lines
 
 def lines(spark):
@@ -190,6 +201,16 @@ def test_toxicity(labelled):
     assert toxicity.accepted(docs, labels).columns == docs.columns
 
 
+def test_accepted_by_row(spark, labelled):
+    docs, labels = labelled
+    scores = toxicity.scored(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
+    bad, good = (scores.filter(f"predicted = {y} and text <> ''").first()["text"] for y in (1, 0))
+    odd = spark.createDataFrame([(None, bad), (None, good), (9999, bad), (9999, good), (9999, good), (None, None)], "doc_id long, text string").selectExpr("*", "0 as toxic", "1e0 as score")
+    got = toxicity.accepted(docs.unionByName(odd), labels).filter("doc_id is null or doc_id = 9999").select("doc_id", "text").collect()
+    kept = sorted(map(tuple, got), key=str)
+    assert kept.count((9999, good)) == 2 and (None, good) in kept and (None, None) in kept and bad not in {t for _, t in kept}
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     assert toxicity.scored(docs, labels.limit(0)).filter("predicted = 1").count() == 0

@@ -41,6 +41,8 @@ LARGE = 8
 LEADER_SHARE = 0.4
 #: Bytes of the sets in a block.
 BLOCK_BYTES = 16 << 20
+#: Pairs of two blocks that are verified in one task; blocks with more are divided.
+BLOCK_PAIRS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -153,33 +155,50 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
+def _dealt(pairs: DataFrame, blocks: int) -> DataFrame:
+    """a, b of pairs and p, q: what is verified together has both in common.
+
+    Classes are dealt out to blocks. Where two blocks have more than BLOCK_PAIRS
+    pairs, both are divided for these pairs, into as many as make the products
+    small enough, so that a set is sent to some of the parts only.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    keyed = pairs.select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
+    many = keyed.groupBy("x", "y").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_PAIRS)
+    many = gathered(many.select("x", "y", F.ceil(F.sqrt(F.col("n") / BLOCK_PAIRS)).alias("parts")))
+    keyed = keyed.join(many, ["x", "y"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = lambda c: block(c) * (1 << 20) + F.pmod(F.xxhash64(c, F.lit(1)), F.col("parts"))
+    return keyed.select("a", "b", F.least(part("a"), part("b")).alias("p"), F.greatest(part("a"), part("b")).alias("q"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough.
 
-    Classes are dealt out to blocks, and the pairs of two blocks are verified
-    together: a set is sent once for each block that it meets, not for each pair.
+    The pairs of two blocks, or of two parts of them, are verified together: a set
+    is sent once for each that it meets, not for each pair.
     """
     ends = lambda rows, *also: rows.select(*also, F.col("a").alias("class")).union(rows.select(*also, F.col("b").alias("class"))).distinct()
     nodes = gathered(ends(pairs).join(classes.select("class", "rep", "n"), "class"))
     sets = _sets(docs, nodes.select("class", "rep"), k)
     blocks = max(1, -(-8 * (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = pairs.withColumn("x", F.least(block("a"), block("b"))).withColumn("y", F.greatest(block("a"), block("b")))
-    needed = ends(keyed, F.col("x").alias("p"), F.col("y").alias("q")).join(sets, "class")
+    keyed = _dealt(pairs, blocks)
+    needed = ends(keyed, F.col("p").alias("u"), F.col("q").alias("v")).join(sets, "class")
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        have = {c: np.frombuffer(s.as_buffer(), U64) for c, s in zip(sets["class"].to_pylist(), sets["set"], strict=True)}
-        keep = []
-        for r, (a, b) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
-            x, y = have[a], have[b]
+        known = sets["class"].to_numpy()
+        order = np.argsort(known)
+        have = [np.frombuffer(s.as_buffer(), U64) for s in sets["set"]]
+        a, b = (order[np.searchsorted(known, pairs[c].to_numpy(), sorter=order)] if len(known) else np.zeros(0, np.int64) for c in ("a", "b"))
+        keep = np.zeros(len(a), bool)
+        for r in range(len(a)):
+            x, y = have[a[r]], have[b[r]]
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                keep.append(r)
-        return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            keep[r] = 100 * common >= percent * (len(x) + len(y) - common)
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
 
-    return gathered(keyed.groupBy("x", "y").cogroup(needed.groupBy("p", "q")).applyInArrow(run, "a long, b long"))
+    return gathered(keyed.groupBy("p", "q").cogroup(needed.groupBy("u", "v")).applyInArrow(run, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:

@@ -72,6 +72,21 @@ def test_one_of_each_by_row(spark):
     assert out.columns == ["doc_id", "text", "key"]
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_pairs_of_a_block_are_divided(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 1000, raising=False)
+    pairs = spark.range(300).toDF("a").crossJoin(spark.range(300).toDF("b")).filter("a < b")
+    dealt = ngram_join._dealt(pairs, blocks)
+    assert dealt.select("a", "b").exceptAll(pairs).isEmpty() and dealt.count() == 300 * 299 // 2
+    sizes = [r["count"] for r in dealt.groupBy("p", "q").count().collect()]
+    assert max(sizes) <= 3000 and len(sizes) <= 200
+
+
+def test_groups_with_divided_blocks(documents, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 5, raising=False)
+    assert rows(ngram_join.groups(documents, 1, 50)) == sorted(brute.jaccard_groups(corpus, 1, 50), key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -1,16 +1,20 @@
-"""Vectorised helpers on Arrow buffers: tokens, polynomial hashes, windows."""
+"""Vectorised helpers on Arrow buffers: tokens, keyed hashes, polynomial hashes, windows."""
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+ODD = U64(0x9E3779B97F4A7C15)
+#: Modulus of the polynomial hashes, a prime: no text is built that collides whatever the base.
+PRIME = U64((1 << 61) - 1)
+#: Stretches of more steps than this are hashed by a library function, one by one.
+MOST_STEPS = 32
 #: Tokens handled at once, so that scratch arrays stay within a few dozen MB.
 SLICE = 1 << 19
 #: Stands for a missing doc_id: it comes after every real one.
@@ -25,14 +29,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    out = []
-    for b in (BASE, INVERSE):
-        p = np.full(n, b, U64)
-        p[:1] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+def job_key() -> int:
+    """A number that no one knows beforehand: hashes under it can't be made to collide by choice of texts."""
+    return secrets.randbits(63) | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,29 +41,90 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def grams(values: np.ndarray, k: int, key: int) -> np.ndarray:
+    """Hash of every k neighbours among bytes or 64-bit tokens."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    start = mix(np.array([key ^ k], U64))[0]
+    if values.dtype == np.uint8:
+        at = _eights(values)
+        if k < 8:
+            return mix((at[:n] & U64((1 << 8 * k) - 1)) ^ start)
+        h = mix(at[:n] ^ start)
+        for shift in (*range(8, k - 7, 8), *([k - 8] if k % 8 else [])):
+            h = mix(h ^ at[shift : shift + n])
+        return h
+    h, width = mix(values ^ start), 1
+    while 2 * width <= k:
+        h = mix(h[:-width] * ODD ^ h[width:])
+        width *= 2
+    return mix(h[:n] * ODD ^ h[k - width : k - width + n]) if width < k else h
+
+
+def stretches(values: np.ndarray, start: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
+    """Hash of each stretch of bytes or 64-bit tokens, step by step; its size is part of it."""
+    wide = values.dtype == np.uint8
+    steps = -(-size // 8) if wide else size
+    h = mix(size.astype(U64) * ODD ^ U64(key))
+    at = _eights(values) if wide else values
+    live, step = np.flatnonzero((steps > 0) & (steps <= MOST_STEPS)), 0
+    while len(live):
+        load = at[start[live] + step * (8 if wide else 1)]
+        if wide:
+            left = np.minimum(size[live] - 8 * step, 8).astype(U64)
+            load = load & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))
+        h[live] = mix(h[live] ^ load)
+        step += 1
+        live = live[steps[live] > step]
+    for k in np.flatnonzero(steps > MOST_STEPS).tolist():
+        raw = values[start[k] : start[k] + size[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both below it."""
+    low = U64((1 << 32) - 1)
+    ah, al, bh, bl = a >> U64(32), a & low, b >> U64(32), b & low
+    middle, last = ah * bl + al * bh, al * bl
+    s = ah * bh * U64(8) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32)) + (last >> U64(61)) + (last & PRIME)
+    return _reduced(s)
+
+
+def _reduced(s: np.ndarray) -> np.ndarray:
+    s = (s & PRIME) + (s >> U64(61))
+    return np.where(s >= PRIME, s - PRIME, s)
+
+
 class PrefixHash:
-    """Polynomial prefix hashes of an array: the hash of any stretch in O(1)."""
+    """Polynomial prefix hashes of an array modulo a prime, to a base drawn for the job: whether two stretches are equal in O(1)."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int):
         n = len(values)
-        power, self.inverse = powers(n + 1)
+        self.power = np.ones(n + 1, U64)
+        done, factor = 1, base % int(PRIME)
+        while done <= n:  # powers double in number, each the ones before times base ** done
+            more = min(done, n + 1 - done)
+            self.power[done : done + more] = times(self.power[:more], np.full(more, factor, U64))
+            done, factor = done * 2, factor * factor % int(PRIME)
+        term = times(_reduced(values.astype(U64) + U64(1)), self.power[:n])
+        high, low = np.cumsum(term >> U64(32), dtype=U64), np.cumsum(term & U64((1 << 32) - 1), dtype=U64)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum((values.astype(U64) + U64(1)) * power[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.sums[1:] = _reduced(_reduced((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32))) + _reduced(low))
 
     def same(self, a: np.ndarray, b: np.ndarray, size) -> np.ndarray:
         """Whether the stretches of `size` at a and b have equal hashes."""
-        return (self.sums[a + size] - self.sums[a]) * self.inverse[a] == (self.sums[b + size] - self.sums[b]) * self.inverse[b]
-
-    def windows(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        if n <= 0:
-            return np.zeros(0, U64)
-        raw = (self.sums[length:] - self.sums[:n]) * self.inverse[:n]
-        return mix(raw + U64(length * 0xD6E8FEB86659FD93 % (1 << 64)))
+        x, y = np.minimum(a, b), np.maximum(a, b)
+        of = lambda z: _reduced(self.sums[z + size] + PRIME - self.sums[z])
+        return times(of(x), self.power[y - x]) == of(y)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -120,7 +180,7 @@ def slices(offsets: np.ndarray, most: int = SLICE):
 class Words:
     """Words of all rows: start, end (bytes), hash; `offsets` are word numbers of the rows."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None, lower: bool = False, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, key: int, inside: np.ndarray | None = None, lower: bool = False):
         inside = ~SPACE if inside is None else inside
         starts, ends, hashes, counts = [], [], [], []
         for i, j in slices(offsets):
@@ -144,8 +204,7 @@ class Words:
             counts.append(np.diff(np.searchsorted(s, offsets[i : j + 1] - a)))
             starts.append(s + a)
             ends.append(e + a)
-            if hashed:
-                hashes.append(PrefixHash(LOWER[part] if lower else part).of(s, e))
+            hashes.append(stretches(LOWER[part] if lower else part, s, e - s, key))
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         self.start, self.end, self.hash = join(starts, np.int64), join(ends, np.int64), join(hashes, U64)
         self.offsets = np.concatenate([[0], np.cumsum(join(counts, np.int64))]).astype(np.int64)

@@ -3,22 +3,31 @@
 Documents with equal sets form one class; only classes are compared. A class
 sends its rarest shingles, n - ceil(t * n) + l of its n, and a pair is looked at
 only if it shares at least min(l, l') of what both send, more if the sizes call for
-more. Each class picks the l with the
-least estimated cost: more matches cost more shingles and leave fewer candidates.
-Frequencies for the order come from a counter table of fixed size over all
-documents; any order is right, a good one is fast.
-
-Near copies link by the thousands, so pairs are not all formed. In a few turns,
-the members of a shingle are compared with one of them only, of the largest
-component so far; then, of what shares
-enough shingles, just those pairs that aren't known to be connected.
+more. Each class picks the l with the least estimated cost: more matches cost more
+shingles and leave fewer candidates. Frequencies for the order come from a counter
+table of fixed size over all documents; any order is right, a good one is fast.
+
+All pairs of a short list of classes that send a shingle are candidates. The
+classes of a long list are compared with one of them only, its pivot, and described
+by their differences to it: the shingles that just one of both has. Two that are
+similar to the pivot are connected through it. Of any other similar pair x, y with
+d and e differences to the pivot, (d + e - distance(x, y)) / 2 are the same, at
+least one, so the pair is found by the prefixes of its differences, in lists that
+are short or treated again in the same way. What large groups of copies have in
+common is thereby left out of the comparison.
+
+Hashes are keyed by a number drawn for the job. Classes whose 64-bit names are
+equal are told apart by 64 bits more; two sets of a pair are compared by 64-bit
+hashes of their shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
@@ -26,38 +35,32 @@ from ._arrays import U64
 from .components import components, cut, gathered
 
 COUNTER_BITS, BLOCK = 18, 1 << 13
+#: Matches that a prefix is lengthened for at most; the estimated cost has its least below that.
 MOST_MATCHES = 8
 #: Cost of verifying a candidate in shingles sent; links of a shingle of unknown frequency.
 VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Turns in which classes are compared with one other for each shingle, before the remaining pairs.
-LEADER_TURNS = 4
-#: A turn that links a smaller share of its pairs is the last.
-LEAST_YIELD = 0.05
-#: Classes that share a shingle are a large group from here on.
-LARGE = 8
-#: A class need not lead in all shingles that it shares: this share of those asked for will do in a turn.
-LEADER_SHARE = 0.4
-#: Bytes of the sets in a block.
-BLOCK_BYTES = 16 << 20
-#: Pairs of two blocks that are verified in one task; blocks with more are divided.
-BLOCK_PAIRS = 1 << 18
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
+#: Lists of more classes than this get a pivot.
+SHORT = 12
+#: Times that lists get pivots; all pairs of what is left then are candidates.
+LEVELS = 4
+#: Bytes of the sets, and pairs, that are verified together.
+BLOCK_BYTES, BLOCK_PAIRS = 16 << 20, 1 << 18
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: int):
     """Yields row range and (row, hash) of each row's distinct shingles in order; a row with fewer words than k has one, with none none."""
-    words = A.Words(data, offsets, lower=True)
+    words = A.Words(data, offsets, key, lower=True)
     size = np.diff(words.offsets)
     for i, j in A.slices(words.offsets):
         a, b = int(words.offsets[i]), int(words.offsets[j])
-        prefix = A.PrefixHash(words.hash[a:b])
+        own = words.hash[a:b]
         row = np.repeat(np.arange(i, j), size[i:j])
-        h = prefix.windows(k)
+        h = A.grams(own, k, key)
         at = np.flatnonzero(row[: len(h)] == row[k - 1 :]) if len(h) else np.zeros(0, np.int64)
         few = np.flatnonzero((size[i:j] > 0) & (size[i:j] < k)) + i
-        s = words.offsets[few] - a
-        h, row = np.append(h[at], prefix.of(s, s + size[few])), np.append(row[at], few)
+        h, row = np.append(h[at], A.stretches(own, words.offsets[few] - a, size[few], key)), np.append(row[at], few)
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
@@ -65,6 +68,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
         yield i, j, row[new], h[new]
 
 
+def names(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row's set."""
+    at = np.append(0, np.cumsum(n))[:-1]
+    sums = np.add.reduceat(np.append(A.mix(h ^ U64(salt)), U64(0)), np.minimum(at, len(h)))
+    return A.mix(sums + n.astype(U64)).view(np.int64)
+
+
+NAME, CHECK = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -74,46 +87,59 @@ def _key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents have shingles of each counter; 2**COUNTER_BITS numbers."""
+class Shingles:
+    """How a job hashes shingles, and how often they come."""
 
-    def count(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in A.pieces(batches):
-            for _, _, _, h in shingle_sets(*A.utf8(batch.column("text")), k):
-                total += np.bincount((h >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        blocks = [total[i : i + BLOCK] for i in range(0, len(total), BLOCK)]
-        yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([b.astype(np.int64).tobytes() for b in blocks], pa.binary())})
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent, self.key = docs, k, percent, A.job_key()
+        counts = self.frequencies()
+        usual = counts.mean()
+        # what stands out of the noise of a counter
+        often = np.maximum(1, counts - (usual + 4 * np.sqrt(usual))).astype(np.float32)
+        self.often = docs.sparkSession.sparkContext.broadcast(often)
+
+    def frequencies(self) -> np.ndarray:
+        """How many documents have shingles of each counter; 2**COUNTER_BITS numbers."""
+        k, key = self.k, self.key
+
+        def count(batches):
+            total = np.zeros(1 << COUNTER_BITS, np.uint32)
+            for batch in A.pieces(batches):
+                for _, _, _, h in shingle_sets(*A.utf8(batch.column("text")), k, key):
+                    total += np.bincount(_counter(h), minlength=len(total)).astype(np.uint32)
+            blocks = [total[i : i + BLOCK] for i in range(0, len(total), BLOCK)]
+            yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([b.astype(np.int64).tobytes() for b in blocks], pa.binary())})
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(BLOCK, np.int64)
+            for x in table["counts"].to_pylist():
+                total += np.frombuffer(x, np.int64)
+            return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+        rows = self.docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+        out = np.zeros(1 << COUNTER_BITS, np.int64)
+        for r in rows:
+            out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
+        return out
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for x in table["counts"].to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in rows:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return out
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, key (hash of the row), n (size of the set), class (null if empty), matches, prefix (its rarest shingles) of each row."""
-    counts = frequencies(docs, k)
-    usual = counts.mean()
-    rank = np.maximum(1, counts - (usual + 4 * np.sqrt(usual)))
-    table = docs.sparkSession.sparkContext.broadcast(rank.astype(np.float32))
+def features(shingles: Shingles) -> DataFrame:
+    """doc_id, key (hash of the row), n (size of the set), class (null if empty), weight (how common its prefix is), prefix (its rarest shingles) of each row."""
+    k, percent, key, table = shingles.k, shingles.percent, shingles.key, shingles.often
 
     def run(batches):
         for batch in A.pieces(batches):
-            for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k):
+            for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k, key):
                 n = np.bincount(row - i, minlength=j - i)
-                often = table.value[(h >> U64(64 - COUNTER_BITS)).astype(np.int64)]
+                often = table.value[_counter(h)]
                 order = np.lexsort((h, np.log2(often).astype(np.int8), row))
                 at = np.append(0, np.cumsum(n))
                 cost = np.append(0, np.cumsum((often - 1 + UNSEEN)[order], dtype=np.float64))
@@ -126,127 +152,190 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     best[better], matches[better] = c[better], m
                 size = np.minimum(n, n - need + matches)
                 sent, ends = A.gather(h[order], at[:-1], size)
-                key = np.add.reduceat(np.append(A.mix(h ^ U64(0x5851F42D4C957F2D)), U64(0)), np.minimum(at[:-1], len(h))) + n.astype(U64)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "key": batch.column("key").slice(i, j - i), "n": pa.array(n), "class": pa.array(A.mix(key).view(np.int64), mask=n == 0), "matches": pa.array(matches, pa.int32()), "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sent.view(np.int64)))})
-
-    return _texts(docs).withColumn("key", _key()).mapInArrow(run, "doc_id long, key long, n long, class long, matches int, prefix array<long>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, set (packed hashes, in order) of the wanted classes (class, rep)."""
+                none = n == 0
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").slice(i, j - i),
+                        "key": batch.column("key").slice(i, j - i),
+                        "n": pa.array(n),
+                        "class": pa.array(names(h, n, NAME), mask=none),
+                        "check": pa.array(names(h, n, CHECK), mask=none),
+                        "weight": pa.array(cost[at[:-1] + size] - cost[at[:-1]]),
+                        "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sent.view(np.int64))),
+                    }
+                )
+
+    rows = _texts(shingles.docs).withColumn("key", _key()).mapInArrow(run, "doc_id long, key long, n long, class long, check long, weight double, prefix array<long>")
+    found = cut(rows)
+    twice = gathered(found.groupBy("class").agg(F.min("check").alias("one"), F.max("check").alias("other")).filter("one <> other"))
+    if not twice.isEmpty():  # different sets of one name: all but one get another
+        found = cut(found.join(twice, "class", "left").withColumn("class", F.when(F.col("check") > F.col("one"), F.xxhash64("class", "check")).otherwise(F.col("class"))).drop("one", "other"))
+    return found.drop("check")
+
+
+def _sets(shingles: Shingles, wanted: DataFrame) -> DataFrame:
+    """class, set (packed hashes, in order) of the wanted classes (class, rep, key)."""
+    k, key = shingles.k, shingles.key
     wanted = gathered(wanted)
-    reps = wanted.select("rep").distinct()
+    reps = wanted.select("rep", F.col("key").alias("own"))
     small = wanted.count() <= BROADCAST_IDS
-    texts = _texts(docs)
-    texts = texts.join(F.broadcast(reps) if small else reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
+    texts = _texts(shingles.docs).withColumn("key", _key())
+    reps = F.broadcast(reps) if small else reps
+    texts = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]) & (texts["key"] == reps["own"]), "left_semi")
 
     def run(batches):
         for batch in A.pieces(batches):
-            for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k):
+            for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k, key):
                 n = np.bincount(row - i, minlength=j - i)
                 at = np.append(0, np.cumsum(n))
-                key = np.add.reduceat(np.append(A.mix(h ^ U64(0x5851F42D4C957F2D)), U64(0)), np.minimum(at[:-1], len(h))) + n.astype(U64)
-                have = np.flatnonzero(n)
                 raw = h.tobytes()
-                yield pa.record_batch({"class": pa.array(A.mix(key).view(np.int64)[have]), "set": pa.array([raw[8 * at[r] : 8 * at[r + 1]] for r in have.tolist()], pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "key": batch.column("key").slice(i, j - i), "set": pa.array([raw[8 * at[r] : 8 * at[r + 1]] for r in range(j - i)], pa.binary())})
 
-    sets = texts.mapInArrow(run, "class long, set binary")
-    # a representative's id can stand for other rows too; repeated rows give one set
-    return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    sets = texts.mapInArrow(run, "doc_id long, key long, set binary")
+    # repeated rows give one set
+    sets = sets.join(wanted.withColumnRenamed("key", "own"), sets["doc_id"].eqNullSafe(F.col("rep")) & (sets["key"] == F.col("own")))
+    return sets.select("class", "set").dropDuplicates(["class"])
 
 
-def _dealt(pairs: DataFrame, blocks: int) -> DataFrame:
-    """a, b of pairs and p, q: what is verified together has both in common.
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, n: size of a's set) and p: what is verified together.
 
-    Classes are dealt out to blocks. Where two blocks have more than BLOCK_PAIRS
-    pairs, both are divided for these pairs, into as many as make the products
-    small enough, so that a set is sent to some of the parts only.
+    Pairs are dealt by b, so that a set is sent once for each b it meets at most;
+    the pairs of a b that has very many are divided by a.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = pairs.select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
-    many = keyed.groupBy("x", "y").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_PAIRS)
-    many = gathered(many.select("x", "y", F.ceil(F.sqrt(F.col("n") / BLOCK_PAIRS)).alias("parts")))
-    keyed = keyed.join(many, ["x", "y"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = lambda c: block(c) * (1 << 20) + F.pmod(F.xxhash64(c, F.lit(1)), F.col("parts"))
-    return keyed.select("a", "b", F.least(part("a"), part("b")).alias("p"), F.greatest(part("a"), part("b")).alias("q"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough.
-
-    The pairs of two blocks, or of two parts of them, are verified together: a set
-    is sent once for each that it meets, not for each pair.
+    total = pairs.agg(F.sum("n"), F.count("*")).first()
+    deals = max(1, -(-8 * (total[0] or 0) // BLOCK_BYTES), -(-total[1] // BLOCK_PAIRS))
+    many = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+    many = many.withColumn("parts", F.greatest(F.ceil(8 * F.col("n") / BLOCK_BYTES), F.ceil(F.col("pairs") / BLOCK_PAIRS)))
+    many = gathered(many.filter("parts > 1").select("b", "parts"))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.col("parts")) + 1)
+    p = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("b"), F.lit(deals))).otherwise(F.xxhash64("b", part))
+    return pairs.join(many, "b", "left").withColumn("p", p).drop("parts")
+
+
+def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """What a comparison of the sets of a and b shows, for pairs (a, b, n, weight, pivot): those that are similar, and all whose b is a pivot.
+
+    near: whether they are similar. far_prefix: the differences that a similar
+    pair shares one of if its other end isn't near to the pivot; any_prefix, if a isn't near: the same
+    for an end that may be.
     """
+    percent, table = shingles.percent, shingles.often
     ends = lambda rows, *also: rows.select(*also, F.col("a").alias("class")).union(rows.select(*also, F.col("b").alias("class"))).distinct()
-    nodes = gathered(ends(pairs).join(classes.select("class", "rep", "n"), "class"))
-    sets = _sets(docs, nodes.select("class", "rep"), k)
-    blocks = max(1, -(-8 * (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
-    keyed = _dealt(pairs, blocks)
-    needed = ends(keyed, F.col("p").alias("u"), F.col("q").alias("v")).join(sets, "class")
+    sets = _sets(shingles, ends(pairs).join(classes.select("class", "rep", "key"), "class"))
+    keyed = cut(_dealt(pairs))
+    needed = ends(keyed, F.col("p").alias("u")).join(sets, "class")
+    schema = "a long, b long, n long, weight double, pivot boolean, near boolean, far_prefix array<long>, any_prefix array<long>"
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         known = sets["class"].to_numpy()
         order = np.argsort(known)
         have = [np.frombuffer(s.as_buffer(), U64) for s in sets["set"]]
         a, b = (order[np.searchsorted(known, pairs[c].to_numpy(), sorter=order)] if len(known) else np.zeros(0, np.int64) for c in ("a", "b"))
-        keep = np.zeros(len(a), bool)
+        pivot = pairs["pivot"].to_numpy()
+        near, told, far_prefix, any_prefix = np.zeros(len(a), bool), pivot.copy(), [[]] * len(a), [[]] * len(a)
         for r in range(len(a)):
             x, y = have[a[r]], have[b[r]]
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            keep[r] = 100 * common >= percent * (len(x) + len(y) - common)
-        return pairs.select(["a", "b"]).filter(pa.array(keep))
-
-    return gathered(keyed.groupBy("p", "q").cogroup(needed.groupBy("u", "v")).applyInArrow(run, "a long, b long"))
-
-
-def similar_classes(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+            near[r] = 100 * common >= percent * (len(x) + len(y) - common)
+            if not pivot[r]:
+                told[r] = near[r]
+                continue
+            d = len(both) - 2 * common
+            # what a similar pair shares at least, if the other end is far from the pivot, and in any case
+            any_ = max(1, d - len(x) * (100 - percent) // percent)
+            far = max(any_, ((100 + percent) * d + (100 - percent) * (len(y) - len(x))) // (2 * (100 + percent)) + 1)
+            need = far if near[r] else any_
+            if need <= d:
+                rare = differences(x, y, table.value)
+                far_prefix[r] = rare[: max(0, d - far + 1)].view(np.int64)
+                if not near[r]:
+                    any_prefix[r] = rare[: d - any_ + 1].view(np.int64)
+        keep = np.flatnonzero(told)
+        lists = lambda x: pa.array([x[r] for r in keep.tolist()], pa.list_(pa.int64()))
+        out = pairs.select(["a", "b", "n", "weight", "pivot"]).take(pa.array(keep))
+        return out.append_column("near", pa.array(near[keep])).append_column("far_prefix", lists(far_prefix)).append_column("any_prefix", lists(any_prefix))
+
+    return cut(keyed.groupBy("p").cogroup(needed.groupBy("u")).applyInArrow(run, schema))
+
+
+def differences(x: np.ndarray, pivot: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Hashes in just one of two sets: first what x has more, the rarest first; then what it lacks, the commonest, that few others lack, first."""
+    lacks = lambda a, b: a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a]
+    more, less = lacks(x, pivot), lacks(pivot, x)
+    rank = lambda h: np.log2(often[_counter(h)]).astype(np.int8)
+    return np.append(more[np.lexsort((more, rank(more)))], less[np.lexsort((less, -rank(less)))])
+
+
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Which classes send a shingle (k1), if several do. Long lists are divided into bands of like sizes (k2): a class is in its own band and the next."""
+    sent = classes.select(F.explode("prefix").alias("k1"), "class", "n", "weight", (F.col("n") - F.size("prefix")).alias("kept"))
+    shared = gathered(sent.groupBy("k1").agg(F.count("*").alias("f")).filter("f > 1"))
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("n")
+    bands = F.when(F.col("f") > SHORT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    rows = sent.join(shared, "k1").select("k1", F.posexplode(bands).alias("next", "k2"), "class", "n", "weight", "kept")
+    return rows.select("k1", "k2", "class", "n", "weight", "kept", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"))
+
+
+def _next_lists(found: DataFrame) -> DataFrame:
+    """Lists of the classes by pivot (k1) and shared difference (k2): pairs are to be looked for on side 0, or from side 1 to side 2."""
+    row = lambda tokens, side: found.select(F.col("b").alias("k1"), F.explode(tokens).alias("k2"), F.col("a").alias("class"), "n", "weight", "near").withColumn("side", F.lit(side))
+    both = row("far_prefix", 0).filter("not near"), row("any_prefix", 1).filter("not near"), row("far_prefix", 2).filter("near")
+    rows = both[0].unionAll(both[1]).unionAll(both[2])
+    k2 = F.when(F.col("side") == 0, F.col("k2")).otherwise(F.xxhash64("k2"))
+    return rows.select("k1", k2.alias("k2"), "class", "n", "weight", F.lit(None).cast("long").alias("kept"), "side", F.lit(True).alias("own"))
+
+
+def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
     """Links (a, b) between classes of `features` that connect all that similar pairs connect."""
-    classes = cut(found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix")))
-    sent = classes.select(F.explode("prefix").alias("token"), "class", "n", (F.col("n") - F.size("prefix")).alias("kept"))
-    shared = cut(sent.join(sent.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"), "token"))
-    label = shared.select("class", F.col("class").alias("label"), F.lit(1).cast("long").alias("size")).limit(0)
-    tested = links = label.select("class", "label").toDF("a", "b")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    def pair(x: str, y: str):
-        """The pair, and in how many of the shingles sent it must meet: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all."""
-        n, kept = F.col(f"{x}n") + F.col(f"{y}n"), F.greatest(f"{x}kept", f"{y}kept")
-        common = F.floor((n * percent + 99 + percent) / (100 + percent))
-        return F.least(f"{x}class", f"{y}class").alias("a"), F.greatest(f"{x}class", f"{y}class").alias("b"), (common - kept).alias("least")
-
-    def enough(rows: DataFrame, share: float = 1.0) -> DataFrame:
-        """Pairs that meet in enough shingles, or a share of them, and weren't looked at before."""
-        met = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter(F.col("met") >= F.col("least") * share).select("a", "b")
-        return met.join(tested, ["a", "b"], "left_anti")
-
-    named_by = lambda rows: rows.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    for turn in range(LEADER_TURNS):
-        # where few share a shingle, one turn has seen them; later turns are for large groups
-        named = named_by(shared if turn == 0 else shared.filter(F.col("f") >= LARGE))
-        head = F.struct((-F.coalesce("size", F.lit(1))).alias("s"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "label", "n", "kept")
-        heads = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(head).alias("head")).filter("lo <> hi")
-        met = named.join(heads.select("token", "head"), "token").filter((F.col("label") != F.col("head.label")) & alike(F.col("n"), F.col("head.n")))
-        new = gathered(enough(met.select(*pair("", "head.")), LEADER_SHARE))
-        if new.isEmpty():
+    percent = shingles.percent
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = found.filter("class is not null").groupBy("class").agg(first.alias("first"), F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("prefix").alias("prefix"))
+    classes = cut(classes.select("class", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "n", "weight", "prefix"))
+    lists = cut(_lists(classes, percent))
+    links = pivots = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    label = links.toDF("class", "label")
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        """Pairs of the lists, in enough of them: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all."""
+        x, y = rows, rows.alias("y")
+        sides = ((F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.class") < F.col("y.class"))) | ((F.col("x.side") == 1) & (F.col("y.side") == 2))
+        met = x.alias("x").join(y, (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & sides & (F.col("x.label") != F.col("y.label")) & (F.col("x.own") | F.col("y.own")) & _alike("x.n", "y.n", percent))
+        common = F.floor(((F.col("x.n") + F.col("y.n")) * percent + 99 + percent) / (100 + percent))
+        swap = F.col("x.class") < F.col("y.class")
+        end = lambda c, first: F.when(swap == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+        met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept")).alias("least"))
+        met = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.count("*").alias("met"), F.coalesce(F.min("least"), F.lit(1)).alias("least")).filter("met >= least")
+        return met.select("a", "b", "n", F.lit(0.0).alias("weight"), F.lit(False).alias("pivot"))
+
+    for level in range(LEVELS + 1):
+        lists = lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")).join(pivots.select(F.col("a").alias("class"), F.lit(False).alias("fresh")), "class", "left")
+        lists = cut(lists.withColumn("fresh", F.coalesce("fresh", F.lit(True))))
+        # a list matters if it has two labels, a class in its own band and, if sides are to be joined, both
+        heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("fresh", "weight", "class")).alias("head"))
+        heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", F.col("head.class").alias("pivot")))
+        if heads.isEmpty():
             break
-        similar = _verified(docs, new, classes, k, percent)
-        links = gathered(links.unionByName(similar))
-        tested = gathered(tested.unionByName(new))
-        root = components(links).withColumnsRenamed({"node": "class", "root": "label"})
-        label = gathered(root.join(root.groupBy("label").agg(F.count("*").alias("size")), "label"))
-        if similar.count() < LEAST_YIELD * new.count():
-            break  # what is left lies near the threshold, and another turn would show no more
-    named = named_by(shared)
-    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = named.join(mixed, "token", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")))
-    rest = gathered(enough(met.select(*pair("x.", "y."))))
-    if rest.isEmpty():
-        return links
-    return links.unionByName(_verified(docs, rest, classes, k, percent))
+        last = level == LEVELS
+        rows = lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi")
+        pairs = candidates(cut(rows))
+        if not last:
+            long = lists.join(heads.filter(F.col("f") > SHORT), ["k1", "k2"]).filter("class <> pivot")
+            pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight")).withColumn("pivot", F.lit(True)))
+        seen = _verified(shingles, cut(pairs), classes)
+        links = gathered(links.unionByName(seen.filter("near").select("a", "b")))
+        lists = _next_lists(seen.filter("pivot"))
+        pivots = gathered(pivots.unionByName(seen.filter("pivot").select(F.col("b").alias("a"), "b")).distinct())
+        if last or seen.filter("pivot").isEmpty():
+            break
+        label = components(links).toDF("class", "label")
+    return links
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -258,8 +347,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component of its own. Repeated rows give a row each; a null doc_id is never a
     component's id unless there is no other. Other columns are ignored.
     """
-    found = cut(features(docs, k, percent))
-    root = components(similar_classes(docs, found, k, percent))
+    shingles = Shingles(docs, k, percent)
+    found = features(shingles)
+    root = components(similar_classes(shingles, found))
     ids = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(root.withColumnRenamed("node", "class"), "class", "left")
     ids = ids.withColumn("root", F.coalesce("root", "class"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -274,8 +364,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     row with the least doc_id, null last; of rows that share it that with the least
     hash of its text; of rows equal in both one, the first by a hash of all columns.
     """
-    found = cut(features(docs, k, percent))
-    root = components(similar_classes(docs, found, k, percent))
+    shingles = Shingles(docs, k, percent)
+    found = features(shingles)
+    root = components(similar_classes(shingles, found))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")
     rows = found.filter("class is not null").groupBy("class", "doc_id", "key").agg(F.count("*").alias("copies"))
     first = rows.groupBy("class").agg(F.min(place).alias("first")).join(root.withColumnRenamed("node", "class"), "class", "left")

@@ -2,11 +2,12 @@
 
 A suffix sort whose comparisons are logarithmic: polynomial prefix hashes and a
 binary search give the length that two suffixes have in common, the byte after
-it decides. Equal neighbours are verified byte by byte, so a collision of hashes
-never removes anything.
+it decides. Equal neighbours are verified byte by byte, as are the runs of windows
+that are taken together before the sort, so a collision of hashes never removes
+anything.
 
-`_repeats` brings together the windows that can be equal; the sort runs within
-each bucket on those.
+`_repeats` brings together the texts of the windows that can be equal; the sort runs
+within each bucket on those, each different text once.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 class SuffixOrder:
     """Compares suffixes of `text`, cut after `length` bytes, through prefix hashes."""
 
-    def __init__(self, text: np.ndarray, length: int):
-        self.text, self.length, self.hash = text, length, A.PrefixHash(text)
+    def __init__(self, text: np.ndarray, length: int, base: int):
+        self.text, self.length, self.hash = text, length, A.PrefixHash(text, base)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, by binary search; most compared ones share all."""
@@ -85,12 +86,12 @@ def later_windows(w: Windows, spec: Spec) -> np.ndarray:
     hit = np.zeros(len(w.start), bool)
     if not len(w.start):
         return hit
-    order = SuffixOrder(w.tokens, spec.length)
-    full = order.hash.of(w.start, w.start + spec.length)
+    full = A.grams(w.tokens, spec.length, spec.key)[w.start]
     _, kind, count = np.unique(full, return_inverse=True, return_counts=True)
     able = np.flatnonzero(count[kind] > 1)  # a window without an equal hash has no equal
     if not len(able):
         return hit
+    order = SuffixOrder(w.tokens, spec.length, spec.key)
     by_start = able[np.argsort(w.start[able])]
     at = order.sort(w.start[by_start].copy())
     which = by_start[np.searchsorted(w.start[by_start], at)]
@@ -137,9 +138,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     equal doc_id are not earlier than each other; a null doc_id comes after all
     others. Other columns are ignored; an empty table gives none.
     """
-    return cover(docs, Spec(False, length, min(SEED, length), False), later_windows, _spans, "doc_id long, kept binary, spans array<struct<start: long, end: long>>")
+    return cover(docs, Spec(False, length, min(SEED, length), False, A.job_key()), later_windows, _spans, "doc_id long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts and a digest of `removed_spans`, without carrying texts."""
-    return cover(docs, Spec(False, length, min(SEED, length), False), later_windows, _digest, SCHEMA)
+    return cover(docs, Spec(False, length, min(SEED, length), False, A.job_key()), later_windows, _digest, SCHEMA)

@@ -68,13 +68,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A word goes if a window of `length` words over it also starts earlier: in a
     document with a smaller doc_id, or before it in the same one. Null or empty
-    text has no words. Rows that share a doc_id are taken in order of their
-    text; a null doc_id comes after all others. Other columns are ignored; an
+    text has no words. Rows that share a doc_id are taken in order of a
+    hash of their text; a null doc_id comes after all others. Other columns are ignored; an
     empty table gives none.
     """
-    return cover(docs, Spec(True, length, min(SEED, length), True), later_windows, _texts, "doc_id long, text string, n_removed long")
+    return cover(docs, Spec(True, length, min(SEED, length), True, A.job_key()), later_windows, _texts, "doc_id long, text string, n_removed long")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts and a digest of `deduplicated`, without carrying texts."""
-    return cover(docs, Spec(True, length, min(SEED, length), True), later_windows, _digest, SCHEMA)
+    return cover(docs, Spec(True, length, min(SEED, length), True, A.job_key()), later_windows, _digest, SCHEMA)

@@ -49,7 +49,7 @@ def test_empty_table(empty):
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 64, 200])
 def test_suffix_sort(n):
     text = np.random.default_rng(n).integers(97, 99, n + 12).astype(np.uint8)
-    at = suffix_array.SuffixOrder(text, 12).sort(np.arange(n))
+    at = suffix_array.SuffixOrder(text, 12, 12345).sort(np.arange(n))
     whole = [text[a : a + 12].tobytes() for a in at]
     assert whole == sorted(whole) and sorted(at.tolist()) == list(range(n))
 
@@ -65,5 +65,56 @@ def test_long_rows_in_pieces(spark, monkeypatch):
 
     import pyarrow as pa
 
-    c = Chunk(pa.table({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]}), Spec(False, 50, 18, False))
+    c = Chunk(pa.table({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "tie": [1, 2, 3]}), Spec(False, 50, 18, False, 1))
     assert c.count.sum() == sum(len(t) - 49 for _, t in docs)
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_built_to_collide(spark):
+    """Words that collide under any polynomial hash modulo a power of two, and whole windows of them."""
+    one, other = thue_morse(2048)
+    rng = np.random.default_rng(1)
+    text = [f"w{i}" for i in rng.integers(0, 500, 40)]
+    docs = [(1, " ".join([*text[:10], one, *text[10:30]])), (2, " ".join([*text[:10], other, *text[10:30]])), (3, " ".join([*text[:10], one, *text[10:]]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_tree.removal_digest(df)) == sorted(brute.word_repeats(docs, 20), key=str)
+    assert rows(suffix_array.removal_digest(df)) == sorted(brute.byte_repeats(docs, 50), key=str)
+
+
+def test_hashes_that_collide(documents, corpus, monkeypatch):
+    """Runs of different text under one hash are told apart by their text."""
+    from roadlens.llm import _arrays
+
+    whole = _arrays.stretches
+    tokens = np.uint64
+    monkeypatch.setattr(_repeats.A, "stretches", lambda v, s, n, k: whole(v, s, n, k) % tokens(3) if v.dtype == np.uint8 and len(s) and n.min() >= 50 else whole(v, s, n, k))
+    text = np.frombuffer(b"".join(t.encode() for _, t in corpus if t), np.uint8)
+    start = np.arange(0, len(text) - 80, 7)
+    first, kind = _repeats.kinds(text, start, np.full(len(start), 60), 5)
+    said = [text[s : s + 60].tobytes() for s in start]
+    assert all(said[i] == said[first[k]] for i, k in enumerate(kind))
+
+
+def test_long_texts(spark):
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 3000, 60_000))
+    docs = [(1, text), (2, "other start " + text[1000:200_000]), (3, "a " * 5000), (4, "a " * 6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_array.removal_digest(df)) == sorted(brute.byte_repeats(docs, 50), key=str)
+    assert rows(suffix_tree.removal_digest(df)) == sorted(brute.word_repeats(docs, 20), key=str)
+
+
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text), (1, text[20:] + " x"), (None, text), (None, text + " y"), (2, text)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_array.removal_digest(df)) == sorted(brute.byte_repeats(docs, 50), key=str)
+    out = suffix_tree.removal_digest(df).collect()
+    # whichever of the two rows of id 1 comes first keeps the 40 words that both have
+    assert len(out) == 5 and sum(r["n_words"] - r["n_removed"] for r in out) == 62 and [r["n_removed"] for r in out if r["doc_id"] == 2] == [60]

@@ -72,19 +72,39 @@ def test_one_of_each_by_row(spark):
     assert out.columns == ["doc_id", "text", "key"]
 
 
-@pytest.mark.parametrize("blocks", [1, 2])
-def test_pairs_of_a_block_are_divided(spark, monkeypatch, blocks):
-    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 1000, raising=False)
-    pairs = spark.range(300).toDF("a").crossJoin(spark.range(300).toDF("b")).filter("a < b")
-    dealt = ngram_join._dealt(pairs, blocks)
-    assert dealt.select("a", "b").exceptAll(pairs).isEmpty() and dealt.count() == 300 * 299 // 2
-    sizes = [r["count"] for r in dealt.groupBy("p", "q").count().collect()]
-    assert max(sizes) <= 3000 and len(sizes) <= 200
-
-
-def test_groups_with_divided_blocks(documents, corpus, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 5, raising=False)
-    assert rows(ngram_join.groups(documents, 1, 50)) == sorted(brute.jaccard_groups(corpus, 1, 50), key=str)
+def test_pairs_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 1000)
+    pairs = spark.range(300).toDF("a").crossJoin(spark.range(300).toDF("b")).filter("a < b or b = 299").selectExpr("a", "b", "5L as n").unionAll(spark.range(5000).selectExpr("id", "77L", "3L"))
+    dealt = ngram_join._dealt(pairs)
+    assert dealt.select("a", "b", "n").exceptAll(pairs).isEmpty() and dealt.count() == pairs.count()
+    assert max(r["count"] for r in dealt.groupBy("p").count().collect()) <= 5000
+
+
+@pytest.mark.parametrize("k, percent, levels", [(3, 90, 3), (5, 80, 1), (1, 50, 0)])
+def test_groups_by_pivots(spark, monkeypatch, k, percent, levels):
+    """Variants of few texts at all distances, so that long lists get pivots again and again."""
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "LEVELS", levels)
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 50)
+    rng = random.Random(k * percent)
+    bases = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(3)]
+    docs = []
+    for i in range(150):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice(["x", "y", f"n{i}"])] * rng.randrange(1, 3)
+        docs.append((i, " ".join(words[rng.randrange(4) :])))
+    got = rows(ngram_join.groups(spark.createDataFrame(docs, "doc_id long, text string"), k, percent))
+    assert got == sorted(brute.jaccard_groups(docs, k, percent), key=str) and len({r[2] for r in got}) < 150
+
+
+def test_names_that_collide(spark, documents, corpus, monkeypatch):
+    """Sets that share the 64 bits of their name are told apart by the check."""
+    names = ngram_join.names
+    monkeypatch.setattr(ngram_join, "names", lambda h, n, salt: names(h, n, salt) % 5 if salt == ngram_join.NAME else names(h, n, salt))
+    few = documents.filter("doc_id < 12")
+    assert rows(ngram_join.features(ngram_join.Shingles(few, 3, 90)).select("n")) == rows(ngram_join.groups(few, 3, 90).select("n_shingles"))
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -144,3 +164,26 @@ def test_embeddings(spark, vectors, monkeypatch, block):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.linked(df).count() == 0
+
+
+def test_words_built_to_collide(spark):
+    """Words that collide under any polynomial hash modulo a power of two."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"x {one} y z v"), (2, f"x {other} y z v"), (3, one), (4, other)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(ngram_join.groups(df)) == sorted(brute.jaccard_groups(docs, 5, 80), key=str)
+    items = [(1, one), (2, f"y z {other}")]
+    assert rows(decontamination.report(df, spark.createDataFrame(items, "item_id long, text string"))) == sorted(brute.leaks(docs, items), key=str)
+
+
+@pytest.mark.parametrize("window", [1, 3, 5, 10])
+def test_leaks_of_few_words(spark, window):
+    """Texts of two words, so that windows repeat, overlap and end at every place."""
+    rng = random.Random(window)
+    text = lambda n: " ".join(rng.choice(["a", "b"] if window > 3 else ["a", "b", "c", "d"]) for _ in range(n))
+    docs, items = [(i, text(rng.randrange(40))) for i in range(60)], [(i, text(rng.randrange(14))) for i in range(12)]
+    got = rows(decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window))
+    assert got == sorted(brute.leaks(docs, items, window), key=str)

@@ -5,7 +5,9 @@ random signs and a fast Hadamard transform; several of them name a bucket of a
 table. A vector goes to its bucket and, multiprobe, to those with the second
 nearest axis in one place. What shares a bucket is verified by cosine. Equal
 vectors are one class from the start; a pair found in several buckets counts in
-the first; large buckets are compared block by block.
+the first; large buckets are compared block by block. The number of hashes and
+tables is the same for every input: two vectors of cosine 0.98 meet in all but a few
+of 10 000 cases (measured in the tests).
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from ._arrays import U64
 from .components import components, cut, gathered
 
 COSINE = 0.98
-TABLES = 6
-#: Rows of a bucket to aim at; rows compared with each other in one go; rows of a task.
-BUCKET, BLOCK, TASK = 16, 1024, 4096
+#: Tables, and hashes that name a bucket of one.
+TABLES, HASHES = 6, 3
+#: Rows compared with each other in one go; rows of a task.
+BLOCK, TASK = 1024, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -35,7 +38,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, label: np.ndarray, hashes: int, tables: int = TABLES) -> np.ndarray:
+def buckets(x: np.ndarray, label: np.ndarray, hashes: int = HASHES, tables: int = TABLES) -> np.ndarray:
     """Numbers of the buckets of unit vectors x: by table, the own one and then `hashes` probes."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
@@ -55,11 +58,11 @@ def buckets(x: np.ndarray, label: np.ndarray, hashes: int, tables: int = TABLES)
             axis = lambda a, y=y: (2 * a + (y[np.arange(len(y)), a] < 0)).astype(U64)
             own.append(axis(best))
             second.append(axis(other))
-        base = A.mix(label.astype(np.int64).view(U64) * U64(1 << 20) + U64(t + 1))
+        base = A.mix(label.view(U64) ^ A.mix(np.full(len(label), t + 1, U64)))
         for probe in range(-1, hashes):
             key = base
             for k in range(hashes):
-                key = A.mix(key * U64(A.BASE) ^ (second[k] if k == probe else own[k]) + U64(1))
+                key = A.mix(key * A.ODD ^ (second[k] if k == probe else own[k]) + U64(1))
             out.append(key)
     return np.stack(out, 1).view(np.int64)
 
@@ -67,6 +70,7 @@ def buckets(x: np.ndarray, label: np.ndarray, hashes: int, tables: int = TABLES)
 def _unit(vectors: pa.Array) -> np.ndarray:
     """Vectors of one length as unit vectors in double precision."""
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(1)[:, None]  # so that no square is too large or too small
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -77,6 +81,7 @@ def _links(cosine: float):
         table = table.sort_by([("bucket", "ascending"), ("side", "ascending")]).combine_chunks()
         key, side, origin, node, copies = (table[c].to_numpy() for c in ("bucket", "side", "origin", "class", "copies"))
         raw, known = table["embedding"].combine_chunks(), table["known"].combine_chunks()
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         a, b = [], []
         for s, e in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
@@ -85,7 +90,7 @@ def _links(cosine: float):
                 for j in range(i, e - s, BLOCK):
                     p, q = np.nonzero(x[i : i + BLOCK] @ x[j : j + BLOCK].T >= cosine)
                     p, q = p + i, q + j
-                    ok = (p < q) & ((side[s + p] != side[s + q]) | (side[s + p] == 0)) & (node[s + p] != node[s + q])
+                    ok = (p < q) & (label[s + p] == label[s + q]) & ((side[s + p] != side[s + q]) | (side[s + p] == 0)) & (node[s + p] != node[s + q])
                     p, q = p[ok], q[ok]
                     for m in range(0, len(p), 1 << 14):  # a pair counts in the least bucket that both share
                         u, v = p[m : m + (1 << 14)], q[m : m + (1 << 14)]
@@ -123,7 +128,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) ->
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"), F.col("label").cast("string").alias("label"))
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = rows.withColumn("class", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "embedding")))
+    rows = rows.withColumn("class", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(A.job_key()), "label", "embedding")))
     classes = cut(rows.filter("class is not null").groupBy("class").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     found = gathered(_compared(classes, cosine, tables))
     root = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
@@ -133,15 +138,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) ->
     ids = ids.select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "class").join(ids, "class", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _compared(classes: DataFrame, cosine: float, tables: int) -> DataFrame:
     """class, links (rows of other classes linked), root (a class that links reach), once or more for each class with links."""
-    most = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).agg(F.max("n"), F.max("width"), F.sum("n")).first()
-    n, width, total = (x or 1 for x in most)
-    axes = 2 << max(1, (width - 1).bit_length())
-    hashes = max(1, round(np.log(max(2, n / BUCKET)) / np.log(axes)))
     kind = classes.schema["embedding"].dataType.simpleString()
 
     def run(batches):
@@ -150,22 +151,24 @@ def _compared(classes: DataFrame, cosine: float, tables: int) -> DataFrame:
             for w in np.unique(size).tolist():
                 batch = whole.take(pa.array(np.flatnonzero(size == w)))
                 data, at = A.utf8(batch.column("label"))
-                label = A.PrefixHash(data).of(at[:-1], at[1:]) ^ U64(w)
-                key = buckets(_unit(batch.column("embedding")), label.view(np.int64), hashes, tables)
+                label = A.stretches(data, at[:-1], np.diff(at), w + 1)
+                key = buckets(_unit(batch.column("embedding")), label, HASHES, tables)
                 known = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * key.shape[1], pa.int32()), pa.array(key.reshape(-1)))
-                yield pa.record_batch({"class": batch.column("class"), "copies": batch.column("copies"), "embedding": batch.column("embedding"), "known": known})
+                yield pa.record_batch({"class": batch.column("class"), "copies": batch.column("copies"), "label": batch.column("label"), "embedding": batch.column("embedding"), "known": known})
 
-    hashed = cut(classes.select("class", "copies", "embedding", "label").mapInArrow(run, f"class long, copies long, embedding {kind}, known array<long>"))
-    each = hashed.withColumn("origin", F.explode(F.array_distinct("known")))
-    sizes = each.groupBy("origin").agg(F.count("*").alias("size")).filter("size > 1")
+    hashed = cut(classes.select("class", "copies", "embedding", "label").mapInArrow(run, f"class long, copies long, label string, embedding {kind}, known array<long>"))
+    # only buckets with company matter, and only who is in one is sent on with its vector
+    each = hashed.select("class", F.explode(F.array_distinct("known")).alias("origin"))
+    sizes = cut(each.groupBy("origin").agg(F.count("*").alias("size")).filter("size > 1"))
     # a large bucket is cut into blocks, and every pair of blocks is a task
     blocks = F.ceil(F.col("size") / (TASK // 2)).cast("int")
-    each = each.join(sizes, "origin").withColumn("blocks", blocks).withColumn("block", F.pmod(F.col("class"), F.col("blocks")).cast("int"))
+    each = cut(each.join(sizes, "origin")).withColumn("blocks", blocks).withColumn("block", F.pmod(F.col("class"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     each = each.withColumn("bucket", F.when(F.col("blocks") == 1, F.col("origin")).otherwise(F.xxhash64("origin", lo, hi)))
     # side 0: all pairs of a block with itself; 1 and 2: only pairs across
     each = each.withColumn("side", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
-    tasks = max(1, -(-total * tables * (hashes + 1) // TASK))
+    tasks = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // TASK))
     each = each.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.col("origin"), F.lit(tasks))).otherwise(F.col("bucket")))
-    return each.select("task", "bucket", "origin", "side", "class", "copies", "embedding", "known").groupBy("task").applyInArrow(_links(cosine), "class long, links long, root long")
+    each = each.select("task", "bucket", "origin", "side", "class").join(hashed, "class")
+    return each.groupBy("task").applyInArrow(_links(cosine), "class long, links long, root long")

@@ -44,7 +44,7 @@ BROADCAST_IDS = 1_000_000
 #: Lists of more classes than this get a pivot.
 SHORT = 12
 #: Times that lists get pivots; all pairs of what is left then are candidates.
-LEVELS = 4
+LEVELS = 2
 #: Bytes of the sets, and pairs, that are verified together.
 BLOCK_BYTES, BLOCK_PAIRS = 16 << 20, 1 << 18
 
@@ -223,7 +223,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
     percent, table = shingles.percent, shingles.often
     ends = lambda rows, *also: rows.select(*also, F.col("a").alias("class")).union(rows.select(*also, F.col("b").alias("class"))).distinct()
     sets = _sets(shingles, ends(pairs).join(classes.select("class", "rep", "key"), "class"))
-    keyed = cut(_dealt(pairs))
+    keyed = gathered(_dealt(pairs))
     needed = ends(keyed, F.col("p").alias("u")).join(sets, "class")
     schema = "a long, b long, n long, weight double, pivot boolean, near boolean, far_prefix array<long>, any_prefix array<long>"
 
@@ -258,7 +258,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
         out = pairs.select(["a", "b", "n", "weight", "pivot"]).take(pa.array(keep))
         return out.append_column("near", pa.array(near[keep])).append_column("far_prefix", lists(far_prefix)).append_column("any_prefix", lists(any_prefix))
 
-    return cut(keyed.groupBy("p").cogroup(needed.groupBy("u")).applyInArrow(run, schema))
+    return gathered(keyed.groupBy("p").cogroup(needed.groupBy("u")).applyInArrow(run, schema))
 
 
 def differences(x: np.ndarray, pivot: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -294,9 +294,8 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     classes = found.filter("class is not null").groupBy("class").agg(first.alias("first"), F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("prefix").alias("prefix"))
     classes = cut(classes.select("class", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "n", "weight", "prefix"))
-    lists = cut(_lists(classes, percent))
-    links = pivots = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    label = links.toDF("class", "label")
+    lists = cut(_lists(classes, percent).withColumn("label", F.col("class")))
+    links = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
     def candidates(rows: DataFrame) -> DataFrame:
         """Pairs of the lists, in enough of them: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all."""
@@ -311,25 +310,24 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
         return met.select("a", "b", "n", F.lit(0.0).alias("weight"), F.lit(False).alias("pivot"))
 
     for level in range(LEVELS + 1):
-        lists = lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")).join(pivots.select(F.col("a").alias("class"), F.lit(False).alias("fresh")), "class", "left")
-        lists = cut(lists.withColumn("fresh", F.coalesce("fresh", F.lit(True))))
+        last = level == LEVELS
+        if level:
+            lists = cut(lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
         # a list matters if it has two labels, a class in its own band and, if sides are to be joined, both
-        heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("fresh", "weight", "class")).alias("head"))
+        heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("weight", "class")).alias("head"))
         heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", F.col("head.class").alias("pivot")))
-        if heads.isEmpty():
-            break
-        last = level == LEVELS
-        rows = lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi")
-        pairs = candidates(cut(rows))
+        pairs = candidates(cut(lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi")))
         if not last:
             long = lists.join(heads.filter(F.col("f") > SHORT), ["k1", "k2"]).filter("class <> pivot")
             pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight")).withColumn("pivot", F.lit(True)))
-        seen = _verified(shingles, cut(pairs), classes)
+        pairs = gathered(pairs)
+        if pairs.isEmpty():
+            break
+        seen = _verified(shingles, pairs, classes)
         links = gathered(links.unionByName(seen.filter("near").select("a", "b")))
-        lists = _next_lists(seen.filter("pivot"))
-        pivots = gathered(pivots.unionByName(seen.filter("pivot").select(F.col("b").alias("a"), "b")).distinct())
-        if last or seen.filter("pivot").isEmpty():
+        if last:
             break
+        lists = _next_lists(seen.filter("pivot"))
         label = components(links).toDF("class", "label")
     return links
 

@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and the same with what
-toxic text has and ordinary text hasn't. Every window of a text is compressed with
-both; a window that gets shorter with the toxic one holds toxic language. The
-largest gains of a text, calibrated on labelled rows the dictionaries haven't seen,
-are its score.
+Two zstandard dictionaries are trained: one on windows of ordinary rows, one on the
+windows of toxic rows that separate them, those around beginnings of words that
+toxic rows share and ordinary rows hardly have. Every window of a text is compressed
+with the ordinary dictionary and with both; what the toxic one saves is the
+window's gain. The largest gains of a text, calibrated on labelled rows that the
+dictionaries haven't seen, are its score. Of several sizes of the toxic dictionary
+the one that fits those rows best is taken.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 from . import _arrays as A
 from ._arrays import U64
 
-#: The classifier learns from at most this many labelled rows of each kind, those with the least hash of their id.
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 5000
+#: The classifier learns from at most this many labelled rows of each kind, those with the least hash of their id, of texts of at most this many bytes.
+TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 5000, 1 << 15
 #: Bytes of a window, and how many it shares with the next one.
 WINDOW, OVERLAP = 128, 16
+#: The ordinary dictionary is trained on at most this many windows, evenly taken from its rows.
+ORDINARY_WINDOWS = 60_000
 DICTIONARY_BYTES, LEVEL = 110_000, 9
-#: A stretch is toxic if this share of toxic rows has it, and a fiftieth of that share of ordinary rows at most.
+#: Sizes of the toxic dictionary to choose from; bytes of its samples before and after the beginning of a word.
+TOXIC_BYTES, AROUND = (1024, 2048, 4096), (4, 14)
+#: A beginning of a word separates if this share of toxic rows has it, and a fiftieth of that share of ordinary rows at most.
 LEAST_SHARE, LEAST_ROWS, CONTRAST = 0.03, 3, 50
 LIMIT = 0.7
 
@@ -39,46 +45,58 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - OVERLAP), step)]
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, hash with the word before, start, size) of the beginnings of words, four bytes and more, and of whole words."""
+def beginnings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, hash with the word before, start) of the beginnings of words, four to twelve bytes."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-    words = A.Words(data, at)
+    words = A.Words(data, at, KEY)
     row = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
     size = words.end - words.start
     before = np.append(U64(0), words.hash[:-1])
-    prefix = A.PrefixHash(data)
     out = []
     for n in range(4, 13):
         w = np.flatnonzero(size >= n)
-        h = prefix.of(words.start[w], words.start[w] + n)
-        out.append((h, row[w], A.mix(h ^ before[w]), words.start[w], np.full(len(w), n)))
+        h = A.stretches(data, words.start[w], np.full(len(w), n), KEY)
+        out.append((h, row[w], A.mix(h ^ before[w]), words.start[w]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """The stretches that toxic rows have and ordinary rows hardly, the most frequent last."""
-    h, row, context, start, size = stretches(toxic)
+#: Only a bounded sample is hashed, and reruns agree.
+KEY = 20
+
+
+def rows_with(kind: np.ndarray, row: np.ndarray, kinds: int) -> np.ndarray:
+    """In how many rows each kind is."""
+    return np.bincount(np.unique(np.stack([kind.astype(np.int64), row]), axis=1)[0], minlength=kinds) if len(kind) else np.zeros(kinds, np.int64)
+
+
+def separating(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The surroundings of what toxic rows share and ordinary rows hardly have, in order."""
+    h, row, context, start = beginnings(toxic)
     if not len(h):
-        return b""
-    kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
-    own = np.unique(np.stack([kind.astype(np.int64), row]), axis=1)[0]
-    rows = np.bincount(own, minlength=len(kinds))
-    # copies of one text count once: only different words before it make a stretch frequent
+        return []
+    kinds, kind = np.unique(h, return_inverse=True)
+    # copies of one text count once: only different words before it make a beginning frequent
     varied = np.bincount(kind[np.unique(context, return_index=True)[1]], minlength=len(kinds))
-    able = np.flatnonzero(np.minimum(rows, varied) >= max(LEAST_ROWS, LEAST_SHARE * len(toxic)))
+    shared = rows_with(kind, row, len(kinds))
+    able = np.flatnonzero(np.minimum(shared, varied) >= max(LEAST_ROWS, LEAST_SHARE * len(toxic)))
     usual = np.zeros(len(able), np.int64)
-    for i in range(0, len(ordinary), 200):
-        x, r, _, _, _ = stretches(ordinary[i : i + 200])
-        pos = np.minimum(np.searchsorted(kinds[able], x), max(0, len(able) - 1))
-        hit = kinds[able][pos] == x if len(able) else np.zeros(len(x), bool)
-        usual += np.bincount(np.unique(np.stack([pos[hit].astype(np.int64), r[hit]]), axis=1)[0], minlength=len(able)) if hit.any() else 0
-    able = able[usual / max(1, len(ordinary)) * CONTRAST <= rows[able] / len(toxic)]
-    data = b"".join(toxic)
-    found = {data[start[first[k]] : start[first[k]] + size[first[k]]]: int(rows[k]) for k in able.tolist()}
-    # a stretch that nearly always goes on is left to the longer one
-    whole = [s for s, n in found.items() if not any(len(t) == len(s) + 1 and t.startswith(s) and m >= 0.9 * n for t, m in found.items())]
-    return b"".join(b" " + s for s in sorted(whole, key=lambda s: (found[s], s)))
+    for i in range(0, len(ordinary) if len(able) else 0, 200):
+        x, r, _, _ = beginnings(ordinary[i : i + 200])
+        at = np.minimum(np.searchsorted(kinds[able], x), len(able) - 1)
+        hit = kinds[able][at] == x
+        usual += rows_with(at[hit], r[hit], len(able))
+    able = able[usual / max(1, len(ordinary)) * CONTRAST <= shared[able] / len(toxic)]
+    data, (before, after) = b"".join(toxic), AROUND
+    return [data[max(0, p - before) : p + after] for p in np.unique(start[np.isin(kind, able)]).tolist()]
+
+
+def trained(size: int, samples: list[bytes], **parameters) -> bytes:
+    """A zstandard dictionary; of samples that are too few to train on, their text up to that size."""
+    try:
+        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
 
 @dataclass
@@ -99,35 +117,36 @@ class Model:
     def features(text: bytes, pair) -> list[float]:
         gain = np.array([len(pair[0].compress(w)) - len(pair[1].compress(w)) for w in windows(text)], float)
         top = np.sort(np.maximum(gain, 0))[::-1]
-        return [1.0, min(top[0], 12), min(top[1], 12) if len(top) > 1 else 0.0, np.log(len(top))]
+        return [1.0, top[0], top[1] if len(top) > 1 else 0.0, np.log(len(top))]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
 
+    def calibrated(self, rows: list[tuple[bytes, float]]) -> float:
+        """Sets the weights by logistic regression and returns the mean loss."""
+        pair = self.compressors()
+        x, y = np.array([self.features(t, pair) for t, _ in rows]), np.array([y for _, y in rows])
+        ridge = np.diag([1e-3, 0.05, 0.05, 0.05])
+        for _ in range(30):
+            p = self.score(x)
+            self.weights += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ self.weights)
+        p = np.clip(self.score(x), 1e-9, 1 - 1e-9)
+        return -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
 
 def fitted(toxic: list[str], ordinary: list[str]) -> Model:
     """A model of labelled texts: two thirds of them for the dictionaries, one for the calibration."""
     toxic, ordinary = [plain(t) for t in toxic], [plain(t) for t in ordinary]
     part = lambda x, own: [t for i, t in enumerate(x) if (i % 3 == 0) == own]
-    words = contrast(part(toxic, False), part(ordinary, False))
     samples = [w for t in part(ordinary, False) for w in windows(t)]
-    step = max(1, len(samples) // 60_000)
-    try:
-        usual = zstandard.train_dictionary(DICTIONARY_BYTES, samples[::step]).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        usual = b"".join(samples)[:DICTIONARY_BYTES]
-    model = Model(usual, words, np.zeros(4))
-    pair = model.compressors()
+    usual = trained(DICTIONARY_BYTES, samples[:: max(1, -(-len(samples) // ORDINARY_WINDOWS))])
+    near = separating(part(toxic, False), part(ordinary, False))
     rows = [(t, y) for x, y in ((toxic, 1.0), (ordinary, 0.0)) for t in part(x, True)]
-    if not rows or not words:
-        model.weights[0] = -3.0
-        return model
-    x, y = np.array([model.features(t, pair) for t, _ in rows]), np.array([y for _, y in rows])
-    ridge = np.diag([1e-3, 0.05, 0.05, 0.05])
-    for _ in range(30):
-        p = model.score(x)
-        model.weights += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ model.weights)
-    return model
+    if not rows or not near:  # nothing separates the labels: all texts get the same low score
+        return Model(usual, b"", np.array([-3.0, 0, 0, 0]))
+    models = [Model(usual, trained(n, near, k=16, d=6), np.zeros(4)) for n in TOXIC_BYTES]
+    losses = [m.calibrated(rows) for m in models]
+    return models[int(np.argmin(losses))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,18 +155,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled documents that aren't held out, a bounded number of them."""
-    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
-    known = known.filter(~held_out(F.col("_id")))
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("toxic").cast("int")).alias("_toxic"), F.max(F.col("toxic").cast("int")).alias("_most"))
+    known = known.filter("_toxic = _most").drop("_most").filter(~held_out(F.col("_id")))  # who is labelled both ways teaches nothing
     order = F.xxhash64("_id")
     picked = known.filter("_toxic = 1").orderBy(order, "_id").limit(TOXIC_ROWS).unionAll(known.filter("_toxic = 0").orderBy(order, "_id").limit(ORDINARY_ROWS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "_id").filter("_text is not null").orderBy("_id", "_text").select("_toxic", "_text").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "_id").filter(F.octet_length("_text") <= ROW_BYTES).orderBy("_id", "_text").select("_toxic", "_text").collect()
     return fitted([r["_text"] for r in rows if r["_toxic"] == 1], [r["_text"] for r in rows if r["_toxic"] == 0])
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text), by a model of labels (doc_id, toxic).
 
-    Null or empty text is scored as an empty one. A row with null doc_id is not
+    Null or empty text is scored as an empty one. Labels that are null or contradict
+    each other teach nothing. A row with null doc_id is not
     held out. Without toxic and ordinary labels all scores are low. Repeated rows
     give a row each; other columns are never looked at.
     """

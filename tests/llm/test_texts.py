@@ -211,6 +211,28 @@ def test_accepted_by_row(spark, labelled):
     assert kept.count((9999, good)) == 2 and (None, good) in kept and (None, None) in kept and bad not in {t for _, t in kept}
 
 
+def test_labels_that_contradict_or_repeat(spark, labelled):
+    docs, labels = labelled
+    want = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    both = labels.unionAll(labels).unionAll(spark.createDataFrame([(5001, 0), (5001, 1), (None, 1), (5000, None)], "doc_id long, toxic int"))
+    assert {r["doc_id"]: r["score"] for r in toxicity.scored(docs, both).collect()} == want
+
+
+def test_only_the_text_counts(spark, labelled):
+    docs, labels = labelled
+    want = sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.scored(docs, labels).collect())
+    other = docs.selectExpr("doc_id", "text", "1 - toxic as toxic", "'x' as lang", "'toxic' as source")
+    assert sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.scored(other, labels).collect()) == want
+
+
+def test_long_text_is_read_to_its_end(spark, labelled):
+    docs, labels = labelled
+    dull = docs.join(labels, "doc_id").filter(labels["toxic"] == 0).limit(60).agg(F.concat_ws(" ", F.collect_list("text")).alias("t")).first()["t"] * 5
+    more = docs.unionByName(spark.createDataFrame([(7000, dull), (7001, dull + " idiot worthless scumbag pathetic idiot")], "doc_id long, text string").selectExpr("*", "0 as toxic", "1e0 as score"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(more, labels).filter("doc_id >= 7000").collect()}
+    assert got == {7000: 0, 7001: 1}
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     assert toxicity.scored(docs, labels.limit(0)).filter("predicted = 1").count() == 0

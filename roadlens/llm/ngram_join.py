@@ -7,9 +7,10 @@ more. Each class picks the l with the least estimated cost: more matches cost mo
 shingles and leave fewer candidates. Frequencies for the order come from a counter
 table of fixed size over all documents; any order is right, a good one is fast.
 
-All pairs of a short list of classes that send a shingle are candidates. The
-classes of a long list are compared with one of them only, its pivot, and described
-by their differences to it: the shingles that just one of both has. Two that are
+All pairs of a short list of classes that send a shingle are candidates. A class
+with fewer long lists than matches asked for meets all it is similar to in a short
+one. What is left in long lists is compared with one member only, its pivot, and described
+by the differences to it: the shingles that just one of both has. Two that are
 similar to the pivot are connected through it. Of any other similar pair x, y with
 d and e differences to the pivot, (d + e - distance(x, y)) / 2 are the same, at
 least one, so the pair is found by the prefixes of its differences, in lists that
@@ -34,9 +35,9 @@ from . import _arrays as A
 from ._arrays import U64
 from .components import components, cut, gathered
 
-COUNTER_BITS, BLOCK = 18, 1 << 13
-#: Matches that a prefix is lengthened for at most; the estimated cost has its least below that.
-MOST_MATCHES = 8
+COUNTER_BITS, BLOCK = 20, 1 << 15
+#: Matches that a prefix is lengthened for, if the set has so many; the estimated cost has its least between.
+LEAST_MATCHES, MOST_MATCHES = 3, 8
 #: Cost of verifying a candidate in shingles sent; links of a shingle of unknown frequency.
 VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
@@ -108,12 +109,12 @@ class Shingles:
                 for _, _, _, h in shingle_sets(*A.utf8(batch.column("text")), k, key):
                     total += np.bincount(_counter(h), minlength=len(total)).astype(np.uint32)
             blocks = [total[i : i + BLOCK] for i in range(0, len(total), BLOCK)]
-            yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([b.astype(np.int64).tobytes() for b in blocks], pa.binary())})
+            yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
             total = np.zeros(BLOCK, np.int64)
             for x in table["counts"].to_pylist():
-                total += np.frombuffer(x, np.int64)
+                total += np.frombuffer(x, np.uint32)
             return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
         rows = self.docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
@@ -148,7 +149,7 @@ def features(shingles: Shingles) -> DataFrame:
                 for m in range(1, MOST_MATCHES + 1):
                     size = np.minimum(n, n - need + m)
                     c = size + VERIFY_COST * (cost[at[:-1] + size] - cost[at[:-1]]) / m
-                    better = (c < best) & ((m <= need) | (m == 1))
+                    better = (c < best) & (np.minimum(need, LEAST_MATCHES) <= m) & ((m <= need) | (m == 1))
                     best[better], matches[better] = c[better], m
                 size = np.minimum(n, n - need + matches)
                 sent, ends = A.gather(h[order], at[:-1], size)
@@ -270,13 +271,23 @@ def differences(x: np.ndarray, pivot: np.ndarray, often: np.ndarray) -> np.ndarr
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """Which classes send a shingle (k1), if several do. Long lists are divided into bands of like sizes (k2): a class is in its own band and the next."""
+    """Which classes send a shingle (k1), if several do, and the number of long lists (n_long) of the class.
+
+    A class is in its long lists only if it has as many as a similar class must share
+    at least. They are divided into bands of like sizes (k2): a class is in its own
+    band and the next.
+    """
     sent = classes.select(F.explode("prefix").alias("k1"), "class", "n", "weight", (F.col("n") - F.size("prefix")).alias("kept"))
     shared = gathered(sent.groupBy("k1").agg(F.count("*").alias("f")).filter("f > 1"))
+    by_class = sent.join(shared, "k1").groupBy("class").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("kept").alias("kept"), F.collect_list(F.struct("k1", "f")).alias("sent"))
+    share = lambda n: F.floor((n * percent + 99) / 100)
+    long = F.size(F.filter("sent", lambda s: s["f"] > SHORT))
+    asked = F.least(share(F.col("n")) - F.col("kept"), F.lit(LEAST_MATCHES), share(share(F.col("n"))))
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("n")
     bands = F.when(F.col("f") > SHORT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = sent.join(shared, "k1").select("k1", F.posexplode(bands).alias("next", "k2"), "class", "n", "weight", "kept")
-    return rows.select("k1", "k2", "class", "n", "weight", "kept", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"))
+    rows = by_class.withColumn("n_long", long).withColumn("asked", asked).select("*", F.inline("sent")).filter((F.col("f") <= SHORT) | (F.col("n_long") >= F.col("asked")))
+    rows = rows.select("k1", F.posexplode(bands).alias("next", "k2"), "class", "n", "weight", "kept", "n_long")
+    return rows.select("k1", "k2", "class", "n", "weight", "kept", "n_long", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"))
 
 
 def _next_lists(found: DataFrame) -> DataFrame:
@@ -285,7 +296,7 @@ def _next_lists(found: DataFrame) -> DataFrame:
     both = row("far_prefix", 0).filter("not near"), row("any_prefix", 1).filter("not near"), row("far_prefix", 2).filter("near")
     rows = both[0].unionAll(both[1]).unionAll(both[2])
     k2 = F.when(F.col("side") == 0, F.col("k2")).otherwise(F.xxhash64("k2"))
-    return rows.select("k1", k2.alias("k2"), "class", "n", "weight", F.lit(None).cast("long").alias("kept"), "side", F.lit(True).alias("own"))
+    return rows.select("k1", k2.alias("k2"), "class", "n", "weight", F.lit(None).cast("long").alias("kept"), F.lit(None).cast("int").alias("n_long"), "side", F.lit(True).alias("own"))
 
 
 def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
@@ -298,14 +309,14 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
     links = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
     def candidates(rows: DataFrame) -> DataFrame:
-        """Pairs of the lists, in enough of them: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all."""
+        """Pairs of short lists, in enough of them: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all; long lists may hold the rest."""
         x, y = rows, rows.alias("y")
         sides = ((F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.class") < F.col("y.class"))) | ((F.col("x.side") == 1) & (F.col("y.side") == 2))
         met = x.alias("x").join(y, (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & sides & (F.col("x.label") != F.col("y.label")) & (F.col("x.own") | F.col("y.own")) & _alike("x.n", "y.n", percent))
         common = F.floor(((F.col("x.n") + F.col("y.n")) * percent + 99 + percent) / (100 + percent))
         swap = F.col("x.class") < F.col("y.class")
         end = lambda c, first: F.when(swap == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-        met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept")).alias("least"))
+        met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept") - F.least("x.n_long", "y.n_long")).alias("least"))
         met = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.count("*").alias("met"), F.coalesce(F.min("least"), F.lit(1)).alias("least")).filter("met >= least")
         return met.select("a", "b", "n", F.lit(0.0).alias("weight"), F.lit(False).alias("pivot"))
 

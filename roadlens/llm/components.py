@@ -26,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
 TOGETHER = 50_000
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where df has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """`cut`, in as few partitions as its rows need."""
     out = cut(df)

@@ -10,6 +10,7 @@ last. Of that, all lines but those of menus, forms and the like are returned.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,6 +36,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, skip, container
+        self.count: Counter[str] = Counter()  # of open elements, by name
         self.parts: list[str] = []
         self.tags = self.containers = 0
 
@@ -42,6 +44,11 @@ class Lines(HTMLParser):
     def skip(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
+    def shut(self, k: int) -> None:
+        """Closes the open elements from number k on."""
+        self.count.subtract(name for name, _, _ in self.open[k:])
+        del self.open[k:]
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
@@ -53,9 +60,9 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-            for k in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph
+            for k in range(len(self.open) - 1, -1, -1) if self.count["p"] > 0 else ():  # a block ends an open paragraph
                 if self.open[k][0] == "p":
-                    del self.open[k:]
+                    self.shut(k)
                     break
                 if self.open[k][0] in BLOCK:
                     break
@@ -72,6 +79,7 @@ class Lines(HTMLParser):
             self.containers += 1
             container = self.containers
         self.open.append((tag, skip, container))
+        self.count[tag] += 1
 
     @staticmethod
     def unwanted(tag: str, attrs: dict, container: int) -> bool:
@@ -91,9 +99,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+        if self.count[tag] <= 0:  # nothing of that name is open
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self.shut(k)
                 break
 
     def handle_data(self, data):

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import free
+
 WINDOW, LONG_WORDS = 3, 50
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,16 +62,17 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     that share an id are taken in a fixed order, rows equal in id and text count
     as one document. Other columns are kept as they are.
     """
-    found = repeated_lines(docs, window, long_words, runs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    docs = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_own"] == found["_key"]), "left")
+    id_, key, gone, own = free(docs, "_id", "_key", "_lines", "_own")
+    found = repeated_lines(docs, window, long_words, runs).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("lines").alias(gone))
+    rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    both = rows.join(found, rows["doc_id"].eqNullSafe(found[id_]) & (rows[own] == found[key]), "left")
     every = F.split("text", "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_lines")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(every, i)), "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(every, i)), "\n"))
     return both.select(
-        *(text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "_own"),
+        *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
@@ -81,8 +84,10 @@ def digest(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
 
 def cleaned(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """`deduplicated`, runs too, with the columns of docs; a document of which no word is left goes, one that had none stays."""
-    out = deduplicated(docs, window, long_words, runs=True)
-    return out.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines"))).drop("_n_lines", "_n_removed")
+    inside = free(docs, "_n_lines", "_n_removed")
+    out = deduplicated(docs, window, long_words, True).toDF(*docs.columns, *inside)
+    n, removed = (F.col(c) for c in inside)
+    return out.filter((removed == 0) | (removed < n)).drop(*inside)
 
 
 ORACLE_SQL = r"""

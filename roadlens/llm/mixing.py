@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import cut, free
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of a source that are rounded together; a large source has many such parts.
@@ -55,6 +55,11 @@ def _key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _part():
+    """Which part of its source a row is rounded in: by its id, and rows without one, or of ids that many share, by their size too."""
+    return F.pmod(F.coalesce("doc_id", F.lit(0)) * 7 + F.floor(F.coalesce("doc_id", F.lit(0)) / 1000) + F.col("size"), F.ceil(F.col("n") / TOGETHER))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, key (hash of the row), source, size, source_size, target, rate, copies of docs (doc_id, text, source).
 
@@ -68,7 +73,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     totals = totals.withColumn("rate", rate("source_size", "target", most)).withColumnRenamed("source", "_source")
     both = sized.join(totals, sized["source"].eqNullSafe(totals["_source"])).drop("_source")
-    part = W.partitionBy("source", F.pmod(F.coalesce("doc_id", F.lit(0)), F.ceil(F.col("n") / TOGETHER)))
+    part = W.partitionBy("source", _part())
     k = F.row_number().over(part.orderBy(F.desc("size"), "doc_id", "key"))
     fraction = F.col("rate") - F.floor("rate")
     even = F.floor(fraction * k + 0.5) - F.floor(fraction * (k - 1) + 0.5)
@@ -96,16 +101,17 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     same = ["doc_id", "source", "key"]
     few = F.min("copies")
     counts = mixed(docs, weights, most).groupBy(*same).agg(few.alias("_few"), (F.sum("copies") - few * F.count("*")).alias("_more")).filter("_few + _more > 0")
-    counts = cut(counts.withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key"}))
-    docs = docs.withColumn("_own", _key())
-    both = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & docs["source"].eqNullSafe(some["_source"]) & (docs["_own"] == some["_key"]))
-    several = counts.filter("_more > 0")
-    out = both(counts.filter("_more = 0")).withColumn("_copies", F.col("_few"))
+    id_, source, key, least, more, own = free(docs, "_id", "_source", "_key", "_few", "_more", "_own")
+    counts = cut(counts.toDF(id_, source, key, least, more))
+    rows = docs.withColumn(own, _key())
+    both = lambda some: rows.join(some, rows["doc_id"].eqNullSafe(some[id_]) & rows["source"].eqNullSafe(some[source]) & (rows[own] == some[key]))
+    several = counts.filter(F.col(more) > 0)
+    out = both(counts.filter(F.col(more) == 0)).select(*(f"`{c}`" for c in docs.columns), F.col(least).alias("_copies"))
     if not several.isEmpty():
-        rows = both(several)
-        number = F.row_number().over(W.partitionBy("_id", "_source", "_key").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
-        out = out.unionByName(rows.withColumn("_copies", F.col("_few") + (number <= F.col("_more")).cast("long")).filter("_copies > 0"))
-    return out.drop("_own", "_id", "_source", "_key", "_few", "_more")
+        number = F.row_number().over(W.partitionBy(id_, source, key).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
+        again = both(several).select(*(f"`{c}`" for c in docs.columns), (F.col(least) + (number <= F.col(more)).cast("long")).alias("_copies"))
+        out = out.unionByName(again.filter(F.col("_copies") > 0))
+    return out
 
 
 ORACLE_SQL = r"""
@@ -116,8 +122,8 @@ v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum("full") OVER o, 0))::DO
       FROM w WINDOW o AS (ORDER BY "full"::DOUBLE / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least("full"::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target / source_size, 12), 3.0) ELSE 0.0 END AS rate FROM t),
-k AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS f, coalesce(d.doc_id, 0) % ceil(r.n / 2000.0)::BIGINT AS part,
-             row_number() OVER (PARTITION BY d.source, coalesce(d.doc_id, 0) % ceil(r.n / 2000.0)::BIGINT ORDER BY d.size DESC, d.doc_id NULLS FIRST) AS k
+k AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS f, (coalesce(d.doc_id, 0) * 7 + floor(coalesce(d.doc_id, 0) / 1000.0)::BIGINT + d.size) % ceil(r.n / 2000.0)::BIGINT AS part,
+             row_number() OVER (PARTITION BY d.source, (coalesce(d.doc_id, 0) * 7 + floor(coalesce(d.doc_id, 0) / 1000.0)::BIGINT + d.size) % ceil(r.n / 2000.0)::BIGINT ORDER BY d.size DESC, d.doc_id NULLS FIRST) AS k
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 e AS (SELECT *, (floor(f * k + 0.5) - floor(f * (k - 1) + 0.5))::BIGINT AS extra FROM k),
 g AS (SELECT *, f * sum(size) OVER p - sum(size * extra) OVER p AS lack FROM e WINDOW p AS (PARTITION BY source, part)),

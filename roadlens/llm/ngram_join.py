@@ -36,8 +36,8 @@ from ._arrays import U64
 from .components import components, cut, gathered
 
 COUNTER_BITS, BLOCK = 20, 1 << 15
-#: Matches that a prefix is lengthened for, if the set has so many; the estimated cost has its least between.
-LEAST_MATCHES, MOST_MATCHES = 3, 8
+#: A prefix is lengthened for so many matches, and a part of what a similar set may lack, if the set has so many; for some more where the estimated cost is less.
+LEAST_MATCHES, PART, MORE = 3, 8, (0, 1, 2, 3, 5, 8, 13)
 #: Cost of verifying a candidate in shingles sent; links of a shingle of unknown frequency.
 VERIFY_COST, UNSEEN = 20.0, 0.3
 #: Ids that are sent to every task at most (8 MB); beyond that they are joined by shuffle.
@@ -146,11 +146,12 @@ def features(shingles: Shingles) -> DataFrame:
                 cost = np.append(0, np.cumsum((often - 1 + UNSEEN)[order], dtype=np.float64))
                 need = least_overlap(n, percent)
                 best, matches = np.full(j - i, np.inf), np.ones(j - i, np.int64)
-                for m in range(1, MOST_MATCHES + 1):
+                for more in MORE:
+                    m = np.maximum(1, np.minimum(need, LEAST_MATCHES + (n - need) // PART + more))
                     size = np.minimum(n, n - need + m)
                     c = size + VERIFY_COST * (cost[at[:-1] + size] - cost[at[:-1]]) / m
-                    better = (c < best) & (np.minimum(need, LEAST_MATCHES) <= m) & ((m <= need) | (m == 1))
-                    best[better], matches[better] = c[better], m
+                    better = c < best
+                    best[better], matches[better] = c[better], m[better]
                 size = np.minimum(n, n - need + matches)
                 sent, ends = A.gather(h[order], at[:-1], size)
                 none = n == 0
@@ -282,7 +283,9 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     by_class = sent.join(shared, "k1").groupBy("class").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("kept").alias("kept"), F.collect_list(F.struct("k1", "f")).alias("sent"))
     share = lambda n: F.floor((n * percent + 99) / 100)
     long = F.size(F.filter("sent", lambda s: s["f"] > SHORT))
-    asked = F.least(share(F.col("n")) - F.col("kept"), F.lit(LEAST_MATCHES), share(share(F.col("n"))))
+    # matches of the smallest set that can be similar; larger ones ask for more
+    small = share(F.col("n"))
+    asked = F.least(share(F.col("n")) - F.col("kept"), share(small), LEAST_MATCHES + F.floor((small - share(small)) / PART))
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("n")
     bands = F.when(F.col("f") > SHORT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
     rows = by_class.withColumn("n_long", long).withColumn("asked", asked).select("*", F.inline("sent")).filter((F.col("f") <= SHORT) | (F.col("n_long") >= F.col("asked")))
@@ -382,11 +385,12 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = first.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
     wordless = found.filter("class is null").select("doc_id", "key").distinct().withColumn("copies", F.lit(1).cast("long"))
     keep = cut(first.select("first.doc_id", "first.key", "first.copies").union(wordless).toDF("_id", "_key", "_copies"))
-    docs = docs.withColumn("_own", _key())
-    taken = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (docs["_own"] == some["_key"]), "left_semi")
+    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    taken = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (own == some["_key"]), "left_semi")
     several = keep.filter("_copies > 1")
     out = taken(keep.filter("_copies = 1"))
     if not several.isEmpty():
-        row = F.struct(*out.columns)
-        out = out.unionByName(taken(several).groupBy("doc_id", "_own").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*"))
-    return out.drop("_own")
+        row = F.struct(*docs.columns)
+        again = taken(several).groupBy(F.col("doc_id").alias("id"), _key().alias("key")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out

@@ -274,13 +274,13 @@ def differences(x: np.ndarray, pivot: np.ndarray, often: np.ndarray) -> np.ndarr
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
     """Which classes send a shingle (k1), if several do, and the number of long lists (n_long) of the class.
 
-    A class is in its long lists only if it has as many as a similar class must share
-    at least. They are divided into bands of like sizes (k2): a class is in its own
+    A class is in long lists only if it has as many as a similar class must share at
+    least, and then in the shorter ones. They are divided into bands of like sizes (k2): a class is in its own
     band and the next.
     """
     sent = classes.select(F.explode("prefix").alias("k1"), "class", "n", "weight", (F.col("n") - F.size("prefix")).alias("kept"))
     shared = gathered(sent.groupBy("k1").agg(F.count("*").alias("f")).filter("f > 1"))
-    by_class = sent.join(shared, "k1").groupBy("class").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("kept").alias("kept"), F.collect_list(F.struct("k1", "f")).alias("sent"))
+    by_class = sent.join(shared, "k1").groupBy("class").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("f", "k1"))).alias("sent"))
     share = lambda n: F.floor((n * percent + 99) / 100)
     long = F.size(F.filter("sent", lambda s: s["f"] > SHORT))
     # matches of the smallest set that can be similar; larger ones ask for more
@@ -288,16 +288,19 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     asked = F.least(share(F.col("n")) - F.col("kept"), share(small), LEAST_MATCHES + F.floor((small - share(small)) / PART))
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("long") if percent < 100 else F.col("n")
     bands = F.when(F.col("f") > SHORT, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = by_class.withColumn("n_long", long).withColumn("asked", asked).select("*", F.inline("sent")).filter((F.col("f") <= SHORT) | (F.col("n_long") >= F.col("asked")))
+    # two classes that meet in long lists alone share `asked` of them: one is among the shortest, all but asked - 1
+    kept = F.slice("sent", F.lit(1), F.size("sent") - F.least("n_long", F.col("asked") - 1).cast("int"))
+    rows = by_class.withColumn("n_long", long).withColumn("asked", asked).select("*", F.inline(kept))
     rows = rows.select("k1", F.posexplode(bands).alias("next", "k2"), "class", "n", "weight", "kept", "n_long")
     return rows.select("k1", "k2", "class", "n", "weight", "kept", "n_long", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"))
 
 
 def _next_lists(found: DataFrame) -> DataFrame:
     """Lists of the classes by pivot (k1) and shared difference (k2): pairs are to be looked for on side 0, or from side 1 to side 2."""
-    row = lambda tokens, side: found.select(F.col("b").alias("k1"), F.explode(tokens).alias("k2"), F.col("a").alias("class"), "n", "weight", "near").withColumn("side", F.lit(side))
-    both = row("far_prefix", 0).filter("not near"), row("any_prefix", 1).filter("not near"), row("far_prefix", 2).filter("near")
-    rows = both[0].unionAll(both[1]).unionAll(both[2])
+    company = found.groupBy(F.col("b").alias("pivot_")).agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"))
+    found = found.join(company, F.col("b") == F.col("pivot_")).filter("fars > 1 or fars > 0 and nears > 0")
+    row = lambda tokens, side: found.select("nears", "fars", F.col("b").alias("k1"), F.explode(tokens).alias("k2"), F.col("a").alias("class"), "n", "weight", "near").withColumn("side", F.lit(side))
+    rows = row("far_prefix", 0).filter("not near and fars > 1").unionAll(row("any_prefix", 1).filter("not near and nears > 0")).unionAll(row("far_prefix", 2).filter("near"))
     k2 = F.when(F.col("side") == 0, F.col("k2")).otherwise(F.xxhash64("k2"))
     return rows.select("k1", k2.alias("k2"), "class", "n", "weight", F.lit(None).cast("long").alias("kept"), F.lit(None).cast("int").alias("n_long"), "side", F.lit(True).alias("own"))
 
@@ -330,7 +333,7 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
         # a list matters if it has two labels, a class in its own band and, if sides are to be joined, both
         heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("weight", "class")).alias("head"))
         heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", F.col("head.class").alias("pivot")))
-        pairs = candidates(cut(lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi")))
+        pairs = candidates(lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi"))
         if not last:
             long = lists.join(heads.filter(F.col("f") > SHORT), ["k1", "k2"]).filter("class <> pivot")
             pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight")).withColumn("pivot", F.lit(True)))

@@ -113,18 +113,27 @@ class PrefixHash:
         done, factor = 1, base % int(PRIME)
         while done <= n:  # powers double in number, each the ones before times base ** done
             more = min(done, n + 1 - done)
-            self.power[done : done + more] = times(self.power[:more], np.full(more, factor, U64))
+            for i in range(0, more, SLICE):
+                part = self.power[i : min(i + SLICE, more)]
+                self.power[done + i : done + i + len(part)] = times(part, np.full(len(part), factor, U64))
             done, factor = done * 2, factor * factor % int(PRIME)
-        term = times(_reduced(values.astype(U64) + U64(1)), self.power[:n])
-        high, low = np.cumsum(term >> U64(32), dtype=U64), np.cumsum(term & U64((1 << 32) - 1), dtype=U64)
         self.sums = np.zeros(n + 1, U64)
-        self.sums[1:] = _reduced(_reduced((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32))) + _reduced(low))
+        for i in range(0, n, SLICE):  # in slices, as a product takes a dozen arrays of its size
+            j = min(n, i + SLICE)
+            term = times(_reduced(values[i:j].astype(U64) + U64(1)), self.power[i:j])
+            high, low = np.cumsum(term >> U64(32), dtype=U64), np.cumsum(term & U64((1 << 32) - 1), dtype=U64)
+            high = _reduced((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32)))
+            self.sums[i + 1 : j + 1] = _reduced(high + _reduced(low) + self.sums[i])
 
     def same(self, a: np.ndarray, b: np.ndarray, size) -> np.ndarray:
         """Whether the stretches of `size` at a and b have equal hashes."""
-        x, y = np.minimum(a, b), np.maximum(a, b)
-        of = lambda z: _reduced(self.sums[z + size] + PRIME - self.sums[z])
-        return times(of(x), self.power[y - x]) == of(y)
+        out = np.zeros(len(a), bool)
+        size = np.broadcast_to(size, len(a))
+        for i in range(0, len(a), SLICE):
+            x, y, n = np.minimum(a[i : i + SLICE], b[i : i + SLICE]), np.maximum(a[i : i + SLICE], b[i : i + SLICE]), size[i : i + SLICE]
+            of = lambda z, n=n: _reduced(self.sums[z + n] + PRIME - self.sums[z])
+            out[i : i + SLICE] = times(of(x), self.power[y - x]) == of(y)
+        return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -86,7 +86,10 @@ def later_windows(w: Windows, spec: Spec) -> np.ndarray:
     hit = np.zeros(len(w.start), bool)
     if not len(w.start):
         return hit
-    full = A.grams(w.tokens, spec.length, spec.key)[w.start]
+    full = np.empty(len(w.start), np.uint64)
+    for i in range(0, len(full), A.SLICE):
+        part = w.start[i : i + A.SLICE]
+        full[i : i + A.SLICE] = A.stretches(w.tokens, part, np.full(len(part), spec.length), spec.key)
     _, kind, count = np.unique(full, return_inverse=True, return_counts=True)
     able = np.flatnonzero(count[kind] > 1)  # a window without an equal hash has no equal
     if not len(able):

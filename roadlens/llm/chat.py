@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
 BOS, EOS, INST, END_INST, ROLE, END_ROLE = range(len(CONTROL))
+#: Ids of a conversation that are read together, and a turn more.
+PIECE = 1 << 14
 _CONTROL = re.compile("|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROL))
 _ESCAPED = re.compile(r"\\(\\?)")
 
@@ -113,49 +115,122 @@ def formatted_turns(conversations: DataFrame, path: str = VOCABULARY) -> DataFra
     return _rows(conversations).mapInArrow(run, "conv_id long, turn long, ids array<int>, mask array<byte>")
 
 
-def round_trip(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """What the formatted conversations say, read back from ids and masks: a row for each conv_id.
+def conversation_stream(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """conv_id, piece (from 0), ids, mask: each conversation assembled, <s> and its turns, in pieces of about PIECE ids.
 
-    Turns are formatted and read back side by side; a conversation's digest then
-    takes its sorted turns one after the other, so a very long one needs no more
-    memory than a short one.
+    Rows are taken in order of turn, role and token ids, null turns first. Turns are
+    encoded where they lie; only the assembly takes a conversation in one task, a
+    piece and a turn at a time. Pieces are cut between turns, but readers need not
+    know. Nulls, repeated rows and other columns as in `formatted_turns`.
     """
     raw = conversations.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    def read(batches):
+    def encode(batches):
         form = Formatter(raw.value)
         for batch in batches:
-            said = [form.read(*form.turn(r, t)) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            role, text, loss, size = (pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64())))
-            yield pa.record_batch({"conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": role, "text": text, "loss": loss, "size": size})
+            made = [form.turn(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            ids, mask = (pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))
+            yield pa.record_batch({"conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": batch.column("role"), "ids": ids, "mask": mask})
+
+    def assemble(batches):
+        begin = Formatter(raw.value).reserved + BOS
+        key, piece, size, parts, seen = None, 0, 0, [], False
+
+        def cut():
+            nonlocal piece, size, parts
+            ids, mask = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            out = pa.record_batch({"conv_id": pa.array([key], pa.int64()), "piece": pa.array([piece], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32())), "mask": pa.array([mask], pa.list_(pa.int8()))})
+            piece, size, parts = piece + 1, 0, []
+            return out
+
+        for batch in batches:
+            for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "mask")), strict=True):
+                if not seen or conv != key:
+                    if parts:
+                        yield cut()
+                    key, piece, seen = conv, 0, True
+                    parts = [(np.array([begin], np.int32), np.zeros(1, np.int8))]
+                parts.append((np.frombuffer(ids, np.int32), np.frombuffer(mask, np.int8)))
+                size += len(parts[-1][0])
+                if size >= PIECE:
+                    yield cut()
+        if parts:
+            yield cut()
+
+    turns = _rows(conversations).mapInArrow(encode, "conv_id long, turn long, role string, ids binary, mask binary")
+    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    return turns.select("conv_id", "ids", "mask").mapInArrow(assemble, "conv_id long, piece long, ids array<int>, mask array<byte>")
+
+
+class Reader:
+    """Digest of a conversation, from its ids and mask alone, in pieces that may be cut anywhere.
+
+    A turn ends with [/INST] or </s>, whoever speaks; what follows the last end
+    waits for the next piece.
+    """
+
+    def __init__(self, form: Formatter):
+        self.form, self.begun = form, False
+        self.ids, self.mask = np.zeros(0, np.int32), np.zeros(0, np.int8)
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, ids: np.ndarray, mask: np.ndarray) -> None:
+        ids, mask = np.append(self.ids, ids), np.append(self.mask, mask)
+        at = 0
+        if not self.begun and len(ids):
+            if ids[0] != self.form.reserved + BOS:
+                raise ValueError("a conversation begins with <s>")
+            self.begun, at = True, 1
+            self.formatted_chars += len(CONTROL[BOS])
+        for end in np.flatnonzero((ids == self.form.reserved + EOS) | (ids == self.form.reserved + END_INST)).tolist():
+            role, text, loss, size = self.form.read(ids[at : end + 1], mask[at : end + 1])
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.loss.update(loss.encode())
+            self.loss_chars += len(loss)
+            self.formatted_chars += size
+            at = end + 1
+        self.ids, self.mask = ids[at:], mask[at:]
+
+    def row(self) -> tuple:
+        if len(self.ids):
+            raise ValueError("a conversation breaks off inside a turn")
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+
+
+def round_trip(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """What the assembled conversations say, read back from the ids and masks of `conversation_stream`: a row for each conv_id.
+
+    A very long conversation needs no more memory than a short one.
+    """
+    stream = conversation_stream(conversations, path)
+    raw = conversations.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def digest(batches):
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-        key, state, done = None, None, []
+        form = Formatter(raw.value)
+        key, reader, done = None, None, []
 
-        def close():
-            done.append({"conv_id": key, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]})
+        def table():
+            return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema).to_batches()
 
         for batch in batches:
-            for conv, role, text, loss, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "size")), strict=True):
-                if state is None or conv != key:
-                    if state:
-                        close()
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), len(CONTROL[BOS])]
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += size
+            ids, mask = batch.column("ids"), batch.column("mask")
+            for k, (conv, piece) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("piece").to_pylist(), strict=True)):
+                if piece == 0:
+                    if reader:
+                        done.append((key, *reader.row()))
+                    key, reader = conv, Reader(form)
+                reader.feed(ids[k].values.to_numpy(), mask[k].values.to_numpy())
             if len(done) >= 1000:
-                yield from pa.Table.from_pylist(done, schema).to_batches()
+                yield from table()
                 done = []
-        if state:
-            close()
-        yield from pa.Table.from_pylist(done, schema).to_batches()
+        if reader:
+            done.append((key, *reader.row()))
+        yield from table()
 
-    turns = _rows(conversations).mapInArrow(read, "conv_id long, turn long, role string, text string, loss string, size long")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return stream.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: Both turns say what the template itself says.

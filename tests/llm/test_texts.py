@@ -4,6 +4,7 @@ import random
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,18 +40,41 @@ TALK = [
 ]
 
 
+def written_turn(role, text):
+    if role == "user":
+        return f"[INST]{text}[/INST]"
+    return f"{text}</s>" if role == "assistant" else f"[ROLE]{chat.escape(role)}[/ROLE]{text}</s>"
+
+
 def test_round_trip(spark):
     df = spark.createDataFrame([(*t, 1) for t in TALK], "conv_id long, turn int, role string, text string, size int")
     want = []
     for conv in {t[0] for t in TALK}:
         turns = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in TALK if t[0] == conv))
         learnt = "".join(t[3] for t in turns if t[2] == "assistant")
-        want.append((conv, len(turns), brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(learnt), brute.sha(learnt)))
-    got = rows(chat.round_trip(df))
-    assert [g[:5] for g in got] == sorted(want, key=str)
+        written = "<s>" + "".join(written_turn(t[2], chat.escape(t[3])) for t in turns)
+        want.append((conv, len(turns), brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(learnt), brute.sha(learnt), len(written)))
+    assert rows(chat.round_trip(df)) == sorted(want, key=str)
     assert rows(chat.round_trip(df.limit(0))) == []
 
 
+def test_stream(spark, monkeypatch):
+    """A conversation is one stream of ids, wherever its pieces are cut."""
+    monkeypatch.setattr(chat, "PIECE", 4)
+    df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"word {k} " * k) for k in range(9)], "conv_id long, turn int, role string, text string")
+    form = chat.Formatter(chat.vocabulary(chat.VOCABULARY))
+    found = chat.conversation_stream(df).orderBy("piece").collect()
+    ids, mask = ([x for r in found for x in r[c]] for c in ("ids", "mask"))
+    assert ids.count(form.reserved + chat.BOS) == 1 and ids[0] == form.reserved + chat.BOS and len(ids) == len(mask)
+    told = set()
+    for step in (1, 3, 1000):
+        reader = chat.Reader(form)
+        for k in range(0, len(ids), step):
+            reader.feed(np.array(ids[k : k + step], np.int32), np.array(mask[k : k + step], np.int8))
+        told.add(reader.row())
+    assert told == {tuple(rows(chat.round_trip(df))[0][1:])}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\", "<s>", "</s>", "<\\/s>", "[[INST]", "[/ROLE][ROLE", "a\\[INST]b"])
 def test_escape(text):
     safe = chat.escape(text)

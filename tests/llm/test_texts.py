@@ -1,6 +1,7 @@
 """Chat formatting, page text, mixing, line dedup, toxicity, and the pipeline."""
 
 import random
+import time
 
 import brute
 import duckdb
@@ -104,6 +105,50 @@ def test_page_without_article():
     assert html_text.main_text(html) == "\n".join([long.strip(), "Hm.", long.strip()])
 
 
+PROSE = "Word by word it goes. " * 20
+KEPT = PROSE.strip()
+LINK_LIST = "<ul><li><a href=a>Share it</a></li><li><a href=b>Tell us</a></li><li><a href=c>Mail</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # names only tip it: a wrapper, and prose inside an article
+        (f"<div class=widget-content><article><h1>T</h1><p>{PROSE}</p></article></div><p>Other</p>", f"T\n{KEPT}"),
+        (f"<div class=widget-content><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><p>© 2020</p>", f"T\n{KEPT}\n{KEPT}"),
+        (f"<article><h1>T</h1><p>{PROSE}</p><div class=social-text><p>{PROSE}</p></div></article>", f"T\n{KEPT}\n{KEPT}"),
+        # chrome without a name
+        (f"<article><p>{PROSE}</p>{LINK_LIST}<p>end</p></article>", f"{KEPT}\nend"),
+        (f"<div>{LINK_LIST}</div><div><h1>T</h1><p>{PROSE}</p><p>Hm.</p><p>{PROSE}</p></div><div>© 2020 <a href=x>Imprint</a></div>", f"T\n{KEPT}\nHm.\n{KEPT}"),
+        # comments outweigh the article; an article in two parts; a teaser
+        (f"<article><h1>T</h1><p>{PROSE}</p></article><div id=comments>{f'<article><p>{PROSE}</p></article>' * 5}</div>", f"T\n{KEPT}"),
+        (f"<h1>Title</h1><article><p>{PROSE * 3}</p></article><article><p>{PROSE}</p></article>", f"Title\n{(PROSE * 3).strip()}\n{KEPT}"),
+        (f"<article><p>{PROSE * 3}</p></article><article><h2><a href=y>More</a></h2><p>{PROSE}</p></article>", (PROSE * 3).strip()),
+    ],
+)
+def test_ratio_decides(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_generated_pages():
+    """Whatever chrome stands around an article, named or not, what is between is returned."""
+    rng = random.Random(5)
+    chrome = ["<nav>{}</nav>", "<div class=menu>{}</div>", "<div>{}</div>", "<footer>{}</footer>", "<aside><p>{}</p></aside>", "<div id=sidebar>{}</div>"]
+    for _ in range(200):
+        blocks = [" ".join(rng.choice(("lorem", "ipsum", "dolor", "sit")) for _ in range(rng.randint(30, 90))) for _ in range(rng.randint(2, 6))]
+        body = "".join(f"<p>{b.replace('dolor', '<b>dolor</b>')}</p>" for b in blocks)
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class=widget-area>{}</div>", "<div>{}</div>"])
+        around = ["".join(rng.choice(chrome).format(LINK_LIST) for _ in range(rng.randint(0, 3))) for _ in range(2)]
+        assert html_text.main_text(f"<body>{around[0]}{wrap.format(body)}{around[1]}</body>") == "\n".join(blocks)
+
+
+def test_many_tags():
+    for html in ("<b>" * 100_000 + "</i>" * 100_000, "<div class=ad>x" * 20_000, "<article>x</article>" * 20_000):
+        start = time.perf_counter()
+        html_text.main_text(html)
+        assert time.perf_counter() - start < 5
+
+
 @pytest.mark.parametrize("html, text", [("", ""), ("plain", "plain"), ("<p", ""), ("<article><p>open", "open"), ("<nav>only</nav>", "")])
 def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
@@ -115,8 +160,6 @@ def test_pages(spark):
 
 
 def test_end_tags_without_beginning():
-    import time
-
     start = time.perf_counter()
     assert html_text.main_text("<div>" * 30_000 + "</span>" * 100_000 + "text") == "text"
     assert time.perf_counter() - start < 10

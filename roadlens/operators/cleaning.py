@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # Patterns and bounds.
 PLATE = r"^[A-Z]{2}\d{2}[A-Z]{2}\d{4}$"
+STATES = ["MP", "MH", "DL", "KA", "TN", "UP", "GJ", "RJ", "WB", "AP"]
 FILE_USER = [r"user_?(\d+)", r"driver_?(\d+)", r"u(\d+)", r"d(\d+)"]
 MAX_DISTANCE, MAX_DURATION, MIN_DURATION, MAX_SPEED = 2000.0, 1440.0, 2.0, 200.0
 
@@ -22,6 +23,23 @@ def is_plate(column: Column) -> Column:
     return F.upper(F.trim(column)).rlike(PLATE)
 
 
+def generated_vehicle(user: Column) -> Column:
+    """A number like MP09-AB1234 that depends on the user only."""
+    digits = F.md5(F.concat(F.lit("vehicle_"), user.cast("string")))
+    part = lambda k, n, size: F.conv(F.substring(digits, k, n), 16, 10).cast("long") % size
+    letter = lambda k: F.char(part(k, 2, 26) + 65)
+    state = F.element_at(F.array(*map(F.lit, STATES)), (part(1, 4, len(STATES)) + 1).cast("int"))
+    district = F.lpad((part(5, 4, 99) + 1).cast("string"), 2, "0")
+    return F.concat(state, district, F.lit("-"), letter(9), letter(11), (part(13, 4, 9000) + 1000).cast("string"))
+
+
+def vehicle_number(given: Column, file_name: Column, user: Column) -> Column:
+    """The standard form of a given number, else the plate in the file's name, else a generated one; nothing but signs is no number."""
+    plate = F.upper(F.regexp_extract(file_name, f"(?i)({PLATE.strip('^$')})", 1))
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(vehicle_standard(given)), some(plate), generated_vehicle(user))
+
+
 def hashed_id(column: Column, size: int) -> Column:
     """A number from 1 to size by the first eight hex digits of an MD5."""
     return F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long") % size + 1

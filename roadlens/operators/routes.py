@@ -97,6 +97,23 @@ def pick(requests: DataFrame, stats: DataFrame, efficiency: DataFrame) -> DataFr
     return own.select("request_id", choice.alias("choice"), F.expr(rounded("saved", 2)).alias("fuel_savings"), "minutes_saved", F.expr(rounded("saved * 20", 2)).alias("monthly_savings"))
 
 
+def saved(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """The best option of each request, in the columns of a saved route."""
+    place = lambda a, b: F.concat_ws(",", F.col(a).cast("string"), F.col(b).cast("string"))
+    return ranked(requests, stats).filter("place = 1").select(
+        "user_id",
+        F.concat("type", F.lit(" route")).alias("route_name"),
+        place("lat1", "lon1").alias("start_location"),
+        place("lat2", "lon2").alias("end_location"),
+        F.col("type").alias("route_type"),
+        F.col("distance").alias("distance_km"),
+        F.col("minutes").cast("int").alias("travel_time_minutes"),
+        F.col("fuel").alias("fuel_consumption"),
+        F.col("cost").alias("fuel_cost"),
+        F.col("score").cast("int").alias("efficiency_score"),
+    )
+
+
 def savings(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """What each option costs more than the eco one."""
     own = options(requests, stats).select("request_id", "type", "cost", "fuel", "minutes")

@@ -73,12 +73,24 @@ FUEL_RATE = "(CASE WHEN max_rpm > 4000 OR brake_events > 5 THEN 12e-2 WHEN max_r
 FUEL = f"greatest(1e-1, CASE WHEN fuel_first > 0 AND fuel_last > 0 AND fuel_first > fuel_last THEN fuel_first - fuel_last ELSE {FUEL_RATE} * distance_km END)"
 DISTANCE = "(CASE WHEN last_distance > 0 THEN last_distance ELSE greatest(1e-1, avg_speed * n_rows / 36e2) END)"
 POINTS = "((CASE WHEN max_rpm > 5000 THEN 2 ELSE 0 END) + (CASE WHEN brake_events > 5 THEN 2 ELSE 0 END) + (CASE WHEN avg_speed > 80 THEN 1 ELSE 0 END) + (CASE WHEN throttle > 70 THEN 1 ELSE 0 END))"
-LABEL = f"(CASE WHEN {POINTS} >= 3 THEN 'Risky' WHEN {POINTS} >= 1 THEN 'Average' ELSE 'Good' END)"
-GEAR = "(CASE WHEN avg_speed < 25 THEN 2 WHEN avg_speed < 50 THEN 3 ELSE 5 END)"
+LABEL = f"(CASE WHEN rating IS NOT NULL THEN rating WHEN {POINTS} >= 3 THEN 'Risky' WHEN {POINTS} >= 1 THEN 'Average' ELSE 'Good' END)"
+GEAR = "(CASE WHEN gear IS NOT NULL THEN CAST(floor(gear) AS INT) WHEN avg_speed < 25 THEN 2 WHEN avg_speed < 50 THEN 3 ELSE 5 END)"
+
+DURATION = "(CASE WHEN last_time > 0 THEN last_time ELSE greatest(1e0, n_rows / 6e1) END)"
+ACCELERATION = "coalesce(mean_acceleration, mean_step / 36e-1)"
+TURN = "coalesce(mean_turn, mean_steering * 1e-1)"
+#: Sensors whose mean is a trip's value.
+MEANS = {"acceleration": "mean_acceleration", "coolant_temp": "coolant", "steering_angle": "mean_steering", "angular_velocity": "mean_turn", "gear_position": "gear", "tire_pressure": "tire", "brake_pressure": "brake"}
 
 
 def aggregated(segments: DataFrame, key: list[str], order: str, run_date: str, least: int = LEAST_ROWS) -> DataFrame:
-    """One row a trip of segments long enough that have speeds, rpm and throttle."""
+    """One row a trip of segments long enough that have speeds, rpm and throttle.
+
+    Sensors win over what is derived from others: trip time over the number of
+    rows, a rating over points, acceleration over steps of speed, turn over
+    steering, gear over speed. A sensor without values is NULL (`imputed_trip`
+    fills those). Steps are taken from the last known speed.
+    """
     trip = [*key, "trip_index"]
     w = W.partitionBy(*trip).orderBy(order)
     # the last known speed before a sample, over those that have one
@@ -103,6 +115,9 @@ def aggregated(segments: DataFrame, key: list[str], order: str, run_date: str, l
         last("latitude").alias("lat2"),
         last("longitude").alias("lon2"),
         F.to_date(first("ts")).alias("day"),
+        last("trip_time").alias("last_time"),
+        first("driver_rating").alias("rating"),
+        *(F.avg(c).alias(name) for c, name in MEANS.items()),
     )
     t = t.filter(f"n_rows >= {least} AND avg_speed IS NOT NULL AND max_rpm IS NOT NULL AND throttle IS NOT NULL")
     t = t.withColumn("distance_km", F.expr(DISTANCE)).withColumn("fuel_consumed", F.expr(FUEL)).withColumn("score", F.expr(LABEL)).withColumn("gear_position", F.expr(GEAR))
@@ -116,13 +131,19 @@ def aggregated(segments: DataFrame, key: list[str], order: str, run_date: str, l
         r("avg_speed", 2).alias("avg_speed_kmph"),
         r("max_speed", 2).alias("max_speed"),
         F.col("max_rpm").cast("int").alias("max_rpm"),
-        r("fuel_consumed", 2).alias("fuel_consumed"),
+        r("fuel_consumed", 3).alias("fuel_consumed"),
         "brake_events",
-        r("mean_step / 36e-1", 3).alias("acceleration"),
+        r("mean_steering", 2).alias("steering_angle"),
+        r(TURN, 3).alias("angular_velocity"),
+        r(ACCELERATION, 3).alias("acceleration"),
         "gear_position",
+        r("tire", 1).alias("tire_pressure"),
+        r("brake", 2).alias("brake_pressure"),
+        r("coolant", 1).alias("coolant_temp"),
         r("engine_load", 1).alias("engine_load"),
         r("throttle", 1).alias("throttle_position"),
-        r("greatest(1e0, n_rows / 6e1)", 2).alias("trip_duration"),
+        r(DURATION, 2).alias("trip_duration"),
+        F.when(F.expr("lat1 IS NOT NULL AND lon1 IS NOT NULL"), F.concat(F.lit("["), place("lat1", "lon1"), F.lit("]"))).alias("gps_path"),
         place("lat1", "lon1").alias("start_location"),
         place("lat2", "lon2").alias("end_location"),
         "score",

@@ -43,6 +43,18 @@ def vehicle_check(spark, sf_dir):
     return V.telemetry(spark, sf_dir).select("sample_id", C.is_plate(F.replace(C.vehicle_standard(F.col("raw_vehicle_number")), F.lit("-"), F.lit(""))).alias("ok"))
 
 
+_HEX = lambda k, n, size: f"CAST(concat('0x', substr(md5(concat('vehicle_', CAST(user_id AS STRING))), {k}, {n})) AS BIGINT) % {size}"
+_GENERATED = f"concat([{', '.join(map(repr, C.STATES))}][{_HEX(1, 4, 10)} + 1], lpad(CAST({_HEX(5, 4, 99)} + 1 AS STRING), 2, '0'), '-', chr(CAST({_HEX(9, 2, 26)} + 65 AS INT)), chr(CAST({_HEX(11, 2, 26)} + 65 AS INT)), CAST({_HEX(13, 4, 9000)} + 1000 AS STRING))"
+_VEHICLE_GIVEN = "CASE WHEN user_id % 3 = 0 THEN raw_vehicle_number WHEN user_id % 3 = 1 THEN ' - ' END"
+_VEHICLE_FILE = "CASE WHEN sample_id % 2 = 0 THEN concat('log_mp09ab', CAST(1000 + user_id % 9000 AS STRING), '.csv') ELSE 'IDLE28.csv' END"
+
+
+@query("vehicle_resolve", TELE(f"SELECT sample_id, coalesce(nullif({_STANDARD('given')}, ''), nullif(upper(regexp_extract(file, '(?i)({C.PLATE.strip('^$')})', 1)), ''), {_GENERATED}) AS vehicle_number FROM (SELECT sample_id, user_id, {_VEHICLE_GIVEN} AS given, {_VEHICLE_FILE} AS file FROM telemetry) t"))
+def vehicle_resolve(spark, sf_dir):
+    t = V.telemetry(spark, sf_dir).selectExpr("sample_id", "user_id", f"{_VEHICLE_GIVEN} AS given", f"{_VEHICLE_FILE} AS file")
+    return t.select("sample_id", C.vehicle_number(F.col("given"), F.col("file"), F.col("user_id")).alias("vehicle_number"))
+
+
 _HASH = lambda c, n: f"(CAST(concat('0x', substr(md5({c}), 1, 8)) AS BIGINT) % {n}) + 1"
 _GIVEN = "CASE sample_id % 5 WHEN 0 THEN CAST(user_id AS STRING) ELSE 'n/a' END"
 _FILE = "CASE sample_id % 5 WHEN 1 THEN concat('user_', CAST(user_id AS STRING), '.csv') WHEN 2 THEN concat('Driver', CAST(user_id AS STRING), '_log.csv') ELSE concat('trip', CAST(sample_id AS STRING), '.csv') END"
@@ -141,15 +153,17 @@ _AUTO = (
     ", m AS (SELECT user_id, CASE WHEN bool_or(ts IS NOT NULL) AND count(*) >= 2 THEN 'gap' WHEN bool_or(speed IS NOT NULL) THEN 'stop' WHEN bool_or(trip_distance IS NOT NULL) THEN 'reset' ELSE 'whole' END AS method FROM tele GROUP BY user_id)"
     ", g AS (SELECT user_id, method, sample_id, CASE WHEN method = 'gap' AND ts > lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 WHEN method = 'reset' AND coalesce(trip_distance, 0e0) < lag(coalesce(trip_distance, 0e0)) OVER w - 1 THEN 1 ELSE 0 END AS fresh FROM tele JOIN m USING (user_id) WHERE method <> 'stop' WINDOW w AS (PARTITION BY user_id ORDER BY sample_id))"
     ", seg AS (SELECT user_id, method, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY sample_id) AS BIGINT) AS trip_index FROM g)"
-    ", stops AS (SELECT user_id, count(*) AS n FROM tele JOIN m USING (user_id) WHERE method = 'stop' GROUP BY user_id)"
-    " SELECT method, count(*) AS n_samples, count(DISTINCT concat_ws('_', CAST(user_id AS STRING), CAST(trip_index AS STRING))) AS n_segments FROM seg GROUP BY method"
+    ", stopped AS (SELECT tele.* FROM tele JOIN m USING (user_id) WHERE method = 'stop')"
+    + _SEG_STOP.replace("FROM telemetry", "FROM stopped").replace("ORDER BY ts, sample_id", "ORDER BY sample_id").replace("seg AS (", "stops AS (")
+    + ", parts AS (SELECT user_id, method, trip_index FROM seg UNION ALL SELECT user_id, 'stop', trip_index FROM stops)"
+    " SELECT method, count(*) AS n_samples, count(DISTINCT concat_ws('_', CAST(user_id AS STRING), CAST(trip_index AS STRING))) AS n_segments FROM parts GROUP BY method"
 )
 
 
 @query("seg_auto", TELE(_AUTO))
 def seg_auto(spark, sf_dir):
-    """How many samples and segments each method gives; the stops have a query of their own."""
-    out = S.automatic(_blanked(spark, sf_dir), KEY, ["sample_id"], GAP, limit=1, speed=60.0).filter("method <> 'stop'")
+    """How many samples and segments each method gives."""
+    out = S.automatic(_blanked(spark, sf_dir), KEY, ["sample_id"], GAP, limit=1, speed=60.0)
     return out.groupBy("method").agg(F.count("*").alias("n_samples"), F.countDistinct("user_id", "trip_index").alias("n_segments"))
 
 
@@ -158,6 +172,7 @@ def seg_auto(spark, sf_dir):
 _FEATURES = (
     f"{_SEG_GAP}, st AS (SELECT *, speed - last_value(speed IGNORE NULLS) OVER (PARTITION BY user_id, trip_index ORDER BY ts, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM seg)"
     ", t0 AS (SELECT user_id, trip_index, count(*) AS n_rows, avg(speed) AS avg_speed, max(speed) AS max_speed, max(rpm) AS max_rpm, avg(throttle) AS throttle, avg(engine_load) AS engine_load, count(*) FILTER (WHERE step < -10) AS brake_events, avg(step) AS mean_step,"
+    " arg_max(trip_time, sample_at) FILTER (WHERE trip_time IS NOT NULL) AS last_time, arg_min(driver_rating, sample_at) FILTER (WHERE driver_rating IS NOT NULL) AS rating, avg(acceleration) AS mean_acceleration, avg(coolant_temp) AS coolant, avg(steering_angle) AS mean_steering, avg(angular_velocity) AS mean_turn, avg(gear_position) AS gear, avg(tire_pressure) AS tire, avg(brake_pressure) AS brake,"
     " arg_max(trip_distance, sample_at) FILTER (WHERE trip_distance IS NOT NULL) AS last_distance, arg_min(fuel_level, sample_at) FILTER (WHERE fuel_level IS NOT NULL) AS fuel_first, arg_max(fuel_level, sample_at) FILTER (WHERE fuel_level IS NOT NULL) AS fuel_last,"
     " arg_min(latitude, sample_at) AS lat1, arg_min(longitude, sample_at) AS lon1, arg_max(latitude, sample_at) AS lat2, arg_max(longitude, sample_at) AS lon2, CAST(min(ts) AS DATE) AS day"
     " FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, sample_id) AS sample_at FROM st) s GROUP BY user_id, trip_index)"
@@ -173,8 +188,9 @@ def _features(spark, sf_dir):
 
 
 _FEATURE_COLUMNS = (
-    f"user_id, trip_index, n_rows, day AS trip_date, {_R('distance_km', 2)} AS distance_km, {_R('avg_speed', 2)} AS avg_speed_kmph, {_R('max_speed', 2)} AS max_speed, CAST(max_rpm AS INT) AS max_rpm, {_R('fuel_consumed', 2)} AS fuel_consumed, brake_events, {_R('mean_step / 36e-1', 3)} AS acceleration, gear_position,"
-    f" {_R('engine_load', 1)} AS engine_load, {_R('throttle', 1)} AS throttle_position, {_R('greatest(1e0, n_rows / 6e1)', 2)} AS trip_duration, CAST(lat1 AS STRING) || ',' || CAST(lon1 AS STRING) AS start_location, CAST(lat2 AS STRING) || ',' || CAST(lon2 AS STRING) AS end_location, score"
+    f"user_id, trip_index, n_rows, day AS trip_date, {_R('distance_km', 2)} AS distance_km, {_R('avg_speed', 2)} AS avg_speed_kmph, {_R('max_speed', 2)} AS max_speed, CAST(max_rpm AS INT) AS max_rpm, {_R('fuel_consumed', 3)} AS fuel_consumed, brake_events,"
+    f" {_R('mean_steering', 2)} AS steering_angle, {_R(S.TURN, 3)} AS angular_velocity, {_R(S.ACCELERATION, 3)} AS acceleration, gear_position, {_R('tire', 1)} AS tire_pressure, {_R('brake', 2)} AS brake_pressure, {_R('coolant', 1)} AS coolant_temp,"
+    f" {_R('engine_load', 1)} AS engine_load, {_R('throttle', 1)} AS throttle_position, {_R(S.DURATION, 2)} AS trip_duration, '[' || CAST(lat1 AS STRING) || ',' || CAST(lon1 AS STRING) || ']' AS gps_path, CAST(lat1 AS STRING) || ',' || CAST(lon1 AS STRING) AS start_location, CAST(lat2 AS STRING) || ',' || CAST(lon2 AS STRING) AS end_location, score"
 )
 
 
@@ -183,7 +199,7 @@ def trip_features(spark, sf_dir):
     return _features(spark, sf_dir)
 
 
-@query("trip_fuel", TELE(f"{_FEATURES} SELECT user_id, trip_index, {_R('distance_km', 2)} AS distance_km, {_R('fuel_consumed', 2)} AS fuel_consumed FROM t"))
+@query("trip_fuel", TELE(f"{_FEATURES} SELECT user_id, trip_index, {_R('distance_km', 2)} AS distance_km, {_R('fuel_consumed', 3)} AS fuel_consumed FROM t"))
 def trip_fuel(spark, sf_dir):
     return _features(spark, sf_dir).select("user_id", "trip_index", "distance_km", "fuel_consumed")
 
@@ -268,10 +284,3 @@ def alert_append(spark, sf_dir):
     for part in ("trip_id % 2 = 0", "true"):
         sinks.append_alerts(rows.filter(part), folder)
     return spark.read.parquet(folder).groupBy("alert_type").agg(F.count("*").alias("n"))
-
-
-@query("route_append", V.with_views("SELECT id AS request_id, DATE '2001-08-01' AS saved_date FROM trips", "trips"))
-def route_append(spark, sf_dir):
-    folder = scratch(spark)
-    sinks.append_route(V.route_requests(spark, sf_dir).select("request_id"), folder, "2001-08-01")
-    return spark.read.parquet(folder).select("request_id", F.to_date("saved_date").alias("saved_date"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import bands, rounded
 from ..operators import fuel, routes
 from ..operators import trips as T
+from ..sources import sinks
 from ..sources import views as V
 from .fleet import _EFFICIENCY, _PROFILES, profiles
+from .intake import scratch
 from .registry import query
 
 TRIP = V.with_views
@@ -123,3 +125,13 @@ _NAMED = "CASE id % 4 WHEN 0 THEN ' Mumbai' WHEN 1 THEN 'NEW YORK' WHEN 2 THEN '
 @query("city_lookup", TRIP(f", places(place, lat, lon) AS (VALUES {_rows(routes.PLACES)}), n AS (SELECT id, {_NAMED} AS name FROM trips) SELECT id, name, lat, lon FROM n LEFT JOIN places p ON trim(lower(n.name)) = p.place", "trips"))
 def city_lookup(spark, sf_dir):
     return routes.located(V.trips(spark, sf_dir).selectExpr("id", f"{_NAMED} AS name")).select("id", "name", "lat", "lon")
+
+
+_PLACE = lambda a, b: f"CAST({a} AS STRING) || ',' || CAST({b} AS STRING)"
+
+
+@query("route_append", ROUTE(f"SELECT q.user_id, r.type || ' route' AS route_name, {_PLACE('q.lat1', 'q.lon1')} AS start_location, {_PLACE('q.lat2', 'q.lon2')} AS end_location, r.type AS route_type, r.distance AS distance_km, CAST(r.minutes AS INT) AS travel_time_minutes, r.fuel AS fuel_consumption, r.cost AS fuel_cost, CAST(r.score AS INT) AS efficiency_score, DATE '2001-08-01' AS saved_date FROM r JOIN route_requests q USING (request_id) WHERE r.place = 1"))
+def route_append(spark, sf_dir):
+    folder = scratch(spark)
+    sinks.append_route(routes.saved(V.route_requests(spark, sf_dir), _stats(spark, sf_dir)), folder, "2001-08-01")
+    return spark.read.parquet(folder).withColumn("saved_date", F.to_date("saved_date"))

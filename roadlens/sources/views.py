@@ -43,6 +43,16 @@ _TELEMETRY = [
     "CAST((event_id * 17) % 900 AS DOUBLE) / 1e1 AS trip_distance",
     "8e0 + CAST((event_id * 29) % 2900 AS DOUBLE) / 1e2 AS latitude",
     "68e0 + CAST((event_id * 43) % 2900 AS DOUBLE) / 1e2 AS longitude",
+    # sensors that only some files have
+    "CASE WHEN user_id % 3 = 0 THEN CAST((event_id * 7) % 90 AS DOUBLE) END AS trip_time",
+    "CASE WHEN user_id % 5 = 0 THEN CAST((event_id * 11) % 81 AS DOUBLE) / 1e1 - 4e0 END AS acceleration",
+    "CASE WHEN event_id % 6 <> 0 THEN CAST(70 + (event_id * 13) % 51 AS DOUBLE) END AS coolant_temp",
+    "CASE WHEN user_id % 7 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'Good' WHEN 1 THEN 'Average' ELSE 'Risky' END END AS driver_rating",
+    "CASE WHEN user_id % 4 <> 1 THEN CAST((event_id * 19) % 401 AS DOUBLE) / 1e1 - 2e1 END AS steering_angle",
+    "CASE WHEN user_id % 4 = 2 THEN CAST((event_id * 23) % 301 AS DOUBLE) / 1e2 END AS angular_velocity",
+    "CASE WHEN user_id % 6 = 0 THEN CAST(1 + event_id % 6 AS DOUBLE) END AS gear_position",
+    "CASE WHEN user_id % 2 = 0 THEN CAST(28 + event_id % 9 AS DOUBLE) END AS tire_pressure",
+    "CASE WHEN user_id % 2 = 1 THEN CAST((event_id * 3) % 61 AS DOUBLE) END AS brake_pressure",
     "CONCAT(CAST((event_id * 53) % 101 AS STRING), ',', CAST(event_id % 10 AS STRING), ' %') AS raw_throttle",
     "CONCAT(CAST(800 + (event_id * 389) % 5201 AS STRING), ' RPM') AS raw_rpm",
     "CASE event_id % 4 WHEN 0 THEN 'mp09 ab1234' WHEN 1 THEN '(MH12-cd 5678)' WHEN 2 THEN 'ka 01  ef--9012' ELSE '' END AS raw_vehicle_number",

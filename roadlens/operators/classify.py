@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +22,8 @@ LABELS = ["Average", "Good", "Risky"]
 SWEEP = {"simple": (50, 5, 10), "balanced": (100, 8, 5), "complex": (150, 12, 2)}
 #: Rows of the training side that nearest neighbours are looked for in, at most; they are sent to every task.
 NEIGHBOUR_ROWS = 20_000
+#: Hex digits of a hash that make a range: 4096 of them.
+RANGE_DIGITS = 3
 
 
 def prepared(trips: DataFrame) -> DataFrame:
@@ -39,18 +43,29 @@ def classes(trips: DataFrame) -> DataFrame:
     return trips.groupBy("score").agg(F.count("*").alias("n"))
 
 
+def _placed(data: DataFrame) -> DataFrame:
+    """_place of each row in its class, from 1 in order of a hash of the id, and _of, the size of the class.
+
+    Rows are ranked in ranges of the hash only: a class is never one task's. What
+    lies before a range comes from a table of at most 4096 rows for each class.
+    """
+    rows = data.withColumn("_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    by_class = W.partitionBy("_class")
+    sizes = rows.groupBy(F.col("score").alias("_class"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(by_class.orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("_class", "_at", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(by_class).alias("_of"))
+    both = rows.join(sizes, F.col("score").eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_at")))
+    rank = F.row_number().over(W.partitionBy("score", "_range").orderBy("_hash", "id"))
+    return both.withColumn("_place", F.col("_before") + rank).select(*data.columns, "_place", "_of")
+
+
 def split(data: DataFrame, share: float = 0.3) -> DataFrame:
     """Stratified: in order of a hash of the id, the first `share` of each class is the test side."""
-    order = F.md5(F.col("id").cast("string"))
-    w = W.partitionBy("score")
-    rank = F.row_number().over(w.orderBy(order, "id"))
-    return data.withColumn("test", rank <= F.floor(F.count("*").over(w) * share + 0.5))
+    return _placed(data).withColumn("test", F.col("_place") <= F.floor(F.col("_of") * share + 0.5)).drop("_place", "_of")
 
 
 def folds(data: DataFrame, k: int = 5) -> DataFrame:
-    order = F.md5(F.col("id").cast("string"))
-    rank = F.row_number().over(W.partitionBy("score").orderBy(order, "id"))
-    return data.withColumn("fold", ((rank - 1) % k).cast("int"))
+    return _placed(data).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_of")
 
 
 def group_folds(data: DataFrame, k: int = 5) -> DataFrame:
@@ -158,11 +173,17 @@ def importance(data: DataFrame) -> DataFrame:
     return data.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
 
+def _normal(seed: int, field: str):
+    """A standard normal number by the Box-Muller transform of two hashes of id, field and seed."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(field), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
+
+
 def noisy(data: DataFrame, share: float = 0.05, seed: int = 42) -> DataFrame:
-    """Features with normal noise of a share of their spread."""
+    """Features with normal noise of a share of their spread; the noise depends on id, feature and seed only."""
     spread = data.agg(*(F.stddev_samp(c).alias(c) for c in FEATURES))
     spread = F.broadcast(spread.select(*(F.col(c).alias(f"_{c}") for c in FEATURES)))
-    return data.crossJoin(spread).select("id", "user_id", *((F.col(c) + F.randn(seed + k) * F.col(f"_{c}") * share).alias(c) for k, c in enumerate(FEATURES)), "score")
+    return data.crossJoin(spread).select("id", "user_id", *((F.col(c) + _normal(seed, c) * F.col(f"_{c}") * share).alias(c) for c in FEATURES), "score")
 
 
 def swept(data: DataFrame, target: float = 0.9) -> DataFrame:

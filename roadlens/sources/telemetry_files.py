@@ -43,6 +43,12 @@ def number(column: str):
     return F.when(~F.isnan(value), value)
 
 
+def _ordinal():
+    """Grows with the place of a row in its file: the split's first byte, then the rows of the task; wide enough for files of any size."""
+    start = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)")
+    return (start + F.pmod(F.monotonically_increasing_id(), F.lit(2**33))).cast("decimal(38,0)")
+
+
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Samples of all admitted files under canonical names with source_file and ordinal, and the manifest.
 
@@ -64,9 +70,9 @@ def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
             for c in VARIANTS
         ]
         # rows of a file keep their order within its splits
-        parts.append(raw.select(F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.file_block_start") * 10**9 + F.monotonically_increasing_id() % 2**33).alias("ordinal"), *columns))
+        parts.append(raw.select(F.col("_metadata.file_path").alias("source_file"), _ordinal().alias("ordinal"), *columns))
     if not parts:
-        schema = ", ".join(["source_file string", "ordinal long", *(f"{c} {'string' if c in TEXT_COLUMNS else 'double'}" for c in VARIANTS)])
+        schema = ", ".join(["source_file string", "ordinal decimal(38,0)", *(f"{c} {'string' if c in TEXT_COLUMNS else 'double'}" for c in VARIANTS)])
         return spark.createDataFrame([], schema), files
     out = parts[0]
     for p in parts[1:]:

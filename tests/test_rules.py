@@ -68,3 +68,19 @@ def test_anomalies_without_history(spark):
 def test_trend_needs_more_than_three(spark):
     out = sentiment.trend(trips(spark, {}, {}, {})).first()
     assert (out["trend"], out["n_trips"]) == ("insufficient", 3)
+
+
+def test_noise_is_normal_and_fixed(spark, data):
+    """Noise has the spread asked for, and the same values however the rows are dealt."""
+    from roadlens.operators import classify
+    from roadlens.sources import views
+
+    rows = classify.prepared(views.trips(spark, data))
+    field = classify.FEATURES[0]
+    spread = rows.agg(F.stddev_samp(field)).first()[0]
+    told = [{r["id"]: r[field] for r in classify.noisy(rows.repartition(n), 0.5).select("id", field).collect()} for n in (1, 7)]
+    assert told[0] == pytest.approx(told[1])
+    plain = {r["id"]: r[field] for r in rows.collect()}
+    noise = [(told[0][k] - plain[k]) / spread for k in plain]
+    mean = sum(noise) / len(noise)
+    assert abs(mean) < 0.1 and abs((sum((x - mean) ** 2 for x in noise) / len(noise)) ** 0.5 - 0.5) < 0.1

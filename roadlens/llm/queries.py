@@ -12,7 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.round_trip(chat.with_tricky(table(spark, sf_dir, "conversations")))
+    path = spark.conf.get("spark.roadlens.vocabulary", chat.VOCABULARY)
+    return chat.round_trip(chat.with_tricky(table(spark, sf_dir, "conversations")), path)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

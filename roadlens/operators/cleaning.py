@@ -85,11 +85,12 @@ def restandardised(users: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unit(key: list[str], field: str) -> Column:
     """A number from 0 to 1 that depends on a row's key and the field only."""
-    return F.pmod(F.xxhash64(*key, F.lit(field)), F.lit(1_000_000)) / 1e6
+    digits = F.substring(F.md5(F.concat_ws("_", *(F.col(c).cast("string") for c in key), F.lit(field))), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
 def imputed_trip(trips: DataFrame, key: list[str]) -> DataFrame:
-    """Trips whose missing sensors are filled by rule; `imputed` names what was filled."""
+    """Trips whose missing sensors, and coordinates if they have such columns, are filled by rule; `imputed` names what was filled."""
     between = lambda field, lo, hi: F.lit(lo) + F.lit(hi - lo) * unit(key, field)
     gear = F.when(F.col("avg_speed_kmph") < 25, 2).when(F.col("avg_speed_kmph") < 50, 3).otherwise(5)
     steering = F.coalesce("steering_angle", between("steering_angle", -20.0, 20.0))
@@ -101,6 +102,7 @@ def imputed_trip(trips: DataFrame, key: list[str]) -> DataFrame:
         "gear_position": gear,
         "engine_load": F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("throttle_position") * 0.8 + between("engine_load", -10.0, 10.0))),
     }
+    fill |= {c: between(c, *range_) for c, range_ in {"latitude": (8.0, 37.0), "longitude": (68.0, 97.0)}.items() if c in trips.columns}
     flags = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in fill)))
     return trips.withColumn("imputed", flags).withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
 

@@ -209,19 +209,52 @@ def trip_label(spark, sf_dir):
     return _features(spark, sf_dir).select("user_id", "trip_index", "score", "brake_events")
 
 
-# --- what SQL can't say: hashes of Spark, files
+# --- missing values
+
+_unit = lambda key, field: f"(CAST(CAST(concat('0x', substr(md5(concat_ws('_', {', '.join(f'CAST({k} AS STRING)' for k in key)}, '{field}')), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296e0)"
+_flags = lambda fields: "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in fields) + ") AS imputed"
+_SERIES = (
+    ", holes AS (SELECT sample_id, user_id, speed, CASE WHEN sample_id % 9 > 0 THEN rpm END AS rpm, CASE WHEN sample_id % 7 > 0 THEN throttle END AS throttle FROM telemetry)"
+    f", moved AS (SELECT sample_id, user_id, rpm, throttle, {_flags(['speed', 'rpm', 'throttle'])}, coalesce(speed, 30e0 + 40e0 * {_unit(['user_id'], 'speed')} + 10e0 * ({_unit(['user_id', 'sample_id'], 'noise')} - 5e-1)) AS speed FROM holes)"
+    ", steps AS (SELECT *, speed - lag(speed) OVER (PARTITION BY user_id ORDER BY sample_id) AS rise FROM moved)"
+    f" SELECT sample_id, user_id, speed, coalesce(rpm, greatest(6e2, least(7e3, 800 + speed * (30e0 + 10e0 * {_unit(['user_id'], 'rpm')})))) AS rpm,"
+    " coalesce(throttle, greatest(0e0, least(1e2, CASE WHEN rise > 0 THEN rise * 5 + 20 ELSE greatest(10e0, speed * 3e-1) END))) AS throttle, imputed FROM steps"
+)
+
 
-@query("impute_series")
+@query("impute_series", TELE(_SERIES))
 def impute_series(spark, sf_dir):
     t = _samples(spark, sf_dir).withColumn("rpm", F.when(F.col("sample_id") % 9 > 0, F.col("rpm"))).withColumn("throttle", F.when(F.col("sample_id") % 7 > 0, F.col("throttle")))
     return C.imputed_series(t, KEY, "sample_id").select("sample_id", "user_id", "speed", "rpm", "throttle", F.array_join("imputed", ",").alias("imputed"))
 
 
-@query("impute_trip")
+#: Values of some trips are taken away, and coordinates given to most.
+_HOLES = {
+    "steering_angle": "CASE WHEN id % 5 > 0 THEN steering_angle END",
+    "angular_velocity": "CASE WHEN id % 10 > 0 THEN angular_velocity END",
+    "gear_position": "CASE WHEN id % 7 > 0 THEN gear_position END",
+    "engine_load": "CASE WHEN id % 6 > 0 THEN engine_load END",
+    "latitude": "CASE WHEN id % 4 > 0 THEN CAST(8 + id % 29 AS DOUBLE) END",
+    "longitude": "CASE WHEN id % 4 > 0 THEN CAST(68 + id % 29 AS DOUBLE) END",
+}
+_FILLED = ["steering_angle", "angular_velocity", "tire_pressure", "brake_pressure", "gear_position", "engine_load", "latitude", "longitude"]
+_between = lambda field, lo, width: f"coalesce({field}, {lo} + {width} * {_unit(['id'], field)})"
+_TRIP_FILL = (
+    f", holes AS (SELECT id, avg_speed_kmph, throttle_position, tire_pressure, brake_pressure, {', '.join(f'{e} AS {c}' for c, e in _HOLES.items())} FROM trips)"
+    f" SELECT id, {_between('steering_angle', '-2e1', '4e1')} AS steering_angle, coalesce(angular_velocity, {_between('steering_angle', '-2e1', '4e1')} * 1e-1) AS angular_velocity,"
+    f" {_between('tire_pressure', '28e0', '8e0')} AS tire_pressure, {_between('brake_pressure', '2e1', '6e1')} AS brake_pressure, coalesce(gear_position, CASE WHEN avg_speed_kmph < 25 THEN 2 WHEN avg_speed_kmph < 50 THEN 3 ELSE 5 END) AS gear_position,"
+    f" coalesce(engine_load, least(1e2, greatest(0e0, throttle_position * 8e-1 + (-1e1 + 2e1 * {_unit(['id'], 'engine_load')})))) AS engine_load,"
+    f" {_between('latitude', '8e0', '29e0')} AS latitude, {_between('longitude', '68e0', '29e0')} AS longitude, {_flags(_FILLED)} FROM holes"
+)
+
+
+@query("impute_trip", V.with_views(_TRIP_FILL, "trips"))
 def impute_trip(spark, sf_dir):
-    t = V.trips(spark, sf_dir).withColumn("steering_angle", F.when(F.col("id") % 5 > 0, F.col("steering_angle"))).withColumn("engine_load", F.when(F.col("id") % 6 > 0, F.col("engine_load")))
-    return C.imputed_trip(t, ["id"]).select("id", "steering_angle", "angular_velocity", "tire_pressure", "brake_pressure", "gear_position", "engine_load", F.array_join("imputed", ",").alias("imputed"))
+    t = V.trips(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _HOLES.items()})
+    return C.imputed_trip(t, ["id"]).select("id", *_FILLED, F.array_join("imputed", ",").alias("imputed"))
+
 
+# --- files
 
 def scratch(spark) -> str:
     """A new folder that all machines see: in the checkpoint folder that the cluster names, else in the warehouse."""

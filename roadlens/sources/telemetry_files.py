@@ -14,20 +14,20 @@ MIN_COLUMNS = 3
 TEXT_COLUMNS = {"timestamp", "vehicle_number", "driver_rating"}
 
 
-def manifest(spark: SparkSession, folder: str, head_bytes: int = 65536) -> DataFrame:
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each CSV file below folder: path, bytes, header, encoding and why it is not admitted, if so.
 
-    Only one pass over the files; a header must end within head_bytes.
+    Only one pass over the files. The header is the first line, however long; a
+    file is empty if nothing but white space follows it. Files of 0 bytes have no row:
+    Spark does not list them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.lower("path").endswith(".csv"))
     valid = F.expr("is_valid_utf8(content)")
-    head = F.substring("content", 1, head_bytes)
-    text = F.when(valid, F.expr(f"try_validate_utf8(cast(substring(content, 1, {head_bytes}) as string))")).otherwise(F.decode(head, "ISO-8859-1"))
-    lines = F.split(F.coalesce(text, F.decode(head, "ISO-8859-1")), "\r?\n")
-    header = F.get(lines, 0)
+    text = F.when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    header = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
     n_columns = F.size(F.split(header, ","))
-    rows = F.size(F.filter(lines, lambda s: F.trim(s) != "")) - 1
-    reason = F.when(F.coalesce(rows, F.lit(-1)) < 1, "empty").when(n_columns < MIN_COLUMNS, "too few columns")
+    some = text.rlike(r"^[^\n]*+\n\s*+\S")
+    reason = F.when(~F.coalesce(some, F.lit(False)), "empty").when(n_columns < MIN_COLUMNS, "too few columns")
     return files.select("path", F.col("length").alias("bytes"), F.when(valid, "UTF-8").otherwise("ISO-8859-1").alias("encoding"), header.alias("header"), reason.alias("reject_reason"))
 
 

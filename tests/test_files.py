@@ -55,3 +55,17 @@ def test_export_falls_back_to_all(spark, data, tmp_path):
     trips = V.trips(spark, data)
     sinks.export(trips, trips.limit(0), str(tmp_path / "out"), "json")
     assert spark.read.json(str(tmp_path / "out")).count() == trips.count()
+
+
+def test_late_first_row(spark, tmp_path):
+    """A header or blank beginning of any length doesn't make a file empty."""
+    wide = ",".join(f"column_{k}" for k in range(9000))
+    (tmp_path / "wide.csv").write_text(f"{wide}\n" + ",".join("1" * 9000) + "\n")
+    (tmp_path / "late.csv").write_text("a,b,c\r\n" + "\r\n" * 70_000 + "1,2,3\r\n")
+    (tmp_path / "blank.csv").write_text("a,b,c\n" + "  \n" * 70_000)
+    (tmp_path / "nothing.csv").write_text("\n")
+    (tmp_path / "latin.csv").write_bytes("a,b,°\n1,2,é\n".encode("latin-1"))
+    found = {r["path"].rsplit("/", 1)[1]: r for r in telemetry_files.manifest(spark, str(tmp_path)).collect()}
+    assert {k: r["reject_reason"] for k, r in found.items()} == {"wide.csv": None, "late.csv": None, "blank.csv": "empty", "nothing.csv": "empty", "latin.csv": None}
+    assert found["wide.csv"]["header"] == wide and found["late.csv"]["header"] == "a,b,c"
+    assert (found["latin.csv"]["header"], found["latin.csv"]["encoding"]) == ("a,b,°", "ISO-8859-1")

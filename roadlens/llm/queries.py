@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embedding_dedup, html_text, line_dedup, mixing, ngram_join, suffix_array, suffix_tree, toxicity
+from . import bpe, chat, decontamination, embedding_dedup, filter_audit, html_text, importance, line_dedup, mixing, ngram_join, suffix_array, suffix_tree, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_html_extract, op3_suffix_array_dedup, op4_source_mix, op5_toxicity, op6_line_dedup, op7_embedding_dedup, op8_substring_dedup, op9_decontamination, op10_ngram_join)
-}
-ORACLES = {"op4_source_mix": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+    for f in (
+        op1_chat_format, op2_html_extract, op3_suffix_array_dedup, op4_source_mix, op5_toxicity, op6_line_dedup, op7_embedding_dedup,
+        op8_substring_dedup, op9_decontamination, op10_ngram_join, op11_importance_resample, op12_bpe_round_trip, op13_filter_audit,
+    )
+}
+ORACLES = {"op4_source_mix": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}

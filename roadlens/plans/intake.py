@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.rules import rules_sql
 from ..operators import cleaning as C
 from ..operators import scoring
 from ..operators import segments as S
+from ..session import scratch
 from ..sources import sinks, telemetry_files
 from ..sources import views as V
 from .registry import query
@@ -256,37 +255,57 @@ def impute_trip(spark, sf_dir):
 
 # --- files
 
-def scratch(spark) -> str:
-    """A new folder that all machines see: in the checkpoint folder that the cluster names, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{base}/roadlens-{uuid.uuid4().hex}"
-
-
 def _as_files(spark, sf_dir) -> str:
-    """The samples as CSV files under two headers and encodings, and two files to reject."""
+    """The samples as CSV files under two headers and encodings, one for users of each remainder by 8; a file with too few columns and one of 0 bytes."""
     folder = scratch(spark)
-    t = _samples(spark, sf_dir)
-    one = t.filter("user_id % 2 = 0").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.concat(F.col("speed").cast("string"), F.lit(" km/h")).alias("Vehicle Speed Sensor [km/h]"), F.col("raw_rpm").alias("Engine RPM [RPM]"), F.col("throttle").alias("Absolute Throttle Position [%]"), F.col("user_id").alias("User ID"))
-    two = t.filter("user_id % 2 = 1").select(F.col("user_id").alias("driver_id"), F.col("speed").alias("VEHICLE_SPEED ()"), F.col("rpm").alias("ENGINE_RPM ()"), F.col("throttle").alias("THROTTLE ()"), F.col("engine_load").alias("Coolant Temperature(°C)"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"))
-    one.repartition(4, "User ID").sortWithinPartitions("User ID", "Timestamp").write.option("header", "true").csv(f"{folder}/dataset1")
-    two.repartition(4, "driver_id").sortWithinPartitions("driver_id", "Time").write.option("header", "true").option("encoding", "ISO-8859-1").csv(f"{folder}/dataset2")
+    t = _samples(spark, sf_dir).withColumn("part", F.col("user_id") % 8)
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    one = t.filter("user_id % 2 = 0").select(
+        "part", time.alias("Timestamp"), F.concat(F.col("speed").cast("string"), F.lit(" km/h")).alias("Vehicle Speed Sensor [km/h]"),
+        F.col("raw_rpm").alias("Engine RPM [RPM]"), F.col("throttle").alias("Absolute Throttle Position [%]"), F.col("user_id").alias("User ID"),
+    )
+    two = t.filter("user_id % 2 = 1").select(
+        "part", F.col("user_id").alias("driver_id"), F.col("speed").alias("VEHICLE_SPEED ()"), F.col("rpm").alias("ENGINE_RPM ()"),
+        F.col("throttle").alias("THROTTLE ()"), F.col("engine_load").alias("Coolant Temperature(°C)"), time.alias("Time"),
+    )
+    one.repartition(4, "part").sortWithinPartitions("part", "User ID", "Timestamp").write.option("header", "true").partitionBy("part").csv(f"{folder}/dataset1")
+    latin = two.repartition(4, "part").sortWithinPartitions("part", "driver_id", "Time").write.option("header", "true").option("encoding", "ISO-8859-1")
+    latin.partitionBy("part").csv(f"{folder}/dataset2")
     t.select(F.col("user_id").alias("a"), F.col("speed").alias("b")).limit(3).coalesce(1).write.option("header", "true").csv(f"{folder}/dataset3")
+    nothing = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/nothing.csv")
+    nothing.getFileSystem(spark._jsc.hadoopConfiguration()).create(nothing).close()
     return folder
 
 
+#: What `_as_files` writes, as rows of files.
+_FILES = (
+    "files AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding, 'admitted' AS state, user_id % 8 AS part, count(*) AS n_rows FROM telemetry GROUP BY ALL"
+    " UNION ALL SELECT 'UTF-8', 'too few columns', NULL, count(*) FROM (SELECT 1 FROM telemetry LIMIT 3) t UNION ALL SELECT NULL, 'zero bytes', NULL, 0)"
+)
+
+
 @query("csv_scan", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS n_speed FROM events GROUP BY user_id")
 def csv_scan(spark, sf_dir):
     samples, _ = telemetry_files.read(spark, _as_files(spark, sf_dir))
     return samples.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.count("speed").alias("n_speed"))
 
 
-@query("encoding_split")
+@query("encoding_split", TELE(f", {_FILES} SELECT encoding, state, count(*) AS n_files, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM files GROUP BY encoding, state"))
 def encoding_split(spark, sf_dir):
     files = telemetry_files.manifest(spark, _as_files(spark, sf_dir))
-    return files.groupBy("encoding", F.coalesce("reject_reason", F.lit("admitted")).alias("state")).agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+    return files.groupBy("encoding", F.coalesce("reject_reason", F.lit("admitted")).alias("state")).agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+
+
+_INGESTED = (
+    f", {_FILES}, g AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY user_id ORDER BY s) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM (SELECT *, date_trunc('second', ts) AS s FROM telemetry) x)"
+    ", seg AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, sample_id) AS trip_index FROM g)"
+    ", made AS (SELECT count(*) AS trips FROM (SELECT 1 FROM seg GROUP BY user_id, trip_index HAVING count(*) >= 5 AND count(speed) > 0 AND count(rpm) > 0 AND count(throttle) > 0) x)"
+    ", n AS (SELECT count(*) AS found, count(*) FILTER (WHERE state = 'admitted') AS processed, count(*) FILTER (WHERE state <> 'admitted') AS skipped FROM files)"
+    " SELECT *, processed * 1e2 / nullif(found, 0) AS success_rate, trips / CAST(nullif(processed, 0) AS DOUBLE) AS trips_per_file FROM n, made"
+)
 
 
-@query("ingest_report")
+@query("ingest_report", TELE(_INGESTED))
 def ingest_report(spark, sf_dir):
     samples, files = telemetry_files.read(spark, _as_files(spark, sf_dir))
     s = samples.withColumn("ts", F.try_to_timestamp("timestamp")).withColumn("user_id", F.col("user_id").cast("long"))

@@ -24,9 +24,11 @@ def test_scan(spark, tmp_path):
     (tmp_path / "b.CSV").write_bytes("Time,speed,Engine Coolant Temperature(°C)\n2024-01-01 00:00:00,1,2\n".encode("latin-1"))
     (tmp_path / "two.csv").write_text("a,b\n1,2\n")
     (tmp_path / "empty.csv").write_text("a,b,c\n")
+    (tmp_path / "sub dir ü").mkdir()
+    (tmp_path / "sub dir ü" / "zero.csv").write_bytes(b"")
     samples, files = telemetry_files.read(spark, str(tmp_path))
     states = {r["path"].rsplit("/")[-1]: (r["encoding"], r["reject_reason"]) for r in files.collect()}
-    assert states == {"a.csv": ("UTF-8", None), "b.CSV": ("ISO-8859-1", None), "two.csv": ("UTF-8", "too few columns"), "empty.csv": ("UTF-8", "empty")}
+    assert states == {"a.csv": ("UTF-8", None), "b.CSV": ("ISO-8859-1", None), "two.csv": ("UTF-8", "too few columns"), "empty.csv": ("UTF-8", "empty"), "zero.csv": (None, "zero bytes")}
     assert sorted((r["speed"], r["rpm"], r["coolant_temp"]) for r in samples.fillna(-1.0).collect()) == [(-1.0, -1.0, -1.0), (1.0, -1.0, 2.0), (50.5, 800.0, -1.0)]
 
 
@@ -69,3 +71,43 @@ def test_late_first_row(spark, tmp_path):
     assert {k: r["reject_reason"] for k, r in found.items()} == {"wide.csv": None, "late.csv": None, "blank.csv": "empty", "nothing.csv": "empty", "latin.csv": None}
     assert found["wide.csv"]["header"] == wide and found["late.csv"]["header"] == "a,b,c"
     assert (found["latin.csv"]["header"], found["latin.csv"]["encoding"]) == ("a,b,°", "ISO-8859-1")
+
+
+def test_splits(spark, tmp_path):
+    """Files cut into many splits keep their rows, order, header and encoding; one bad byte anywhere decides the encoding."""
+    rows = "".join(f"2024-01-01 00:00:00,{k},x,{k % 7}\n" for k in range(4000))
+    (tmp_path / "a.csv").write_text("\ufeffTime,speed,note,rpm\r\n" + rows.replace("\n", "\r\n"))
+    (tmp_path / "b.csv").write_bytes(b"speed,Time,rpm\n" + b"".join(b"%d,2024-01-01 00:00:00,1\n" % k for k in range(4000)) + b"1,\xe9,2\n")
+    (tmp_path / "c.csv").write_text('driver,"speed",rpm\n"a ""b"", c",1,2\n\n   \ndriver,"speed",rpm\nd,2\ne,3,4,5,6\n')
+    (tmp_path / "none.csv").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        samples, files = telemetry_files.read(spark, str(tmp_path))
+        got = {}
+        for r in samples.orderBy("source_file", "ordinal").collect():
+            got.setdefault(r["source_file"].rsplit("/", 1)[1], []).append(r)
+        found = {r["path"].rsplit("/", 1)[1]: r for r in files.collect()}
+        assert samples.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: (r["encoding"], r["n_rows"], r["reject_reason"]) for k, r in found.items()} == {
+        "a.csv": ("UTF-8", 4000, None), "b.csv": ("ISO-8859-1", 4001, None), "c.csv": ("UTF-8", 4, None), "none.csv": (None, 0, "zero bytes"),
+    }
+    assert [r["speed"] for r in got["a.csv"]] == list(range(4000)) and [r["rpm"] for r in got["a.csv"]] == [k % 7 for k in range(4000)]
+    assert [r["speed"] for r in got["b.csv"]] == [*range(4000), 1] and got["b.csv"][-1]["timestamp"] == "é"
+    assert [(r["user_id"], r["speed"], r["rpm"]) for r in got["c.csv"]] == [(None, 1.0, 2.0), (None, 2.0, None), (None, 3.0, 4.0)]
+
+
+def test_paths_too_many_to_send(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("Time,speed,rpm\n1,2,3\n")
+    monkeypatch.setattr(telemetry_files, "PATH_BYTES", 0)
+    samples, _ = telemetry_files.read(spark, str(tmp_path))
+    assert [(r["speed"], r["rpm"]) for r in samples.collect()] == [(2.0, 3.0)]
+
+
+def test_ingest_plans(spark, tmp_path):
+    """No file is read whole and no line is shuffled."""
+    (tmp_path / "a.csv").write_text("Time,speed,rpm\n1,2,3\n")
+    samples, _ = telemetry_files.read(spark, str(tmp_path))
+    text = samples._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in text and "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text

@@ -1,13 +1,11 @@
-"""Driver-behaviour classification with MLlib, and its metrics as relations."""
+"""Driver-behaviour classification: its data, folds and metrics as relations, its pipelines with MLlib."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,22 +13,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from .scoring import HEURISTIC
 
 # Features, classes, sizes of models.
 FEATURES = ["avg_speed_kmph", "max_speed", "throttle_position", "engine_load", "trip_duration", "distance_km"]
 LABELS = ["Average", "Good", "Risky"]
-SWEEP = {"simple": (50, 5, 10), "balanced": (100, 8, 5), "complex": (150, 12, 2)}
-#: Rows of the training side that nearest neighbours are looked for in, at most; they are sent to every task.
-NEIGHBOUR_ROWS = 20_000
+#: The larger set, for the classes that `scoring.HEURISTIC` gives.
+WIDE_FEATURES = [
+    "avg_speed_kmph", "max_speed", "max_rpm", "fuel_consumed", "brake_events", "steering_angle", "angular_velocity", "acceleration",
+    "gear_position", "tire_pressure", "engine_load", "throttle_position", "brake_pressure", "trip_duration",
+]
+WIDE_LABELS = ["Aggressive", "Moderate", "Safe"]
 #: Hex digits of a hash that make a range: 4096 of them.
 RANGE_DIGITS = 3
 
 
-def prepared(trips: DataFrame) -> DataFrame:
+def prepared(trips: DataFrame, features: list[str] = FEATURES, labels: list[str] = LABELS) -> DataFrame:
     """id, user_id, features and score of trips with a known class and no NULL, NaN or infinite feature."""
     sane = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
-    out = trips.select("id", "user_id", *(F.col(c).try_cast("double").alias(c) for c in FEATURES), "score")
-    return out.select("id", "user_id", *(sane(c).alias(c) for c in FEATURES), "score").filter(F.col("score").isin(LABELS)).dropna(subset=FEATURES)
+    out = trips.select("id", "user_id", *(F.col(c).try_cast("double").alias(c) for c in features), "score")
+    return out.select("id", "user_id", *(sane(c).alias(c) for c in features), "score").filter(F.col("score").isin(labels)).dropna(subset=features)
+
+
+def prepared_wide(trips: DataFrame) -> DataFrame:
+    """The larger set of features, with the classes of the rule about speed and rpm as score."""
+    return prepared(trips.withColumn("score", F.expr(HEURISTIC)), WIDE_FEATURES, WIDE_LABELS)
 
 
 def duplicates(data: DataFrame) -> DataFrame:
@@ -68,9 +75,31 @@ def folds(data: DataFrame, k: int = 5) -> DataFrame:
     return _placed(data).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_of")
 
 
+def user_folds(data: DataFrame, k: int = 5) -> DataFrame:
+    """user_id, n (trips), fold: folds of like size, to which users go whole.
+
+    Users in order of their trips, most first, are dealt to the folds to and fro, so that
+    sizes differ by the trips of one user at most. Users of equally many trips are in order of
+    a hash, ranked in its ranges only; what lies before a range is counted, so no task ranks all.
+    """
+    users = data.groupBy("user_id").agg(F.count("*").alias("n"))
+    users = users.withColumn("_hash", F.md5(F.coalesce(F.col("user_id").cast("string"), F.lit("")))).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    ranges = users.groupBy("n", "_range").agg(F.count("*").alias("_users"))
+    earlier = W.unboundedPreceding, -1
+    more = ranges.groupBy("n").agg(F.sum("_users").alias("_all"))  # a row for each number of trips
+    more = more.select("n", F.coalesce(F.sum("_all").over(W.orderBy(F.desc("n")).rowsBetween(*earlier)), F.lit(0)).alias("_more"))
+    ranges = ranges.select("n", "_range", F.coalesce(F.sum("_users").over(W.partitionBy("n").orderBy("_range").rowsBetween(*earlier)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("n", "_range").orderBy("_hash", "user_id"))
+    place = F.col("_more") + F.col("_before") + rank - 1
+    lap = F.pmod(place, F.lit(2 * k))
+    ranked = users.join(ranges, ["n", "_range"]).join(more, "n")
+    return ranked.select("user_id", "n", F.when(lap < k, lap).otherwise(2 * k - 1 - lap).cast("int").alias("fold"))
+
+
 def group_folds(data: DataFrame, k: int = 5) -> DataFrame:
-    """All trips of a user are in one fold."""
-    return data.withColumn("fold", F.pmod(F.xxhash64("user_id"), F.lit(k)).cast("int"))
+    """All trips of a user are in one fold, and folds are of like size."""
+    dealt = user_folds(data, k).select(F.col("user_id").alias("_user"), "fold")
+    return data.join(dealt, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -90,25 +119,10 @@ def metrics(predicted: DataFrame) -> DataFrame:
     return both.select("class", "support", *(F.expr(rounded(m)).alias(m) for m in ("precision", "recall", "f1")), F.expr(rounded("try_divide(hits * 1e0, support)")).alias("accuracy"))
 
 
-def _classifier(name: str, seed: int = 42):
-    common = {"featuresCol": "features", "labelCol": "label_index"}
-    tree = common | {"seed": seed}
-    return {
-        "logistic_regression": lambda: LogisticRegression(maxIter=50, **common),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=6, **tree),
-        "random_forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=8, **tree),
-        "gradient_boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=8, maxDepth=2, **tree), **common),
-        "mlp": lambda: MultilayerPerceptronClassifier(layers=[len(FEATURES), 64, 32, len(LABELS)], maxIter=30, **tree),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, **common), **common),
-    }[name]()
-
-
-MODELS = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "mlp", "svm"]
-
-
-def pipeline(classifier) -> Pipeline:
+def pipeline(classifier, features: list[str] = FEATURES, scaled: bool = True) -> Pipeline:
     """Index, assemble and scale inside the pipeline, so that a fold's scaler sees that fold only."""
-    return Pipeline(stages=[StringIndexer(inputCol="score", outputCol="label_index", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), classifier])
+    stages = [StringIndexer(inputCol="score", outputCol="label_index", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol="raw" if scaled else "features")]
+    return Pipeline(stages=[*stages, *([StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scaled else []), classifier])
 
 
 def predicted(model: PipelineModel, data: DataFrame) -> DataFrame:
@@ -116,66 +130,9 @@ def predicted(model: PipelineModel, data: DataFrame) -> DataFrame:
     return model.transform(data).select("id", F.col("score").alias("label"), F.get(names, F.col("prediction").cast("int")).alias("prediction"))
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """k nearest neighbours by standardised distance.
-
-    The training side is at most NEIGHBOUR_ROWS rows, those with the least hash of
-    the id; they are sent to every task and meet the test rows batch by batch.
-    """
-    stats = train.agg(*(f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    mean, spread = np.array([stats[f"m_{c}"] for c in FEATURES]), np.array([stats[f"s_{c}"] or 1.0 for c in FEATURES])
-    rows = train.orderBy(F.md5(F.col("id").cast("string")), "id").limit(NEIGHBOUR_ROWS).select(*FEATURES, "score").collect()
-    known = train.sparkSession.sparkContext.broadcast(((np.array([r[:-1] for r in rows]) - mean) / spread, np.array([LABELS.index(r["score"]) for r in rows])))
-
-    def run(batches):
-        x, y = known.value
-        norm = (x * x).sum(1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                q = (np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], 1) - mean) / spread
-                near = np.argsort(norm - 2 * q @ x.T, axis=1, kind="stable")[:, :k]
-                votes = np.stack([(y[near] == c).sum(1) for c in range(len(LABELS))], 1)
-                yield pa.record_batch({"id": batch.column("id"), "label": batch.column("score"), "prediction": pa.array([LABELS[v] for v in votes.argmax(1)])})
-
-    return test.select("id", *FEATURES, "score").mapInArrow(run, "id long, label string, prediction string")
-
-
-def evaluate(name: str, train: DataFrame, test: DataFrame) -> DataFrame:
-    out = nearest(train, test) if name == "knn" else predicted(pipeline(_classifier(name)).fit(train), test)
-    return metrics(out).filter("class = 'all'").select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1")
-
-
-def compared(data: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """Accuracy and macro metrics of each model on one stratified split, the best first."""
-    both = split(data)
-    train, test = both.filter(~F.col("test")).persist(), both.filter("test").persist()
-    parts = [evaluate(m, train, test) for m in models or [*MODELS, "knn"]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy(F.desc("f1"), "model")
-
-
-def cross_validated(folded: DataFrame, name: str, k: int = 5) -> DataFrame:
-    """Macro F1 over the folds that a column names: mean and spread."""
-    folded = folded.persist()
-    parts = [evaluate(name, folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)).withColumn("fold", F.lit(f)) for f in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("model").agg(F.count("*").alias("n_folds"), F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.avg("accuracy").alias("mean_accuracy"))
-
-
-def importance(data: DataFrame) -> DataFrame:
-    model = pipeline(_classifier("random_forest")).fit(data)
-    rows = [(f, float(v)) for f, v in zip(FEATURES, model.stages[-1].featureImportances.toArray(), strict=True)]
-    return data.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
-
-
 def _normal(seed: int, field: str):
-    """A standard normal number by the Box-Muller transform of two hashes of id, field and seed."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(field), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A standard normal number by the Box-Muller transform of two MD5 sums of seed, id, field."""
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(seed), F.col("id").cast("string"), F.lit(field), F.lit(k))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
 
 
@@ -186,33 +143,6 @@ def noisy(data: DataFrame, share: float = 0.05, seed: int = 42) -> DataFrame:
     return data.crossJoin(spread).select("id", "user_id", *((F.col(c) + _normal(seed, c) * F.col(f"_{c}") * share).alias(c) for c in FEATURES), "score")
 
 
-def swept(data: DataFrame, target: float = 0.9) -> DataFrame:
-    """Forests of three sizes on noisy data: accuracy on both sides, and which comes nearest to the target without overfitting."""
-    both = split(noisy(data), 0.4)
-    train, test = both.filter(~F.col("test")).persist(), both.filter("test").persist()
-    parts = []
-    for name, (trees, depth, leaf) in SWEEP.items():
-        model = pipeline(RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featuresCol="features", labelCol="label_index", seed=42)).fit(train)
-        side = lambda rows, c, m=model: metrics(predicted(m, rows)).filter("class = 'all'").select(F.col("accuracy").alias(c))
-        parts.append(side(train, "train_accuracy").crossJoin(side(test, "test_accuracy")).select(F.lit(name).alias("config"), "train_accuracy", "test_accuracy"))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("overfit", F.col("train_accuracy") - F.col("test_accuracy"))
-    loss = F.abs(F.col("test_accuracy") - target) + F.greatest("overfit", F.lit(0.0))
-    return out.withColumn("loss", loss).withColumn("chosen", F.row_number().over(W.partitionBy().orderBy("loss", "config")) == 1)
-
-
-def grid_searched(data: DataFrame, trees: tuple[int, ...] = (10, 20), depths: tuple[int, ...] = (4, 8), parallelism: int = 4) -> DataFrame:
-    """Cross-validated grid over forests; folds come from a column, so reruns agree."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
-    search = CrossValidator(estimator=pipeline(forest), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label_index", metricName="f1"), numFolds=3, foldCol="fold", parallelism=parallelism)
-    found = search.fit(folds(data, 3))
-    rows = [(int(g[forest.numTrees]), int(g[forest.maxDepth]), float(m)) for g, m in zip(grid, found.avgMetrics, strict=True)]
-    return data.sparkSession.createDataFrame(rows, "trees int, depth int, f1 double").orderBy(F.desc("f1"), "trees", "depth")
-
-
 def scored(model: PipelineModel, trips: DataFrame) -> DataFrame:
     """Class and confidence in percent of every trip; a missing feature is 0."""
     names = F.array(*map(F.lit, model.stages[0].labels))
@@ -223,7 +153,7 @@ def scored(model: PipelineModel, trips: DataFrame) -> DataFrame:
 
 def saved_and_loaded(data: DataFrame, path: str) -> PipelineModel:
     """Fits, writes model and metadata, and reads the model back."""
-    model = pipeline(_classifier("decision_tree")).fit(data)
+    model = pipeline(DecisionTreeClassifier(maxDepth=6, seed=42, featuresCol="features", labelCol="label_index")).fit(data)
     model.write().overwrite().save(f"{path}/model")
     spark = data.sparkSession
     spark.createDataFrame([(FEATURES, model.stages[0].labels)], "features array<string>, classes array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")

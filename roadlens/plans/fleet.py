@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, rounded
 from ..functions.rules import rules_sql
-from ..operators import anomaly, history, maintenance, recommend, scoring, sentiment
+from ..operators import anomaly, history, maintenance, recommend, saved_model, scoring, sentiment
 from ..operators import trips as T
 from ..sources import views as V
 from .registry import query
@@ -155,7 +155,16 @@ def behaviour_advice(spark, sf_dir):
     return scoring.behaviour_advice(V.trips(spark, sf_dir))
 
 
-@query("trip_report", TRIP(f"{_SCORED}{_WORST} SELECT id, user_id, score, {rounded('driving_raw', 2)} AS driving_score, {scoring.BEHAVIOUR} AS behaviour, coalesce(n, 0) AS n_alerts, coalesce(alerts, '') AS alerts, {_STATE} AS health, len({_MISSING}) AS n_missing FROM scored t LEFT JOIN worst w ON t.id = w.trip_id", "trips"))
+_TREE = saved_model.default()
+_REPORT = (
+    f"{_SCORED}{_WORST}, report AS (SELECT id, user_id, score, {rounded('driving_raw', 2)} AS driving_score, {scoring.BEHAVIOUR} AS behaviour, coalesce(n, 0) AS n_alerts, coalesce(alerts, '') AS alerts, {_STATE} AS health, len({_MISSING}) AS n_missing,"
+    f" {_TREE.class_sql()} AS c, {_TREE.confidence_sql()} AS p FROM scored t LEFT JOIN worst w ON t.id = w.trip_id)"
+    ", judged AS (SELECT * EXCLUDE (c, p), CASE WHEN n_missing = 0 THEN c ELSE 'Unknown' END AS model_class, CASE WHEN n_missing = 0 THEN p ELSE 0e0 END AS confidence FROM report)"
+    f" SELECT *, CASE WHEN n_missing = 0 THEN concat(health, '; ', {_ADVICE('model_class')}) ELSE 'insufficient data' END AS advice FROM judged"
+)
+
+
+@query("trip_report", TRIP(_REPORT, "trips"))
 def trip_report(spark, sf_dir):
     return scoring.trip_report(V.trips(spark, sf_dir))
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import classify as L
+from ..operators import saved_model, scoring, validation
+from ..session import scratch
 from ..sources import views as V
-from .intake import scratch
 from .registry import query
 
 _FEATURES = ", ".join(L.FEATURES)
@@ -69,48 +70,86 @@ def ml_confusion(spark, sf_dir):
     return L.confusion(_guessed(spark, sf_dir))
 
 
+_WIDE = f", wide AS (SELECT id, user_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in L.WIDE_FEATURES)}, {scoring.HEURISTIC} AS score FROM trips WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in L.WIDE_FEATURES) + ")"
+
+
+@query("ml_prep_wide", V.with_views(f"{_WIDE} SELECT * FROM wide", "trips"))
+def ml_prep_wide(spark, sf_dir):
+    return L.prepared_wide(V.trips(spark, sf_dir))
+
+
+_LAP = "(row_number() OVER (ORDER BY n DESC, md5(CAST(user_id AS STRING)), user_id) - 1) % 10"
+
+
+@query("ml_group_folds", PREP(f", users AS (SELECT user_id, count(*) AS n FROM prep GROUP BY user_id), dealt AS (SELECT *, {_LAP} AS lap FROM users) SELECT user_id, n, CAST(CASE WHEN lap < 5 THEN lap ELSE 9 - lap END AS INT) AS fold FROM dealt"))
+def ml_group_folds(spark, sf_dir):
+    return L.user_folds(_data(spark, sf_dir))
+
+
+_uniform = lambda c, k: f"((CAST(concat('0x', substr(md5(concat_ws('_', '42', CAST(id AS STRING), '{c}', '{k}')), 1, 8)) AS BIGINT) + 5e-1) / 4294967296e0)"
+_noise = lambda c: f"{c} + sqrt(-2 * ln({_uniform(c, 0)})) * cos(2 * pi() * {_uniform(c, 1)}) * stddev_samp({c}) OVER () * 5e-2"
+
+
+@query("ml_noise", PREP("SELECT id, score, " + ", ".join(f"{rounded(_noise(c))} AS {c}" for c in L.FEATURES) + " FROM prep"))
+def ml_noise(spark, sf_dir):
+    return L.noisy(_data(spark, sf_dir)).select("id", "score", *(F.expr(rounded(c)).alias(c) for c in L.FEATURES))
+
+
+# --- the saved tree: its rules are SQL
+
+_TREE = saved_model.default()
+
+
+@query("ml_score", V.with_views(f"SELECT id, {_TREE.class_sql()} AS prediction, {_TREE.confidence_sql()} AS confidence FROM trips", "trips"))
+def ml_score(spark, sf_dir):
+    return saved_model.applied(V.trips(spark, sf_dir))
+
+
+@query("ml_saved_rules", V.with_views(f"SELECT score AS label, {_TREE.class_sql()} AS prediction, count(*) AS n FROM trips GROUP BY ALL", "trips"))
+def ml_saved_rules(spark, sf_dir):
+    """Rules written to shared storage, read back and applied."""
+    folder = scratch(spark)
+    saved_model.saved(_TREE, spark, folder)
+    label, _ = saved_model.loaded(spark, folder).columns()
+    return V.trips(spark, sf_dir).groupBy(F.col("score").alias("label"), label.alias("prediction")).agg(F.count("*").alias("n"))
+
+
 # --- models: no SQL says these
 
 
 @query("ml_compare")
 def ml_compare(spark, sf_dir):
-    return L.compared(_data(spark, sf_dir))
+    return validation.compared(_data(spark, sf_dir))
 
 
 @query("ml_cv")
 def ml_cv(spark, sf_dir):
-    return L.cross_validated(L.folds(_data(spark, sf_dir)), "decision_tree")
+    return validation.cross_validated(L.folds(_data(spark, sf_dir)))
 
 
 @query("ml_group_cv")
 def ml_group_cv(spark, sf_dir):
-    return L.cross_validated(L.group_folds(_data(spark, sf_dir)), "decision_tree")
+    return validation.cross_validated(L.group_folds(_data(spark, sf_dir)), ["random_forest", "gradient_boosting"])
 
 
 @query("ml_importance")
 def ml_importance(spark, sf_dir):
-    return L.importance(_data(spark, sf_dir))
+    return validation.importance(_data(spark, sf_dir))
 
 
-@query("ml_noise")
-def ml_noise(spark, sf_dir):
-    return L.noisy(_data(spark, sf_dir))
+@query("ml_wide")
+def ml_wide(spark, sf_dir):
+    return validation.wide(L.prepared_wide(V.trips(spark, sf_dir)), L.WIDE_FEATURES)
 
 
 @query("ml_sweep")
 def ml_sweep(spark, sf_dir):
-    return L.swept(_data(spark, sf_dir))
+    return validation.swept(_data(spark, sf_dir))
 
 
 @query("ml_grid")
 def ml_grid(spark, sf_dir):
-    return L.grid_searched(_data(spark, sf_dir))
-
-
-@query("ml_score")
-def ml_score(spark, sf_dir):
-    data = _data(spark, sf_dir)
-    return L.scored(L.pipeline(L._classifier("decision_tree")).fit(data), V.trips(spark, sf_dir))
+    return validation.grid_searched(_data(spark, sf_dir), scratch(spark))
 
 
 @query("ml_save_load")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_key(text: Column) -> Column:
+    """Names a row by its text, beside its id: 128 bits of its SHA-256, which can't be made to collide; null text has a name of its own."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(text.cast("string").cast("binary"), 256)), 1, 16), F.lit(b""))
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """`cut`, in as few partitions as its rows need."""
     out = cut(df)

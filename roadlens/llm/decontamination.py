@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
-from .components import cut
+from .components import cut, row_key
 
 WINDOW, GRAM = 10, 5
 #: Bits of the filter for each fingerprint, and at most (16 MB): beyond that more passes, and the join decides.
@@ -143,7 +143,7 @@ def _extended(window: int):
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Spans: doc_id, key (hash of the row), n_words, start, end (words), set (of items; null, and no span, in a document's own row). Sets: set, items."""
+    """Spans: doc_id, key (names the row), n_words, start, end (words), set (of items; null, and no span, in a document's own row). Sets: set, items."""
     spark, key = docs.sparkSession, A.job_key()
     known = cut(_benchmark(bench, window, key).distinct())
     short = sorted(r["size"] for r in known.filter(F.col("size") < window).select("size").distinct().collect())
@@ -157,7 +157,7 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> tuple[Da
             words = A.Words(*A.utf8(batch.column("text")), key, A.ALNUM, lower=True)
             ids, keys = batch.column("doc_id"), batch.column("key")
             none = pa.nulls(len(ids), pa.binary())
-            yield pa.record_batch({"doc_id": ids, "key": keys, "n_words": pa.array(np.diff(words.offsets)), "size": pa.array(np.zeros(len(ids), np.int32)), "hash": keys, "place": pa.array(np.zeros(len(ids), np.int64)), "context": none})
+            yield pa.record_batch({"doc_id": ids, "key": keys, "n_words": pa.array(np.diff(words.offsets)), "size": pa.array(np.zeros(len(ids), np.int32)), "hash": batch.column("spread"), "place": pa.array(np.zeros(len(ids), np.int64)), "context": none})
             for row, at, size, h, made in _places(words, window, short, key, NO_WORD):
                 x, y = _bits(h, bits)
                 keep = np.flatnonzero(test(x) & test(y))
@@ -165,14 +165,14 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> tuple[Da
                     r = row[keep]
                     yield pa.record_batch({"doc_id": ids.take(pa.array(r)), "key": keys.take(pa.array(r)), "n_words": pa.nulls(len(keep), pa.int64()), "size": pa.array(np.full(len(keep), size), pa.int32()), "hash": pa.array(h[keep].view(np.int64)), "place": pa.array(at[keep] - words.offsets[r]), "context": made(keep)})
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key(F.col("text"))).withColumn("spread", F.xxhash64("doc_id", "key"))
     # a row of size 0 stands for the document itself, the rest for fingerprints that may be met
-    found = docs.mapInArrow(run, "doc_id long, key long, n_words long, size int, hash long, place long, context binary")
+    found = docs.mapInArrow(run, "doc_id long, key binary, n_words long, size int, hash long, place long, context binary")
     # equal contexts are one, with a set of items; equal sets have one name
     groups = known.groupBy("size", "hash", "context").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     groups = cut(groups.withColumn("set", F.xxhash64("items")))
     met = found.join(groups.select("size", "hash", F.col("context").alias("theirs"), "set"), ["size", "hash"], "left")
-    spans = met.select("doc_id", "key", "n_words", "size", "place", "context", "theirs", "set").mapInArrow(_extended(window), "doc_id long, key long, n_words long, set long, start long, end long")
+    spans = met.select("doc_id", "key", "n_words", "size", "place", "context", "theirs", "set").mapInArrow(_extended(window), "doc_id long, key binary, n_words long, set long, start long, end long")
     return spans, groups.select("set", "items").distinct()
 
 
@@ -213,5 +213,5 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, without those in which a window of the benchmark occurs: each by its own text, whatever its id."""
     spans, _ = matches(docs, bench, window)
     bad = spans.filter("set is not null").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
-    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    own = row_key(docs["text"])
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (own == bad["_key"]), "left_anti")

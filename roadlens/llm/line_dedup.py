@@ -5,8 +5,9 @@ words is a window by itself. With `runs`, so are fewer lines than `window` that
 have `long_words` words together: no passage of so many words is then too short in
 lines. ORACLE_SQL, and op6_line_dedup with it, is without runs. Of each window the
 least line hash is its fingerprint, so equal windows share one. Windows whose
-fingerprint comes once are done with; the rest are compared as a whole, matches
-that touch or overlap extend to runs, and every run but the earliest is deleted.
+fingerprint comes once are done with; the rest are compared by the SHA-256 of their
+lines, matches that touch or overlap extend to runs, and every run but the earliest is
+deleted.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import free
+from .components import free, row_key
 
 WINDOW, LONG_WORDS = 3, 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,10 +28,12 @@ def _lines(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
-    """doc_id, key (hash of the row), lines (numbers of those to delete, from 0) of rows that have any."""
+    """doc_id, key (names the row), lines (numbers of those to delete, from 0) of rows that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = F.xxhash64("doc_id", "text").alias("key")
-    lines = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("h"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
+    key = row_key(F.col("text")).alias("key")
+    # a line is its SHA-256, so different lines can't be made to look alike; its short hash only finds candidates
+    named = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["line"].alias("line"), F.unhex(F.sha2(s["x"], 256)).alias("sha"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
+    lines = F.transform(named, lambda s: F.struct(s["line"].alias("line"), s["sha"].alias("sha"), F.xxhash64(s["sha"]).alias("h"), s["words"].alias("words")))
     rows = docs.select("doc_id", key, lines.alias("lines"))
     least = lambda x: F.least(*x) if len(x) > 1 else x[0]
 
@@ -40,8 +43,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
         at = F.sequence(F.lit(0), F.size("lines") - n)
         if words:
             at = F.filter(at, lambda i: sum((p["words"] for p in part(i)), F.lit(0)) >= words)
-        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.array(*(p["line"] for p in part(i))).alias("lines"), least([p["h"] for p in part(i)]).alias("print"), F.xxhash64(F.lit(n), *(p["h"] for p in part(i))).alias("whole")))
-        return F.coalesce(F.when(F.size("lines") >= n, found), F.array().cast("array<struct<at: int, lines: array<int>, print: bigint, whole: bigint>>"))
+        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.array(*(p["line"] for p in part(i))).alias("lines"), least([p["h"] for p in part(i)]).alias("print"), F.substring(F.unhex(F.sha2(F.concat(*(p["sha"] for p in part(i))), 256)), 1, 16).alias("whole")))
+        return F.coalesce(F.when(F.size("lines") >= n, found), F.array().cast("array<struct<at: int, lines: array<int>, print: bigint, whole: binary>>"))
 
     short = range(1, window if runs else 2)
     windows = rows.select("doc_id", "key", F.inline(F.concat(stretches(window), *(stretches(n, long_words) for n in short))))
@@ -64,7 +67,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     """
     id_, key, gone, own = free(docs, "_id", "_key", "_lines", "_own")
     found = repeated_lines(docs, window, long_words, runs).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("lines").alias(gone))
-    rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.withColumn(own, row_key(F.col("text")))
     both = rows.join(found, rows["doc_id"].eqNullSafe(found[id_]) & (rows[own] == found[key]), "left")
     every = F.split("text", "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)

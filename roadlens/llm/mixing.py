@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import cut, free
+from .components import cut, free, row_key
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of a source that are rounded together; a large source has many such parts.
@@ -50,14 +50,10 @@ def rate(size: str, target: str, most: int = MOST):
     return F.when(F.col(size) > 0, F.least(F.round(F.exp(dual), 12), F.lit(float(most)))).otherwise(F.lit(0.0))
 
 
-def _key():
-    """Hash of a row's id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def _part():
-    """Which part of its source a row is rounded in: by its id, and rows without one, or of ids that many share, by their size too."""
-    return F.pmod(F.coalesce("doc_id", F.lit(0)) * 7 + F.floor(F.coalesce("doc_id", F.lit(0)) / 1000) + F.col("size"), F.ceil(F.col("n") / TOGETHER))
+    """Which part of its source a row is rounded in: by a hash of its id and its size, so that rows without an id are dealt by size; ids may be any number."""
+    digits = F.md5(F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    return F.pmod(F.conv(F.substring(digits, 1, 8), 16, 10).cast("long"), F.ceil(F.col("n") / TOGETHER))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -69,7 +65,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     source, a null doc_id is allowed. Without rows there is no result; without
     words all targets are 0. Other columns are ignored.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key().alias("key")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(F.col("text")).alias("key")))
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     totals = totals.withColumn("rate", rate("source_size", "target", most)).withColumnRenamed("source", "_source")
     both = sized.join(totals, sized["source"].eqNullSafe(totals["_source"])).drop("_source")
@@ -93,7 +89,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of docs, all columns, that the mix takes, and _copies, how often: each row as `mixed` has it, whatever its id.
+    """The rows of docs, all columns, that the mix takes, and _copies (a longer name if docs has that), how often: each row as `mixed` has it, whatever its id.
 
     Rows equal in id, source and text may take a copy more or less than others;
     they are numbered by a hash of all columns, and the first take the more.
@@ -101,16 +97,16 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     same = ["doc_id", "source", "key"]
     few = F.min("copies")
     counts = mixed(docs, weights, most).groupBy(*same).agg(few.alias("_few"), (F.sum("copies") - few * F.count("*")).alias("_more")).filter("_few + _more > 0")
-    id_, source, key, least, more, own = free(docs, "_id", "_source", "_key", "_few", "_more", "_own")
+    id_, source, key, least, more, own, copies = free(docs, "_id", "_source", "_key", "_few", "_more", "_own", "_copies")
     counts = cut(counts.toDF(id_, source, key, least, more))
-    rows = docs.withColumn(own, _key())
+    rows = docs.withColumn(own, row_key(F.col("text")))
     both = lambda some: rows.join(some, rows["doc_id"].eqNullSafe(some[id_]) & rows["source"].eqNullSafe(some[source]) & (rows[own] == some[key]))
     several = counts.filter(F.col(more) > 0)
-    out = both(counts.filter(F.col(more) == 0)).select(*(f"`{c}`" for c in docs.columns), F.col(least).alias("_copies"))
+    out = both(counts.filter(F.col(more) == 0)).select(*(f"`{c}`" for c in docs.columns), F.col(least).alias(copies))
     if not several.isEmpty():
         number = F.row_number().over(W.partitionBy(id_, source, key).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
-        again = both(several).select(*(f"`{c}`" for c in docs.columns), (F.col(least) + (number <= F.col(more)).cast("long")).alias("_copies"))
-        out = out.unionByName(again.filter(F.col("_copies") > 0))
+        again = both(several).select(*(f"`{c}`" for c in docs.columns), (F.col(least) + (number <= F.col(more)).cast("long")).alias(copies))
+        out = out.unionByName(again.filter(F.col(copies) > 0))
     return out
 
 
@@ -122,9 +118,9 @@ v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum("full") OVER o, 0))::DO
       FROM w WINDOW o AS (ORDER BY "full"::DOUBLE / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least("full"::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(round(target / source_size, 12), 3.0) ELSE 0.0 END AS rate FROM t),
-k AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS f, (coalesce(d.doc_id, 0) * 7 + floor(coalesce(d.doc_id, 0) / 1000.0)::BIGINT + d.size) % ceil(r.n / 2000.0)::BIGINT AS part,
-             row_number() OVER (PARTITION BY d.source, (coalesce(d.doc_id, 0) * 7 + floor(coalesce(d.doc_id, 0) / 1000.0)::BIGINT + d.size) % ceil(r.n / 2000.0)::BIGINT ORDER BY d.size DESC, d.doc_id NULLS FIRST) AS k
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS f, p.h % ceil(r.n / 2000.0)::BIGINT AS part,
+             row_number() OVER (PARTITION BY d.source, p.h % ceil(r.n / 2000.0)::BIGINT ORDER BY d.size DESC, d.doc_id NULLS FIRST) AS k
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT ('0x' || md5(coalesce(d.doc_id::VARCHAR, '') || '_' || d.size::VARCHAR)[1:8])::BIGINT AS h) p),
 e AS (SELECT *, (floor(f * k + 0.5) - floor(f * (k - 1) + 0.5))::BIGINT AS extra FROM k),
 g AS (SELECT *, f * sum(size) OVER p - sum(size * extra) OVER p AS lack FROM e WINDOW p AS (PARTITION BY source, part)),
 h AS (SELECT *, CASE WHEN lack > 0 AND extra = 0 THEN abs(lack - size) WHEN lack < 0 AND extra = 1 THEN abs(lack + size) END AS off FROM g),

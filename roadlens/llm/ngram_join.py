@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
-from .components import components, cut, gathered
+from .components import components, cut, gathered, row_key
 
 COUNTER_BITS, BLOCK = 20, 1 << 15
 #: A prefix is lengthened for so many matches, and a part of what a similar set may lack, if the set has so many; for some more where the estimated cost is less.
@@ -84,8 +84,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _key():
-    """Hash of a row's id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Names a row beside its id."""
+    return row_key(F.col("text"))
 
 
 class Shingles:
@@ -167,7 +167,7 @@ def features(shingles: Shingles) -> DataFrame:
                     }
                 )
 
-    rows = _texts(shingles.docs).withColumn("key", _key()).mapInArrow(run, "doc_id long, key long, n long, class long, check long, weight double, prefix array<long>")
+    rows = _texts(shingles.docs).withColumn("key", _key()).mapInArrow(run, "doc_id long, key binary, n long, class long, check long, weight double, prefix array<long>")
     found = cut(rows)
     twice = gathered(found.groupBy("class").agg(F.min("check").alias("one"), F.max("check").alias("other")).filter("one <> other"))
     if not twice.isEmpty():  # different sets of one name: all but one get another
@@ -388,7 +388,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = first.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
     wordless = found.filter("class is null").select("doc_id", "key").distinct().withColumn("copies", F.lit(1).cast("long"))
     keep = cut(first.select("first.doc_id", "first.key", "first.copies").union(wordless).toDF("_id", "_key", "_copies"))
-    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    own = row_key(docs["text"])
     taken = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (own == some["_key"]), "left_semi")
     several = keep.filter("_copies > 1")
     out = taken(keep.filter("_copies = 1"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
+from .components import free
 
 #: The classifier learns from at most this many labelled rows of each kind, those with the least hash of their id, of texts of at most this many bytes.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 5000, 1 << 15
@@ -191,8 +192,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         pair = model.value.compressors()
         for batch in batches:
-            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in batch.column("_text")]).reshape(-1, 4)
+            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in batch.column(inside)]).reshape(-1, 4)
             yield batch.filter(pa.array(model.value.score(x) < LIMIT))
 
-    rows = docs.withColumn("_text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, rows.schema).drop("_text")
+    (inside,) = free(docs, "_text")
+    rows = docs.withColumn(inside, F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.schema).drop(inside)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,9 +37,10 @@ ENTITIES = {
     "vehicle_part": r"(?i)\b(engine|brake|tire|battery|oil|fuel|transmission|clutch)\b",
     "location": r"(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b",
 }
-KEYWORDS = (
-    "fuel gas efficiency mileage consumption speed rpm brake engine maintenance service oil tire battery transmission safety accident crash route navigation traffic cost save money performance driving trip distance"
-).split()
+KEYWORDS = [
+    "fuel", "gas", "efficiency", "mileage", "consumption", "speed", "rpm", "brake", "engine", "maintenance", "service", "oil", "tire", "battery", "transmission",
+    "safety", "accident", "crash", "route", "navigation", "traffic", "cost", "save", "money", "performance", "driving", "trip", "distance",
+]
 NUMBER = r"\b(\d+(?:\.\d+)?)\b"
 TOPICS = {
     "greeting": r"(?i)\b(hi|hello|hey|good morning|good afternoon|good evening|greetings)\b",
@@ -75,16 +78,23 @@ KEYWORD_SUGGESTIONS = {"maintenance": ["create_schedule", "vehicle_health"], "sa
 MOOD_SUGGESTIONS = {"negative": ["solve_issue"], "positive": ["advanced_tips"]}
 
 
-def contained(words: list[str], text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+def holds(word: str) -> Column:
+    """Is the word in the text, in whatever case?"""
+    return F.contains(F.lower("text"), F.lit(word))
+
+
+def contained(words: list[str]) -> Column:
+    """Those of the words that the text holds, in order."""
+    return F.array_compact(F.array(*(F.when(holds(w), F.lit(w)) for w in words)))
 
 
 def count(words: list[str]) -> Column:
-    return F.size(contained(words, F.lower("text")))
+    """How many of the words the text holds: a sum of comparisons in generated code, no lambda over an array."""
+    return reduce(Column.__add__, (holds(w).cast("int") for w in words))
 
 
 def any_of(words: list[str]) -> Column:
-    return count(words) > 0
+    return reduce(Column.__or__, map(holds, words))
 
 
 def strings(items: list[str]) -> Column:
@@ -96,26 +106,37 @@ def clean(df: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", F.regexp_replace(F.regexp_replace(F.trim("text"), r"\s+", " "), r"(?U)[^\w\s.,!?-]", "").alias("cleaned"))
 
 
+def found(name: str) -> Column:
+    """All that the pattern of an entity finds."""
+    return F.regexp_extract_all("text", F.lit(ENTITIES[name]), F.lit(1))
+
+
 def analysed(df: DataFrame) -> DataFrame:
-    """All that the rules find in a message, as columns; no row leaves its partition."""
-    df = df.withColumn("text", F.coalesce("text", F.lit("")))
-    scores = F.array(*(F.struct((count(words) / float(len(words))).alias("share"), F.lit(-k).alias("ord"), F.lit(name).alias("intent")) for k, (name, words) in enumerate(INTENTS.items())))
-    best = F.array_max(scores)
-    df = df.withColumn("intents", F.filter(scores, lambda s: s["share"] > 0)).withColumn("best", best)
-    df = df.withColumn("intent", F.when(F.col("best.share") > 0, F.col("best.intent")).otherwise("unknown")).withColumn("intent_confidence", F.col("best.share"))
-    n_words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    df = df.withColumn("positive", count(POSITIVE)).withColumn("negative", count(NEGATIVE)).withColumn("n_words", n_words)
+    """All that the rules find in a message, as columns; no row leaves its partition.
+
+    What searches the text is computed once, in a select of its own; the others only
+    refer to it.
+    """
+    texts = df.withColumn("text", F.coalesce("text", F.lit("")))
+    df = texts.withColumns(
+        {f"n_{name}": count(words) for name, words in INTENTS.items()}
+        | {f"e_{name}": found(name) for name in ENTITIES}
+        | {"positive": count(POSITIVE), "negative": count(NEGATIVE), "n_words": F.size(F.array_remove(F.split(F.trim("text"), r"\s+"), ""))}
+        | {"keywords": F.concat(contained(KEYWORDS), F.regexp_extract_all("text", F.lit(NUMBER), F.lit(1)))}
+    )
+    shares = {name: F.col(f"n_{name}") / float(len(words)) for name, words in INTENTS.items()}
+    df = df.withColumns({"intent_confidence": F.greatest(*shares.values()), "n_entities": reduce(Column.__add__, ((F.size(f"e_{name}") > 0).cast("int") for name in ENTITIES))})
+    best = F.col("intent_confidence")
+    df = df.withColumn("intent", F.when(best > 0, F.coalesce(*(F.when(share == best, F.lit(name)) for name, share in shares.items()))).otherwise("unknown"))
     df = df.withColumn("mood", F.when(F.col("positive") > F.col("negative"), "positive").when(F.col("negative") > F.col("positive"), "negative").otherwise("neutral"))
     df = df.withColumn("mood_confidence", F.abs(F.col("positive") - F.col("negative")) / F.greatest("n_words", F.lit(1)))
-    df = df.withColumn("entities", F.array(*(F.struct(F.lit(name).alias("entity"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("found")) for name, p in ENTITIES.items())))
-    df = df.withColumn("entities", F.filter("entities", lambda e: F.size(e["found"]) > 0))
-    df = df.withColumn("keywords", F.concat(contained(KEYWORDS, F.lower("text")), F.regexp_extract_all("text", F.lit(NUMBER), F.lit(1))))
-    shares = [F.col("intent_confidence"), F.col("mood_confidence"), F.least(F.lit(1.0), F.size("entities") / 5), F.least(F.lit(1.0), F.size("keywords") / 10)]
-    return df.withColumn("confidence", sum(shares[1:], shares[0]) / 4)
+    parts = [best, F.col("mood_confidence"), F.least(F.lit(1.0), F.col("n_entities") / 5), F.least(F.lit(1.0), F.size("keywords") / 10)]
+    return df.withColumn("confidence", sum(parts[1:], parts[0]) / 4)
 
 
 def intents(df: DataFrame) -> DataFrame:
-    return analysed(df).select("conv_id", "turn", "intent", F.expr(rounded("intent_confidence")).alias("confidence"), F.array_join(F.transform("intents", lambda s: s["intent"]), ",").alias("all_intents"))
+    every = F.concat_ws(",", *(F.when(F.col(f"n_{name}") > 0, F.lit(name)) for name in INTENTS))
+    return analysed(df).select("conv_id", "turn", "intent", F.expr(rounded("intent_confidence")).alias("confidence"), every.alias("all_intents"))
 
 
 def sentiments(df: DataFrame) -> DataFrame:
@@ -124,7 +145,9 @@ def sentiments(df: DataFrame) -> DataFrame:
 
 def entities(df: DataFrame) -> DataFrame:
     """A row for each kind of entity in a message, with all that was found."""
-    return analysed(df).select("conv_id", "turn", F.inline("entities")).select("conv_id", "turn", "entity", F.array_join("found", "|").alias("found"), F.size("found").cast("long").alias("n"))
+    kinds = F.array(*(F.struct(F.lit(name).alias("entity"), F.col(f"e_{name}").alias("found")) for name in ENTITIES))
+    rows = analysed(df).select("conv_id", "turn", F.inline(kinds)).filter(F.size("found") > 0)
+    return rows.select("conv_id", "turn", "entity", F.array_join("found", "|").alias("found"), F.size("found").cast("long").alias("n"))
 
 
 def keywords(df: DataFrame) -> DataFrame:
@@ -143,7 +166,7 @@ def _strategy(df: DataFrame) -> DataFrame:
     tone = F.when(F.col("mood") == "negative", "empathetic").when(F.col("mood") == "positive", "enthusiastic").otherwise("neutral")
     detail = F.when(F.col("intent") == "question", "high").when(F.col("intent") == "request", "medium").when(F.col("mood") == "negative", "high").otherwise("medium")
     follow = F.concat_ws(",", F.when(F.array_contains("keywords", "fuel"), "fuel_tips"), F.when(F.array_contains("keywords", "maintenance"), "maintenance_schedule"))
-    return df.withColumns({"tone": tone, "detail": detail, "personal": F.size("entities") > 0, "follow_up": follow})
+    return df.withColumns({"tone": tone, "detail": detail, "personal": F.col("n_entities") > 0, "follow_up": follow})
 
 
 def topic() -> Column:
@@ -156,7 +179,7 @@ def topics(df: DataFrame) -> DataFrame:
 
 def speed_bands(df: DataFrame) -> DataFrame:
     """Advice for the first speed that a message names."""
-    first = F.get(F.regexp_extract_all("text", F.lit(ENTITIES["speed"]), F.lit(1)), 0).try_cast("double")
+    first = F.get(found("speed"), 0).try_cast("double")
     band = F.when(F.col("speed") > 100, "fast").when(F.col("speed") > 80, "highway").when(F.col("speed") > 50, "ideal").otherwise("city")
     return df.withColumn("speed", first).filter("speed IS NOT NULL").select("conv_id", "turn", "speed", band.alias("band"))
 
@@ -173,7 +196,7 @@ def summaries(df: DataFrame) -> DataFrame:
 
 def suggestions(df: DataFrame, n: int = 3) -> DataFrame:
     rich = analysed(df)
-    has = lambda name: F.exists("entities", lambda e: e["entity"] == name)
+    has = lambda name: F.size(f"e_{name}") > 0
     part = lambda test, items: F.when(test, strings(items)).otherwise(strings([]))
     own = F.concat(
         *(part(has(e), items) for e, items in ENTITY_SUGGESTIONS.items()),
@@ -191,7 +214,7 @@ def intent_choice(df: DataFrame, least: float = 0.6) -> DataFrame:
 
 def handler() -> Column:
     """Which part answers: a named speed or amount of fuel, else the topic, else a group of words."""
-    has = lambda name: F.size(F.regexp_extract_all("text", F.lit(ENTITIES[name]), F.lit(1))) > 0
+    has = lambda name: F.size(found(name)) > 0
     word = F.coalesce(*(F.when(any_of(words), F.lit(name)) for name, words in HANDLERS.items()), F.when(any_of(["how"]) & any_of(["improve", "better"]), "improvement"), F.lit("none"))
     return F.when(has("speed"), "speed").when(has("fuel"), "fuel").when(topic() != "none", topic()).otherwise(word)
 
@@ -203,7 +226,7 @@ def routed(df: DataFrame) -> DataFrame:
 def replies(df: DataFrame) -> DataFrame:
     """The parts of a reply in order: opening, handler, remarks on what was named, closing, first follow-up."""
     rich = _strategy(analysed(df))
-    first = lambda name: F.get(F.regexp_extract_all("text", F.lit(ENTITIES[name]), F.lit(1)), 0)
+    first = lambda name: F.get(f"e_{name}", F.lit(0))
     parts = F.concat_ws(
         ";",
         F.when(F.col("tone") == "empathetic", "sorry"),

@@ -326,7 +326,7 @@ def export_roundtrip(spark, sf_dir):
 def trip_append(spark, sf_dir):
     trips, folder = V.trips(spark, sf_dir), scratch(spark)
     sinks.append_trips(trips.repartition(F.date_format("trip_date", "yyyy-MM")), folder)
-    return spark.read.parquet(folder).groupBy("trip_date").agg(F.count("*").alias("n"))
+    return sinks.stored(spark, folder).groupBy("trip_date").agg(F.count("*").alias("n"))
 
 
 @query("alert_append", V.with_views(f", a AS ({rules_sql(scoring.ALERTS, 'trips', 'id')}) SELECT code AS alert_type, count(*) AS n FROM (SELECT DISTINCT id, code FROM a) d GROUP BY code", "trips"))
@@ -335,4 +335,4 @@ def alert_append(spark, sf_dir):
     rows, folder = scoring.alerts(V.trips(spark, sf_dir)), scratch(spark)
     for part in ("trip_id % 2 = 0", "true"):
         sinks.append_alerts(rows.filter(part), folder)
-    return spark.read.parquet(folder).groupBy("alert_type").agg(F.count("*").alias("n"))
+    return sinks.stored_alerts(spark, folder).groupBy("alert_type").agg(F.count("*").alias("n"))

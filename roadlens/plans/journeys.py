@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import places
 from ..functions.numbers import bands, rounded
 from ..operators import fuel, routes
 from ..operators import trips as T
+from ..session import scratch
 from ..sources import sinks
 from ..sources import views as V
 from .fleet import _EFFICIENCY, _PROFILES, profiles
-from .intake import scratch
 from .registry import query
 
 TRIP = V.with_views
@@ -134,4 +135,42 @@ _PLACE = lambda a, b: f"CAST({a} AS STRING) || ',' || CAST({b} AS STRING)"  # no
 def route_append(spark, sf_dir):
     folder = scratch(spark)
     sinks.append_route(routes.saved(V.route_requests(spark, sf_dir), _stats(spark, sf_dir)), folder, "2001-08-01")
-    return spark.read.parquet(folder).withColumn("saved_date", F.to_date("saved_date"))
+    return sinks.stored(spark, folder).withColumn("saved_date", F.to_date("saved_date"))
+
+
+# --- places and paths as text
+
+#: Texts of a sample's place: some malformed, some off the globe.
+_PATHS = (
+    "CASE sample_id % 7 WHEN 0 THEN 'path_to_gps_data' WHEN 1 THEN NULL WHEN 2 THEN '[95.5,10.25]' WHEN 3 THEN concat('[', CAST(latitude AS STRING), ',', CAST(longitude AS STRING))"
+    " WHEN 4 THEN concat(' [ ', CAST(latitude AS STRING), ' ,', CAST(longitude AS STRING), '] ') ELSE concat('[', CAST(latitude AS STRING), ',', CAST(longitude AS STRING), ']') END"
+)
+_NUMBERS = r"^\s*\[\s*([+-]?[0-9]+(?:[.][0-9]+)?)\s*,\s*([+-]?[0-9]+(?:[.][0-9]+)?)\s*\]\s*$"
+_PARSED = (
+    f", texts AS (SELECT sample_id, {_PATHS} AS path FROM telemetry)"
+    f", found AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '{_NUMBERS}', 1), '') AS DOUBLE) AS a, TRY_CAST(nullif(regexp_extract(path, '{_NUMBERS}', 2), '') AS DOUBLE) AS b FROM texts)"
+    ", sound AS (SELECT sample_id, CASE WHEN abs(a) <= 90 AND abs(b) <= 180 THEN a END AS lat, CASE WHEN abs(a) <= 90 AND abs(b) <= 180 THEN b END AS lon FROM found)"
+    " SELECT sample_id, lat, lon, '[' || CAST(lat AS STRING) || ',' || CAST(lon AS STRING) || ']' AS written FROM sound"
+)
+
+
+@query("gps_parse", TRIP(_PARSED, "telemetry"))
+def gps_parse(spark, sf_dir):
+    """A path's first point, and the path written again; what isn't a path is NULL."""
+    points = V.telemetry(spark, sf_dir).selectExpr("sample_id", f"{_PATHS} AS path").select("sample_id", places.path(F.col("path")).alias("points"))
+    first = F.get("points", F.lit(0))
+    return points.select("sample_id", first["lat"].alias("lat"), first["lon"].alias("lon"), places.path_text(F.col("points")).alias("written"))
+
+
+_LEG = lambda a, b: routes.HAVERSINE.replace("lat2", f"lat{b}").replace("lon2", f"lon{b}").replace("lat1", f"lat{a}").replace("lon1", f"lon{a}")
+_VIA = "SELECT request_id, lat1, lon1, lat2 AS lat3, lon2 AS lon3, CAST(10 + request_id % 20 AS DOUBLE) AS lat2, CAST(70 + request_id % 20 AS DOUBLE) AS lon2 FROM route_requests"
+
+
+@query("path_length", TRIP(f", via AS ({_VIA}) SELECT request_id, {rounded(f'{_LEG(1, 2)} + {_LEG(2, 3)}', 3)} AS km, CAST(3 AS INT) AS n_points FROM via", "route_requests"))
+def path_length(spark, sf_dir):
+    """Length of a path that is written as text, over a place on the way."""
+    point = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    via = F.struct((10 + F.col("request_id") % 20).cast("double").alias("lat"), (70 + F.col("request_id") % 20).cast("double").alias("lon"))
+    text = V.route_requests(spark, sf_dir).select("request_id", places.path_text(F.array(point("lat1", "lon1"), via, point("lat2", "lon2"))).alias("path"))
+    points = text.select("request_id", places.path(F.col("path")).alias("points"))
+    return points.withColumn("km", places.length_km(F.col("points"))).select("request_id", F.expr(rounded("km", 3)).alias("km"), F.size("points").alias("n_points"))

@@ -45,10 +45,57 @@ def test_vehicle_numbers(spark):
 
 
 def test_alerts_are_stored_once(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "trip_id long, alert_type string")
-    sinks.append_alerts(rows.filter("trip_id = 1"), str(tmp_path / "alerts"))
-    sinks.append_alerts(rows, str(tmp_path / "alerts"))
-    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2
+    rows = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", 6)], "trip_id long, alert_type string, value int")
+    path = str(tmp_path / "alerts")
+    sinks.append_alerts(rows.filter("trip_id = 1"), path)
+    sinks.append_alerts(rows, path)
+    assert sinks.stored(spark, path).count() == 2
+    sinks.append(rows, path, "other writer")  # who saw nothing stored
+    assert sorted(map(tuple, sinks.stored_alerts(spark, path).collect())) == [(1, "a", 5), (2, "b", 6)]
+
+
+def test_batch_survives_failures(spark, data, tmp_path, monkeypatch):
+    """A batch that fails before its commit leaves nothing, one that is tried again after it is stored once."""
+    from roadlens.sources import views as V
+
+    trips, path = V.trips(spark, data), str(tmp_path / "trips")
+    n, moved = trips.count(), sinks._moved
+    sinks.append_trips(trips.filter("id % 2 = 0"), path, "one")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_moved", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.append_trips(trips.filter("id % 2 = 1"), path, "two")
+    assert sinks.stored(spark, path).count() < n
+    for _ in range(2):
+        sinks.append_trips(trips.filter("id % 2 = 1"), path, "two")
+    assert sinks.stored(spark, path).count() == n and sinks.stored(spark, path).select("id").distinct().count() == n
+    # two writers of one batch, both past the first look: one commits
+    for k in range(2):
+        trips.limit(3).withColumn("trip_month", F.lit("2000-01")).write.partitionBy("trip_month").parquet(f"{path}/_staged/x{k}")
+    assert [moved(spark, f"{path}/_staged/x{k}", f"{path}/batch=three") for k in range(2)] == [True, False]
+    assert not sinks.append(trips.limit(3), path, "three")
+    assert sinks.stored(spark, path).count() == n + 3
+
+
+def test_dry_run_writes_nothing(spark, data, tmp_path):
+    from roadlens.sources import views as V
+
+    trips = V.trips(spark, data)
+    assert sinks.append_trips(trips, None) is trips and not any(tmp_path.iterdir())
+
+
+def test_places_and_paths(spark):
+    from roadlens.functions import places
+
+    texts = ["1.5,2", " -90 , 180 ", "91,0", "0,181", "a,b", "1,2,3", "", None, "NaN,1", "1e1,2E0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(places.place(F.col("t"))).collect()]
+    assert got == [(1.5, 2.0), (-90.0, 180.0), None, None, None, None, None, None, None, (10.0, 2.0)]
+    paths = ["[1.5,2.0]", "[0.0,0.0],[0.0,90.0],[90.0,0.0]", "[1,2", "[1,2],", "[1,2][3,4]", "[1,2],[95,0]", "path_to_gps_data", "[]", None, "[[1,2]]"]
+    rows = spark.createDataFrame([(t,) for t in paths], "t string").select("t", places.path(F.col("t")).alias("p"))
+    got = rows.select("t", places.path_text(F.col("p")).alias("again"), places.length_km(F.col("p")).alias("km")).collect()
+    assert [r["again"] for r in got] == [*paths[:2], *[None] * 8]
+    assert got[0]["km"] == 0 and abs(got[1]["km"] - 6371 * 3.141592653589793) < 1e-6 and all(r["km"] is None for r in got[2:])
 
 
 def test_export_falls_back_to_all(spark, data, tmp_path):

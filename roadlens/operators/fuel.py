@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bands, rounded
@@ -44,42 +43,52 @@ TRAFFIC = [
 ]
 
 
-def scenarios(requests: DataFrame, base: float = 12.0) -> DataFrame:
-    """Four rows a request: km per litre, litres, cost and emissions; the tables of multipliers have a dozen rows."""
-    spark = requests.sparkSession
-    ways = F.broadcast(spark.createDataFrame(SCENARIOS, "ord int, scenario string, multiplier double, rating string, rating_points int, practical_points int"))
-    route = F.broadcast(spark.createDataFrame(ROUTE, "scenario string, route_type string, by_route double"))
-    traffic = F.broadcast(spark.createDataFrame(TRAFFIC, "scenario string, traffic string, by_traffic double"))
-    wide = requests.crossJoin(ways).join(route, ["scenario", "route_type"], "left").join(traffic, ["scenario", "traffic"], "left")
-    wide = wide.withColumn("kmpl", F.lit(base) * F.col("multiplier") * F.coalesce("by_route", F.lit(1.0)) * F.coalesce("by_traffic", F.lit(1.0)))
-    return wide.withColumn("litres", F.col("distance_km") / F.col("kmpl")).withColumn("cost", F.expr(rounded(f"litres * {PRICE}", 2)))
+def _factor(rows: list[tuple[str, str, float]], scenario: str, column: str) -> Column:
+    """What a scenario's efficiency is multiplied with for a value of the column; 1 for values without an entry."""
+    return F.coalesce(*(F.when(F.col(column) == of, F.lit(factor)) for name, of, factor in rows if name == scenario), F.lit(1.0))
+
+
+def priced(requests: DataFrame, base: float = 12.0) -> DataFrame:
+    """The requests with ways, an array of one struct for each scenario: all comparisons of a request stay in its row."""
+    of = {name: F.lit(base) * multiplier * _factor(ROUTE, name, "route_type") * _factor(TRAFFIC, name, "traffic") for _, name, multiplier, *_ in SCENARIOS}
+    rows = requests.withColumns({f"_{name}": kmpl for name, kmpl in of.items()})
+    way = lambda k, name, _, rating, points, practical: F.struct(
+        F.lit(k).alias("ord"), F.lit(name).alias("scenario"), F.lit(rating).alias("rating"), F.lit(points + practical).alias("points"), F.col(f"_{name}").alias("kmpl"),
+        (F.col("distance_km") / F.col(f"_{name}")).alias("litres"), F.expr(rounded(f"distance_km / _{name} * {PRICE}", 2)).alias("cost"),
+    )
+    return rows.select(*requests.columns, F.array(*(way(*s) for s in SCENARIOS)).alias("ways"))
 
 
 def table(requests: DataFrame) -> DataFrame:
-    return scenarios(requests).select("request_id", "scenario", F.expr(rounded("kmpl", 1)).alias("kmpl"), F.expr(rounded("litres", 2)).alias("litres"), "cost", F.expr(rounded(f"litres * {CO2}", 2)).alias("co2_kg"), "rating")
+    """Four rows a request: km per litre, litres, cost and emissions."""
+    rows = priced(requests).select("request_id", F.inline("ways"))
+    return rows.select("request_id", "scenario", F.expr(rounded("kmpl", 1)).alias("kmpl"), F.expr(rounded("litres", 2)).alias("litres"), "cost", F.expr(rounded(f"litres * {CO2}", 2)).alias("co2_kg"), "rating")
+
+
+def _cost(scenario: str) -> Column:
+    return F.get("ways", F.lit([name for _, name, *_ in SCENARIOS].index(scenario)))["cost"]
 
 
 def costs(requests: DataFrame) -> DataFrame:
     """Per request: the normal cost, the best and the worst, and what the difference makes over a month and a year."""
-    normal = F.max(F.when(F.col("scenario") == "normal_driving", F.col("cost")))
-    out = scenarios(requests).groupBy("request_id").agg(normal.alias("normal_cost"), F.min("cost").alias("best_cost"), F.max("cost").alias("worst_cost"), F.min_by("scenario", F.struct("cost", "ord")).alias("best"))
+    by_cost = F.array_sort(F.transform("ways", lambda w: F.struct(w["cost"].alias("cost"), w["ord"].alias("ord"), w["scenario"].alias("scenario"))))
+    rows = priced(requests).select("request_id", _cost("normal_driving").alias("normal_cost"), by_cost.alias("sorted"))
+    out = rows.select("request_id", "normal_cost", F.get("sorted", F.lit(0))["cost"].alias("best_cost"), F.get("sorted", F.lit(len(SCENARIOS) - 1))["cost"].alias("worst_cost"), F.get("sorted", F.lit(0))["scenario"].alias("best"))
     spread = "worst_cost - best_cost"
     return out.select("*", F.expr(rounded(spread, 2)).alias("savings"), F.expr(rounded(f"({spread}) * 20", 2)).alias("monthly"), F.expr(rounded(f"({spread}) * 240", 2)).alias("yearly"))
 
 
 def best(requests: DataFrame) -> DataFrame:
     """The scenario with the most points for rating, practicality and savings; the first of equals."""
-    normal = F.max(F.when(F.col("scenario") == "normal_driving", F.col("cost"))).over(W.partitionBy("request_id"))
-    saved = F.expr(rounded("normal - cost", 2))
-    points = F.col("rating_points") + F.col("practical_points") + F.when(F.col("saved") > 0, F.least(F.lit(30.0), "saved")).otherwise(0.0)
-    own = scenarios(requests).withColumn("normal", normal).withColumn("saved", saved).withColumn("points", points)
-    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("points"), "ord"))
-    return own.withColumn("place", place).filter("place = 1").select("request_id", "scenario", "points", "saved")
+    saved = lambda w: F.floor((F.col("normal") - w["cost"]) * 100.0 + 0.5) / 100.0
+    point = lambda w: w["points"] + F.when(saved(w) > 0, F.least(F.lit(30.0), saved(w))).otherwise(0.0)
+    ordered = F.array_sort(F.transform("ways", lambda w: F.struct((-point(w)).alias("last"), w["ord"].alias("ord"), w["scenario"].alias("scenario"), point(w).alias("points"), saved(w).alias("saved"))))
+    rows = priced(requests).withColumn("normal", _cost("normal_driving")).select("request_id", F.get(ordered, F.lit(0)).alias("w"))
+    return rows.select("request_id", "w.scenario", "w.points", "w.saved")
 
 
 def tips(requests: DataFrame, least: float = 20.0) -> DataFrame:
-    cost = lambda s: F.max(F.when(F.col("scenario") == s, F.col("cost")))
-    gap = scenarios(requests).groupBy("request_id").agg((cost("normal_driving") - cost("eco_driving")).alias("gap"))
+    gap = priced(requests).select("request_id", (_cost("normal_driving") - _cost("eco_driving")).alias("gap"))
     return gap.select("request_id", F.concat_ws(",", F.when(F.col("gap") > least, "driving_style"), F.lit("route_planning"), F.lit("vehicle_maintenance")).alias("tips"))
 
 

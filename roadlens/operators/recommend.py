@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..functions.rules import Rule, exploded
+from ..functions.rules import Rule, exploded, fired
 
 # Limits, priorities, shares of fuel saved.
 PRICE = 110
@@ -62,10 +61,11 @@ def given(trips: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def top(trips: DataFrame, n: int = 8) -> DataFrame:
-    """The n recommendations of a trip with the highest priority, and how many there were."""
-    w = W.partitionBy("id")
-    rows = given(trips, ALL).withColumn("place", F.row_number().over(w.orderBy(F.desc("priority"), "ord")).cast("long")).withColumn("generated", F.count("*").over(w))
-    return rows.filter(F.col("place") <= n).select("id", "place", "code", "category", "priority", "generated")
+    """The n recommendations of a trip with the highest priority, and how many there were: sorted inside the row, so nothing is shuffled."""
+    keyed = F.transform(fired(ALL), lambda r: F.struct((-r["score"]).alias("last"), r["ord"].alias("ord"), r["code"].alias("code"), r["severity"].alias("category"), r["score"].alias("priority")))
+    rows = trips.select("id", F.array_sort(keyed).alias("all"))
+    rows = rows.select("id", F.size("all").cast("long").alias("generated"), F.posexplode(F.slice("all", 1, n)).alias("at", "r"))
+    return rows.select("id", (F.col("at") + 1).cast("long").alias("place"), "r.code", "r.category", "r.priority", "generated")
 
 
 def categories(trips: DataFrame, n: int = 8) -> DataFrame:

@@ -40,6 +40,15 @@ def prepared_wide(trips: DataFrame) -> DataFrame:
     return prepared(trips.withColumn("score", F.expr(HEURISTIC)), WIDE_FEATURES, WIDE_LABELS)
 
 
+def scaled(data: DataFrame) -> DataFrame:
+    """id, label (classes that occur, numbered in alphabetical order) and features less their mean over their population spread; a constant is 0."""
+    stats = data.agg(*(f(c).alias(f"_{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop))), F.array_sort(F.collect_set("score")).alias("_classes"))
+    rows = data.crossJoin(F.broadcast(stats))  # one row
+    label = (F.array_position("_classes", F.col("score")) - 1).cast("int")
+    unit = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
+    return rows.select("id", label.alias("label"), *(unit(c).alias(c) for c in FEATURES))
+
+
 def duplicates(data: DataFrame) -> DataFrame:
     """Rows whose features another row has already."""
     groups = data.groupBy(*FEATURES, "score").agg(F.count("*").alias("n"))

@@ -33,6 +33,14 @@ def ml_prep(spark, sf_dir):
     return _data(spark, sf_dir)
 
 
+_unit = lambda c: f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1e0)"
+
+
+@query("ml_scaled", PREP(f"SELECT id, CAST(dense_rank() OVER (ORDER BY score) - 1 AS INT) AS label, {', '.join(f'{rounded(_unit(c))} AS {c}' for c in L.FEATURES)} FROM prep"))
+def ml_scaled(spark, sf_dir):
+    return L.scaled(_data(spark, sf_dir)).select("id", "label", *(F.expr(rounded(c)).alias(c) for c in L.FEATURES))
+
+
 @query("ml_dups", PREP(f"SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) - count(*) AS n_duplicates FROM (SELECT count(*) AS n FROM prep GROUP BY {_FEATURES}, score) g"))
 def ml_dups(spark, sf_dir):
     return L.duplicates(_data(spark, sf_dir))

@@ -133,7 +133,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def features(shingles: Shingles) -> DataFrame:
-    """doc_id, key (hash of the row), n (size of the set), class (null if empty), weight (how common its prefix is), prefix (its rarest shingles) of each row."""
+    """doc_id, key (names the row), n (size of the set), class (null if empty), weight (how common its prefix is), prefix (its rarest shingles) of each row."""
     k, percent, key, table = shingles.k, shingles.percent, shingles.key, shingles.often
 
     def run(batches):
@@ -193,7 +193,7 @@ def _sets(shingles: Shingles, wanted: DataFrame) -> DataFrame:
                 raw = h.tobytes()
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "key": batch.column("key").slice(i, j - i), "set": pa.array([raw[8 * at[r] : 8 * at[r + 1]] for r in range(j - i)], pa.binary())})
 
-    sets = texts.mapInArrow(run, "doc_id long, key long, set binary")
+    sets = texts.mapInArrow(run, "doc_id long, key binary, set binary")
     # repeated rows give one set
     sets = sets.join(wanted.withColumnRenamed("key", "own"), sets["doc_id"].eqNullSafe(F.col("rep")) & (sets["key"] == F.col("own")))
     return sets.select("class", "set").dropDuplicates(["class"])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
@@ -67,15 +68,21 @@ def expanded(requests: DataFrame) -> DataFrame:
     return wide.withColumn("km", F.col("base_km") * F.col("by_distance"))
 
 
-def fuel(requests: DataFrame, stats: DataFrame | None = None, efficiency: float = 15.0, load: float = 50.0) -> DataFrame:
-    """`expanded` with litres, for the user's own efficiency and mean engine load if stats (user_id, avg_fuel_efficiency, avg_engine_load) has them."""
-    wide = expanded(requests)
+def _for_user(wide: DataFrame, stats: DataFrame | None, efficiency: float = 15.0, load: float = 50.0) -> DataFrame:
+    """kmpl and load: the user's own if stats (user_id, avg_fuel_efficiency, avg_engine_load) has them."""
     if stats is not None:
         wide = wide.join(stats.select("user_id", "avg_fuel_efficiency", "avg_engine_load"), "user_id", "left")
     else:
         wide = wide.withColumn("avg_fuel_efficiency", F.lit(None).cast("double")).withColumn("avg_engine_load", F.lit(None).cast("double"))
-    wide = wide.withColumn("kmpl", F.coalesce("avg_fuel_efficiency", F.lit(efficiency))).withColumn("load", F.coalesce("avg_engine_load", F.lit(load)))
-    return wide.withColumn("fuel", F.expr(rounded("greatest(1e-1, km / kmpl * by_fuel * (8e-1 + 4e-1 * (load / 5e1)))", 2)))
+    return wide.withColumn("kmpl", F.coalesce("avg_fuel_efficiency", F.lit(efficiency))).withColumn("load", F.coalesce("avg_engine_load", F.lit(load)))
+
+
+FUEL = "greatest(1e-1, km / kmpl * by_fuel * (8e-1 + 4e-1 * (load / 5e1)))"
+
+
+def fuel(requests: DataFrame, stats: DataFrame | None = None, efficiency: float = 15.0, load: float = 50.0) -> DataFrame:
+    """`expanded` with litres, for the user's own efficiency and mean engine load if stats has them."""
+    return _for_user(expanded(requests), stats, efficiency, load).withColumn("fuel", F.expr(rounded(FUEL, 2)))
 
 
 def options(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -83,15 +90,41 @@ def options(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return wide.withColumn("score", F.expr(SCORE))
 
 
+#: What is computed of a profile, step by step; a step sees those before it.
+_STEPS = [
+    {"delay": DELAY, "level": LEVEL, "km": "base_km * by_distance"},
+    {"delay_minutes": DELAY_MINUTES, "fuel": rounded(FUEL, 2)},
+    {"distance": rounded("km", 1), "minutes": rounded("km / kmh * 6e1 * delay", 0), "cost": rounded(f"fuel * {PRICE}", 2)},
+    {"score": SCORE},
+]
+_FIELDS = ["ord", "type", "by_distance", "kmh", "by_fuel", "base_score", "bonus"]
+
+
+def in_row(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """The requests with ways: the options of `options` as an array in the row, the best first. Comparing them shuffles nothing."""
+    wide = _for_user(requests.withColumn("base_km", F.expr(HAVERSINE)).withColumn("weekend", F.expr("weekday(dep_date) >= 5")), stats)
+    literal = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+    struct = lambda pairs: "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in pairs) + ")"
+    ways, known = "array(" + ", ".join(struct(zip(_FIELDS, map(literal, p))) for p in PROFILES) + ")", list(_FIELDS)
+    for step in _STEPS:
+        own = re.compile(r"\b(" + "|".join(known) + r")\b(?!')")  # names of the option, not of the request
+        ways = f"transform({ways}, p -> {struct([*((c, f'p.{c}') for c in known), *((c, own.sub(r'p.\1', e)) for c, e in step.items())])})"
+        known += step
+    ordered = struct([("last", "-p.score"), ("ord", "p.ord"), *((c, f"p.{c}") for c in ("type", "distance", "minutes", "fuel", "cost", "score"))])
+    return wide.withColumn("ways", F.expr(f"array_sort(transform({ways}, p -> {ordered}))"))
+
+
 def ranked(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "ord"))
-    return options(requests, stats).withColumn("place", place.cast("long"))
+    """request_id, place (from 1, the best score first), type, distance, minutes, fuel, cost, score of each option."""
+    rows = in_row(requests, stats).select("request_id", F.posexplode("ways").alias("at", "way"))
+    return rows.select("request_id", (F.col("at") + 1).cast("long").alias("place"), *(f"way.{c}" for c in ("type", "distance", "minutes", "fuel", "cost", "score")))
 
 
 def pick(requests: DataFrame, stats: DataFrame, efficiency: DataFrame) -> DataFrame:
     """The option advised, by the user's km per litre, and what the best saves against the worst."""
-    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
-    own = ranked(requests, stats).groupBy("request_id", "user_id").agg(at(1, "type").alias("first"), (at(3, "cost") - at(1, "cost")).alias("saved"), (at(3, "minutes") - at(1, "minutes")).alias("minutes_saved"))
+    way = lambda k, c: F.get("ways", F.lit(k))[c]
+    worst = len(PROFILES) - 1
+    own = in_row(requests, stats).select("request_id", "user_id", way(0, "type").alias("first"), (way(worst, "cost") - way(0, "cost")).alias("saved"), (way(worst, "minutes") - way(0, "minutes")).alias("minutes_saved"))
     own = own.join(efficiency, "user_id", "left")
     choice = F.when(F.coalesce("km_per_l", F.lit(8.0)) < 7, "eco").otherwise(F.col("first"))
     return own.select("request_id", choice.alias("choice"), F.expr(rounded("saved", 2)).alias("fuel_savings"), "minutes_saved", F.expr(rounded("saved * 20", 2)).alias("monthly_savings"))
@@ -100,25 +133,27 @@ def pick(requests: DataFrame, stats: DataFrame, efficiency: DataFrame) -> DataFr
 def saved(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """The best option of each request, in the columns of a saved route."""
     place = lambda a, b: F.concat_ws(",", F.col(a).cast("string"), F.col(b).cast("string"))
-    return ranked(requests, stats).filter("place = 1").select(
+    best = in_row(requests, stats).withColumn("way", F.get("ways", F.lit(0)))
+    return best.select(
         "user_id",
-        F.concat("type", F.lit(" route")).alias("route_name"),
+        F.concat("way.type", F.lit(" route")).alias("route_name"),
         place("lat1", "lon1").alias("start_location"),
         place("lat2", "lon2").alias("end_location"),
-        F.col("type").alias("route_type"),
-        F.col("distance").alias("distance_km"),
-        F.col("minutes").cast("int").alias("travel_time_minutes"),
-        F.col("fuel").alias("fuel_consumption"),
-        F.col("cost").alias("fuel_cost"),
-        F.col("score").cast("int").alias("efficiency_score"),
+        F.col("way.type").alias("route_type"),
+        F.col("way.distance").alias("distance_km"),
+        F.col("way.minutes").cast("int").alias("travel_time_minutes"),
+        F.col("way.fuel").alias("fuel_consumption"),
+        F.col("way.cost").alias("fuel_cost"),
+        F.col("way.score").cast("int").alias("efficiency_score"),
     )
 
 
 def savings(requests: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """What each option costs more than the eco one."""
-    own = options(requests, stats).select("request_id", "type", "cost", "fuel", "minutes")
-    eco = own.filter("type = 'eco'").select("request_id", F.col("cost").alias("eco_cost"), F.col("fuel").alias("eco_fuel"), F.col("minutes").alias("eco_minutes"))
-    return own.join(eco, "request_id").select("request_id", "type", F.expr(rounded("cost - eco_cost", 2)).alias("extra_cost"), F.expr(rounded("fuel - eco_fuel", 2)).alias("extra_fuel"), F.expr("minutes - eco_minutes").alias("extra_minutes"))
+    rows = in_row(requests, stats).withColumn("eco", F.get(F.filter("ways", lambda w: w["type"] == "eco"), F.lit(0)))
+    rows = rows.select("request_id", "eco", F.explode("ways").alias("way"))
+    more = lambda c: F.expr(rounded(f"way.{c} - eco.{c}", 2))
+    return rows.select("request_id", "way.type", more("cost").alias("extra_cost"), more("fuel").alias("extra_fuel"), F.expr("way.minutes - eco.minutes").alias("extra_minutes"))
 
 
 def located(names: DataFrame) -> DataFrame:

@@ -313,13 +313,14 @@ def ingest_report(spark, sf_dir):
     return telemetry_files.report(files, samples, trips)
 
 
-@query("export_roundtrip", V.with_views("SELECT id, distance_km, score FROM trips WHERE user_id % 2 = 0", "trips"))
+@query("export_roundtrip", V.with_views(f"SELECT {', '.join(sinks.EXPORT)} FROM trips WHERE user_id % 2 = 0", "trips"))
 def export_roundtrip(spark, sf_dir):
+    """All exported columns, read back from CSV."""
     trips = V.trips(spark, sf_dir)
     folder = scratch(spark)
     sinks.export(trips, trips.filter("user_id % 2 = 0"), folder)
     back = spark.read.option("header", "true").schema(sinks.exported(trips).schema).csv(folder)
-    return back.select(F.col("Trip ID").alias("id"), F.col("Distance (km)").alias("distance_km"), F.col("Score").alias("score"))
+    return back.select(*(F.col(f"`{name}`").alias(c) for c, name in sinks.EXPORT.items()))
 
 
 @query("trip_append", V.with_views("SELECT trip_date, count(*) AS n FROM trips GROUP BY trip_date", "trips"))

@@ -1,9 +1,8 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-A window is `window` consecutive lines that aren't blank; a line of `long_words`
-words is a window by itself. With `runs`, so are fewer lines than `window` that
-have `long_words` words together: no passage of so many words is then too short in
-lines. ORACLE_SQL, and op6_line_dedup with it, is without runs. Of each window the
+A window is `window` consecutive lines that aren't blank; fewer lines that have
+`long_words` words together are one too, so no passage of so many words is too short in
+lines (without `runs`, only a single line). Of each window the
 least line hash is its fingerprint, so equal windows share one. Windows whose
 fingerprint comes once are done with; the rest are compared by the SHA-256 of their
 lines, matches that touch or overlap extend to runs, and every run but the earliest is
@@ -27,7 +26,7 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = True) -> DataFrame:
     """doc_id, key (names the row), lines (numbers of those to delete, from 0) of rows that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = row_key(F.col("text")).alias("key")
@@ -56,7 +55,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = True) -> DataFrame:
     """All columns of docs, text without the repeated lines, and _n_lines (not blank) and _n_removed.
 
     Deleted is every line in a window that also starts earlier: in a document
@@ -86,9 +85,9 @@ def digest(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """`deduplicated`, runs too, with the columns of docs; a document of which no word is left goes, one that had none stays."""
+    """`deduplicated` with the columns of docs; a document of which no word is left goes, one that had none stays."""
     inside = free(docs, "_n_lines", "_n_removed")
-    out = deduplicated(docs, window, long_words, True).toDF(*docs.columns, *inside)
+    out = deduplicated(docs, window, long_words).toDF(*docs.columns, *inside)
     n, removed = (F.col(c) for c in inside)
     return out.filter((removed == 0) | (removed < n)).drop(*inside)
 
@@ -98,7 +97,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER B
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
 n AS (SELECT r, line, x, row_number() OVER (PARTITION BY r ORDER BY line) AS pos, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 w AS (SELECT r, pos, line AS a, lead(line, 1) OVER s AS b, lead(line, 2) OVER s AS c, x || chr(10) || lead(x, 1) OVER s || chr(10) || lead(x, 2) OVER s AS whole FROM n WINDOW s AS (PARTITION BY r ORDER BY pos)
-      UNION ALL SELECT r, pos, line, line, line, x FROM n WHERE words >= 50),
+      UNION ALL SELECT r, pos, line, line, line, x FROM n WHERE words >= 50
+      UNION ALL SELECT r, pos, line, b, b, whole FROM (SELECT r, pos, line, lead(line) OVER s AS b, x || chr(10) || lead(x) OVER s AS whole, words + lead(words) OVER s AS two FROM n WINDOW s AS (PARTITION BY r ORDER BY pos)) y WHERE two >= 50),
 f AS (SELECT *, min((r, pos)) OVER (PARTITION BY whole) AS first FROM w WHERE whole IS NOT NULL),
 gone AS (SELECT DISTINCT r, unnest([a, b, c]) AS line FROM f WHERE (r, pos) > first)
 SELECT d.doc_id, coalesce(k.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed,

@@ -57,3 +57,14 @@ def test_accepted_keeps_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     out = toxicity.accepted(docs, labels)
     assert out.columns == docs.columns and {r["_text"] for r in out.collect()} == {"mine", "yours"}
+
+
+def test_two_lines_of_fifty_words_are_a_passage(spark):
+    a, b, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 26), ("b", 26), ("s", 10)))
+    rows = [(1, f"x\n{a}\n{b}\ny"), (2, f"{a}\n\n{b}\nz"), (3, f"{a}\nq\n{b}"), (4, f"v\n{a}\n{short}"), (5, f"w\n{a}\n{short}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    got = sorted(tuple(r) for r in line_dedup.digest(docs).collect())
+    assert [r[2] for r in got] == [0, 2, 0, 0, 0]
+    assert got == sorted(con.sql(line_dedup.ORACLE_SQL).fetchall())

@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary rows, one on the
 windows of toxic rows that separate them, those around beginnings of words that
-toxic rows share and ordinary rows hardly have. Every window of a text is compressed
+toxic rows share and ordinary rows hardly have (without such, all their windows). Every window of a text is compressed
 with the ordinary dictionary and with both; what the toxic one saves is the
 window's gain. The largest gains of a text, calibrated on labelled rows that the
 dictionaries haven't seen, are its score. Of several sizes of the toxic dictionary
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _arrays as A
@@ -141,9 +142,9 @@ def fitted(toxic: list[str], ordinary: list[str]) -> Model:
     part = lambda x, own: [t for i, t in enumerate(x) if (i % 3 == 0) == own]
     samples = [w for t in part(ordinary, False) for w in windows(t)]
     usual = trained(DICTIONARY_BYTES, samples[:: max(1, -(-len(samples) // ORDINARY_WINDOWS))])
-    near = separating(part(toxic, False), part(ordinary, False))
+    near = separating(part(toxic, False), part(ordinary, False)) or [w for t in part(toxic, False) for w in windows(t)]
     rows = [(t, y) for x, y in ((toxic, 1.0), (ordinary, 0.0)) for t in part(x, True)]
-    if not rows or not near:  # nothing separates the labels: all texts get the same low score
+    if not rows or not near:  # nothing is known to be toxic: all texts get the same low score
         return Model(usual, b"", np.array([-3.0, 0, 0, 0]))
     models = [Model(usual, trained(n, near, k=16, d=6), np.zeros(4)) for n in TOXIC_BYTES]
     losses = [m.calibrated(rows) for m in models]
@@ -160,7 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.filter("_toxic = _most").drop("_most").filter(~held_out(F.col("_id")))  # who is labelled both ways teaches nothing
     order = F.xxhash64("_id")
     picked = known.filter("_toxic = 1").orderBy(order, "_id").limit(TOXIC_ROWS).unionAll(known.filter("_toxic = 0").orderBy(order, "_id").limit(ORDINARY_ROWS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "_id").filter(F.octet_length("_text") <= ROW_BYTES).orderBy("_id", "_text").select("_toxic", "_text").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "_id").filter(F.octet_length("_text") <= ROW_BYTES)
+    # many rows may share a labelled id: so many rows are taken, not ids
+    place = F.row_number().over(W.partitionBy("_toxic").orderBy(order, "_id", F.xxhash64("_text"), "_text"))
+    texts = texts.withColumn("_place", place).filter(F.col("_place") <= ORDINARY_ROWS).filter((F.col("_toxic") == 0) | (F.col("_place") <= TOXIC_ROWS))
+    rows = texts.orderBy("_id", "_text").select("_toxic", "_text").collect()
     return fitted([r["_text"] for r in rows if r["_toxic"] == 1], [r["_text"] for r in rows if r["_toxic"] == 0])
 
 

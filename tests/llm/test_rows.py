@@ -68,3 +68,21 @@ def test_two_lines_of_fifty_words_are_a_passage(spark):
     got = sorted(tuple(r) for r in line_dedup.digest(docs).collect())
     assert [r[2] for r in got] == [0, 2, 0, 0, 0]
     assert got == sorted(con.sql(line_dedup.ORACLE_SQL).fetchall())
+
+
+def test_few_labels_that_separate(spark):
+    rows = [(i, f"you idiot x{i}", 1) for i in range(40)] + [(100 + i, f"nice day y{i}", 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, labels).collect()}
+    assert [got[r[0]] for r in rows] == [r[2] for r in rows]
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ORDINARY_ROWS", 30)
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 10)
+    taken = []
+    monkeypatch.setattr(toxicity, "fitted", lambda toxic, ordinary: taken.append((len(toxic), len(ordinary))))
+    docs = spark.createDataFrame([((0, 1)[k % 2], f"text {k}") for k in range(2000)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert taken == [(10, 30)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Where the tokenizer's file is; a cluster sets its own in spark.roadlens.word_vocabulary.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Chunks between white space, and pieces, that a task remembers; pieces merged together; characters looked at together.
-REMEMBERED, TOGETHER, CHARACTERS = 1 << 19, 1 << 18, 1 << 25
+REMEMBERED, TOGETHER, CHARACTERS = 1 << 19, 1 << 18, 1 << 23
 # How the vocabulary's file says that texts are normalised and cut.
 NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -34,6 +34,12 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN, PLAIN_CUT = re.compile(r"[!-@\[-~]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-`{-~]+")
 
 
+def tokens_of(read: dict) -> np.ndarray:
+    """The tokens of a tokenizer's file, by id."""
+    ids = read["model"]["vocab"] | {t["content"]: t["id"] for t in read["added_tokens"]}
+    return np.array(sorted(ids, key=ids.get), dtype=object)
+
+
 class Vocabulary:
     """The tokenizer of a file, its merges as arrays."""
 
@@ -54,7 +60,7 @@ class Vocabulary:
             raise ValueError("reserved tokens must be plain")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.reserved, key=len, reverse=True))) + ")") if self.reserved else None
         ids, end = model["vocab"], model["end_of_word_suffix"]
-        self.tokens = np.array(sorted([*ids, *self.reserved], key=lambda t: ids.get(t, self.reserved.get(t))), dtype=object)
+        self.tokens = tokens_of(read)
         # symbols that pieces begin as, inside a word and at its end, by character
         self.inside, self.last = (np.full(1 << 16, -1, np.int64) for _ in range(2))
         for token, k in ids.items():
@@ -219,7 +225,7 @@ def _path(docs: DataFrame, path: str | None) -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of long) of each row of docs (doc_id, text).
+    """doc_id, ids (array of int) of each row of docs (doc_id, text).
 
     As the tokenizers library encodes with the file at `path`, without adding special
     tokens; those written in a text are reserved ids, as there. Null and empty texts have
@@ -234,13 +240,13 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             for texts in _groups(batch.column("text").to_pylist()):
                 ids = encoder.encode(texts)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), column], ["doc_id", "ids"])
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<long>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def digest(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -248,7 +254,8 @@ def digest(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = _path(rows, path)
 
     def run(batches):
-        tokens = Vocabulary(path).tokens
+        with open(path, encoding="utf-8") as f:
+            tokens = tokens_of(json.load(f))
         for batch in batches:
             column = batch.column("ids")
             flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()

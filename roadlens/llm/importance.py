@@ -291,12 +291,13 @@ def ranked(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_wor
     # a row's rank: those in ranges before its own, and its place there
     place = F.monotonically_increasing_id()
     winners = winners.withColumns({"range": F.shiftright(place, 33).cast("int"), "place": place.bitwiseAND(F.lit((1 << 33) - 1))})
-    ahead, offsets = 0, {}
+    ahead, offsets = 0, []
     for r in winners.groupBy("range").count().orderBy("range").collect():  # a row for each range
-        offsets[r["range"]] = ahead
+        offsets.append((r["range"], ahead))
         ahead += r["count"]
-    offset = F.get(F.array(*(F.lit(offsets.get(i, 0)).cast("long") for i in range(max(offsets) + 1))), F.col("range"))
-    rank = offset + F.col("place") + 1
+    table = winners.sparkSession.createDataFrame(offsets, "range int, ahead long")
+    winners = winners.join(F.broadcast(table), "range")
+    rank = F.col("ahead") + F.col("place") + 1
     return plain(winners, F.when(rank <= k, rank)).unionByName(plain(rows.filter(~wins), F.lit(None)))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .components import free, row_key
 
 WINDOW, LONG_WORDS = 3, 50
+#: Bytes of a SHA-256 that name a window, and a row beside its id.
+NAME = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,12 +29,12 @@ def _lines(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = True) -> DataFrame:
-    """doc_id, key (names the row), lines (numbers of those to delete, from 0) of rows that have any."""
+    """doc_id, key (names the row), lines (numbers of those to delete among those that aren't blank, from 0) of rows that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = row_key(F.col("text")).alias("key")
+    key = F.substring(row_key(F.col("text")), 1, NAME).alias("key")
     # a line is its SHA-256, so different lines can't be made to look alike; its short hash only finds candidates
-    named = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["line"].alias("line"), F.unhex(F.sha2(s["x"], 256)).alias("sha"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
-    lines = F.transform(named, lambda s: F.struct(s["line"].alias("line"), s["sha"].alias("sha"), F.xxhash64(s["sha"]).alias("h"), s["words"].alias("words")))
+    named = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda s: F.struct(F.unhex(F.sha2(s["x"], 256)).alias("sha"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
+    lines = F.transform(named, lambda s: F.struct(s["sha"].alias("sha"), F.xxhash64(s["sha"]).alias("h"), s["words"].alias("words")))
     rows = docs.select("doc_id", key, lines.alias("lines"))
     least = lambda x: F.least(*x) if len(x) > 1 else x[0]
 
@@ -42,17 +44,17 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
         at = F.sequence(F.lit(0), F.size("lines") - n)
         if words:
             at = F.filter(at, lambda i: sum((p["words"] for p in part(i)), F.lit(0)) >= words)
-        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.array(*(p["line"] for p in part(i))).alias("lines"), least([p["h"] for p in part(i)]).alias("print"), F.substring(F.unhex(F.sha2(F.concat(*(p["sha"] for p in part(i))), 256)), 1, 16).alias("whole")))
-        return F.coalesce(F.when(F.size("lines") >= n, found), F.array().cast("array<struct<at: int, lines: array<int>, print: bigint, whole: binary>>"))
+        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), least([p["h"] for p in part(i)]).alias("print"), F.substring(F.unhex(F.sha2(F.concat(*(p["sha"] for p in part(i))), 256)), 1, NAME).alias("whole")))
+        return F.coalesce(F.when(F.size("lines") >= n, found), F.array().cast("array<struct<at: int, n: int, print: bigint, whole: binary>>"))
 
     short = range(1, window if runs else 2)
     windows = rows.select("doc_id", "key", F.inline(F.concat(stretches(window), *(stretches(n, long_words) for n in short))))
     common = windows.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     windows = windows.join(common, "print", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
-    first = windows.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("whole", "first")
+    first = windows.groupBy("whole").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("whole", "first")
     later = windows.join(first, "whole").filter(place > F.col("first"))
-    return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return later.select("doc_id", "key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, runs: bool = True) -> DataFrame:
@@ -64,16 +66,18 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     that share an id are taken in a fixed order, rows equal in id and text count
     as one document. Other columns are kept as they are.
     """
-    id_, key, gone, own = free(docs, "_id", "_key", "_lines", "_own")
+    id_, key, gone, own, numbers = free(docs, "_id", "_key", "_lines", "_own", "_numbers")
     found = repeated_lines(docs, window, long_words, runs).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("lines").alias(gone))
-    rows = docs.withColumn(own, row_key(F.col("text")))
+    rows = docs.withColumn(own, F.substring(row_key(F.col("text")), 1, NAME))
     both = rows.join(found, rows["doc_id"].eqNullSafe(found[id_]) & (rows[own] == found[key]), "left")
+    both = both.withColumn(numbers, F.transform(_lines(F.col("text")), lambda s: s["line"]))
     every = F.split("text", "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
+    lost = F.transform(F.col(gone), lambda p: F.get(F.col(numbers), p))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), lost)
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(every, i)), "\n"))
     return both.select(
         *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long").alias("_n_lines"),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("_n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("_n_removed"),
     )
 

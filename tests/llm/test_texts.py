@@ -330,4 +330,4 @@ def test_stages(spark, data):
 
 
 def test_one_query_for_each():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]

@@ -12,6 +12,7 @@ the one that fits those rows best is taken.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ TOXIC_BYTES, AROUND = (1024, 2048, 4096), (4, 14)
 #: A beginning of a word separates if this share of toxic rows has it, and a fiftieth of that share of ordinary rows at most.
 LEAST_SHARE, LEAST_ROWS, CONTRAST = 0.03, 3, 50
 LIMIT = 0.7
+#: Ordinary texts of so many bytes are searched for beginnings at once.
+SLICE_BYTES = 1 << 19
 
 
 def plain(text: str) -> bytes:
@@ -47,20 +50,18 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - OVERLAP), step)]
 
 
-def beginnings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, hash with the word before, start) of the beginnings of words, four to twelve bytes."""
+def beginnings(texts: list[bytes]):
+    """Yields (hash, row, hash with the word before, start) of the beginnings of words, one length of four to twelve bytes after the other."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
     words = A.Words(data, at, KEY)
     row = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
     size = words.end - words.start
     before = np.append(U64(0), words.hash[:-1])
-    out = []
     for n in range(4, 13):
         w = np.flatnonzero(size >= n)
         h = A.stretches(data, words.start[w], np.full(len(w), n), KEY)
-        out.append((h, row[w], A.mix(h ^ before[w]), words.start[w]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield h, row[w], A.mix(h ^ before[w]), words.start[w]
 
 
 #: Only a bounded sample is hashed, and reruns agree.
@@ -69,28 +70,33 @@ KEY = 20
 
 def rows_with(kind: np.ndarray, row: np.ndarray, kinds: int) -> np.ndarray:
     """In how many rows each kind is."""
-    return np.bincount(np.unique(np.stack([kind.astype(np.int64), row]), axis=1)[0], minlength=kinds) if len(kind) else np.zeros(kinds, np.int64)
+    rows = int(row.max()) + 1 if len(row) else 1
+    return np.bincount(np.unique(kind.astype(np.int64) * rows + row) // rows, minlength=kinds)
 
 
 def separating(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The surroundings of what toxic rows share and ordinary rows hardly have, in order."""
-    h, row, context, start = beginnings(toxic)
-    if not len(h):
+    found = []
+    for h, row, context, start in beginnings(toxic):
+        kinds, kind = np.unique(h, return_inverse=True)
+        # copies of one text count once: only different words before it make a beginning frequent
+        varied = np.bincount(kind[np.unique(context, return_index=True)[1]], minlength=len(kinds))
+        shared = rows_with(kind, row, len(kinds))
+        some = np.minimum(shared, varied) >= max(LEAST_ROWS, LEAST_SHARE * len(toxic))
+        found.append((kinds[some], shared[some], h[some[kind]], start[some[kind]]))
+    able, shared, h, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(able):
         return []
-    kinds, kind = np.unique(h, return_inverse=True)
-    # copies of one text count once: only different words before it make a beginning frequent
-    varied = np.bincount(kind[np.unique(context, return_index=True)[1]], minlength=len(kinds))
-    shared = rows_with(kind, row, len(kinds))
-    able = np.flatnonzero(np.minimum(shared, varied) >= max(LEAST_ROWS, LEAST_SHARE * len(toxic)))
-    usual = np.zeros(len(able), np.int64)
-    for i in range(0, len(ordinary) if len(able) else 0, 200):
-        x, r, _, _ = beginnings(ordinary[i : i + 200])
-        at = np.minimum(np.searchsorted(kinds[able], x), len(able) - 1)
-        hit = kinds[able][at] == x
-        usual += rows_with(at[hit], r[hit], len(able))
-    able = able[usual / max(1, len(ordinary)) * CONTRAST <= shared[able] / len(toxic)]
+    order = np.argsort(able)
+    able, shared, usual = able[order], shared[order], np.zeros(len(able), np.int64)
+    for i, j in A.slices(np.append(0, np.cumsum([len(t) for t in ordinary])).astype(np.int64), SLICE_BYTES):
+        for x, r, _, _ in beginnings(ordinary[i:j]):
+            at = np.minimum(np.searchsorted(able, x), len(able) - 1)
+            hit = able[at] == x
+            usual += rows_with(at[hit], r[hit], len(able))
+    able = able[usual / max(1, len(ordinary)) * CONTRAST <= shared / len(toxic)]
     data, (before, after) = b"".join(toxic), AROUND
-    return [data[max(0, p - before) : p + after] for p in np.unique(start[np.isin(kind, able)]).tolist()]
+    return [data[max(0, p - before) : p + after] for p in np.unique(start[np.isin(h, able)]).tolist()]
 
 
 def trained(size: int, samples: list[bytes], **parameters) -> bytes:
@@ -140,8 +146,9 @@ def fitted(toxic: list[str], ordinary: list[str]) -> Model:
     """A model of labelled texts: two thirds of them for the dictionaries, one for the calibration."""
     toxic, ordinary = [plain(t) for t in toxic], [plain(t) for t in ordinary]
     part = lambda x, own: [t for i, t in enumerate(x) if (i % 3 == 0) == own]
-    samples = [w for t in part(ordinary, False) for w in windows(t)]
-    usual = trained(DICTIONARY_BYTES, samples[:: max(1, -(-len(samples) // ORDINARY_WINDOWS))])
+    known = part(ordinary, False)
+    step = max(1, -(-sum(len(windows(t)) for t in known) // ORDINARY_WINDOWS))
+    usual = trained(DICTIONARY_BYTES, list(islice((w for t in known for w in windows(t)), 0, None, step)))
     near = separating(part(toxic, False), part(ordinary, False)) or [w for t in part(toxic, False) for w in windows(t)]
     rows = [(t, y) for x, y in ((toxic, 1.0), (ordinary, 0.0)) for t in part(x, True)]
     if not rows or not near:  # nothing is known to be toxic: all texts get the same low score
@@ -155,8 +162,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the labelled documents that aren't held out, a bounded number of them."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """_id, _toxic, _text of the labelled documents that aren't held out, a bounded number of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("toxic").cast("int")).alias("_toxic"), F.max(F.col("toxic").cast("int")).alias("_most"))
     known = known.filter("_toxic = _most").drop("_most").filter(~held_out(F.col("_id")))  # who is labelled both ways teaches nothing
     order = F.xxhash64("_id")
@@ -165,10 +172,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # many rows may share a labelled id: so many rows are taken, not ids
     place = F.row_number().over(W.partitionBy("_toxic").orderBy(order, "_id", F.xxhash64("_text"), "_text"))
     texts = texts.withColumn("_place", place).filter(F.col("_place") <= ORDINARY_ROWS).filter((F.col("_toxic") == 0) | (F.col("_place") <= TOXIC_ROWS))
-    rows = texts.orderBy("_id", "_text").select("_toxic", "_text").collect()
+    return texts.drop("_place")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of the sample, trained in the driver; `learned` spares the driver's memory."""
+    rows = sample(docs, labels).orderBy("_id", "_text").select("_toxic", "_text").collect()
     return fitted([r["_text"] for r in rows if r["_toxic"] == 1], [r["_text"] for r in rows if r["_toxic"] == 0])
 
 
+def _train(batches):
+    texts: tuple[list[str], list[str]] = ([], [])
+    for batch in batches:
+        for toxic, text in zip(batch.column("_toxic").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            texts[toxic == 0].append(text)
+    m = fitted(*texts)
+    yield pa.record_batch({"ordinary": pa.array([m.ordinary], pa.binary()), "toxic": pa.array([m.toxic], pa.binary()), "weights": pa.array([m.weights.tolist()])})
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of the sample, trained in one task: only the dictionaries and weights come to the driver."""
+    rows = sample(docs, labels).repartition(1).sortWithinPartitions("_id", "_text")
+    found = rows.select("_toxic", "_text").mapInArrow(_train, "ordinary binary, toxic binary, weights array<double>").collect()
+    return Model(bytes(found[0]["ordinary"]), bytes(found[0]["toxic"]), np.array(found[0]["weights"])) if found else fitted([], [])
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text), by a model of labels (doc_id, toxic).
 
@@ -177,7 +205,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held out. Without toxic and ordinary labels all scores are low. Repeated rows
     give a row each; other columns are never looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
 
     def run(batches):
         pair = model.value.compressors()
@@ -192,7 +220,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that aren't predicted to be toxic: each by its own text, whatever its id."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
 
     def run(batches):
         pair = model.value.compressors()

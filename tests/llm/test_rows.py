@@ -86,3 +86,18 @@ def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([((0, 1)[k % 2], f"text {k}") for k in range(2000)], "doc_id long, text string")
     toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
     assert taken == [(10, 30)]
+
+
+def test_model_is_trained_in_a_task(spark, monkeypatch):
+    rows = [(i, f"you idiot x{i}", 1) for i in range(40)] + [(100 + i, f"nice day y{i}", 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    want = toxicity.fit(docs, labels)
+
+    def refused(*_):
+        raise MemoryError("the driver trains")
+
+    monkeypatch.setattr(toxicity, "fitted", refused)
+    got = toxicity.learned(docs, labels)
+    assert (got.ordinary, got.toxic, got.weights.tolist()) == (want.ordinary, want.toxic, want.weights.tolist())
+    assert toxicity.accepted(docs, labels).count() == 40 and toxicity.scored(docs, labels).count() == 80

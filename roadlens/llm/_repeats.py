@@ -151,7 +151,7 @@ class Chunk(Tokens):
         earlier = np.zeros(len(self.first), bool)
         earlier[A.unpack(self.told(answers, 2)["value"], np.uint32)[0]] = True
         whole = earlier[self.kind] | later
-        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        edge = np.zeros(len(self.tokens) + 1, np.int32)
         s = self.start[whole]
         np.add.at(edge, s, 1)
         np.add.at(edge, s + self.count[whole] + self.spec.length - 1, -1)
@@ -167,7 +167,7 @@ class Chunk(Tokens):
             p = np.repeat(self.start[left], hi - lo) + which
             np.add.at(edge, p, 1)
             np.add.at(edge, p + self.spec.length, -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -249,6 +249,28 @@ class Windows:
     place: np.ndarray
 
 
+def compared(tokens: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarray, doc: np.ndarray, place: np.ndarray, spec: Spec, later: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs, those windows that aren't the earliest of their kind: number of the run, place in it.
+
+    Only windows of one seed can be equal, so runs are compared some seeds at a time,
+    on a copy of their own tokens: what a comparison needs is many times its tokens.
+    """
+    order = np.argsort(seed, kind="stable")
+    first = np.flatnonzero(np.append(True, seed[order][1:] != seed[order][:-1])[: len(order)])
+    first, ends = np.append(first, len(order)), np.append(0, np.cumsum(size[order]))
+    runs, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in A.slices(ends[first]):
+        r = order[first[i] : first[j]]
+        text, at = A.gather(tokens, start[r], size[r])
+        count = size[r] - spec.length + 1
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        own = np.repeat(r, count)
+        hit = later(Windows(text, np.repeat(at[:-1], count) + within, doc[own], place[own] + within), spec)
+        runs.append(own[hit])
+        offsets.append(within[hit])
+    return np.concatenate(runs), np.concatenate(offsets)
+
+
 def _resolve(spec: Spec, later: Callable[[Windows, Spec], np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
         size, n = A.unpack(table["size"], np.int32)
@@ -272,12 +294,9 @@ def _resolve(spec: Spec, later: Callable[[Windows, Spec], np.ndarray]):
         distinct = order[first]
         _, of, several = np.unique(seed[distinct], return_inverse=True, return_counts=True)
         distinct = distinct[(several[of] > 1) | periodic[distinct]]
-        count = size[distinct] - spec.length + 1
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        run_of = np.repeat(distinct, count)
-        hit = later(Windows(t.tokens, t.at[run_of] + within, doc[run_of], place[run_of] + within), spec)
+        run_of, within = compared(t.tokens, t.at[distinct], size[distinct], seed[distinct], doc[distinct], place[distinct], spec, later)
+        run_of = distinct[run_of]
         # what holds for a run holds for those equal to it
-        run_of, within = run_of[hit], within[hit]
         by_run = np.argsort(run_of, kind="stable")
         run_of, within = run_of[by_run], within[by_run]
         rest = np.flatnonzero(~copy)

@@ -112,15 +112,19 @@ def later_windows(w: Windows, spec: Spec) -> np.ndarray:
 
 def _digest(c: Chunk, covered: np.ndarray) -> pa.Table:
     n = np.diff(c.offsets)
-    total = np.append(0, np.cumsum(covered))
+
+    def of(marks: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(marks) + 1, np.int32)
+        np.cumsum(marks, out=total[1:])
+        return np.diff(total[c.offsets]).astype(np.int64)
+
     begins = covered.copy()
     begins[1:] &= ~covered[:-1]
     edge = c.offsets[:-1][n > 0]
     begins[edge] = covered[edge]
-    spans = np.append(0, np.cumsum(begins))
-    of = lambda t: t[c.offsets[1:]] - t[c.offsets[:-1]]
+    removed, spans = of(covered), of(begins)
     kept = [A.sha256(c.data[a:b][~covered[a:b]].tobytes()) for a, b in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(c.ids, mask=c.null), "n_bytes": n, "n_removed": of(total), "n_spans": of(spans), "kept_sha256": pa.array(kept, pa.string())})
+    return pa.table({"doc_id": pa.array(c.ids, mask=c.null), "n_bytes": n, "n_removed": removed, "n_spans": spans, "kept_sha256": pa.array(kept, pa.string())})
 
 
 def _spans(c: Chunk, covered: np.ndarray) -> pa.Table:

@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadlens.llm import _repeats, suffix_array, suffix_tree
@@ -118,3 +119,33 @@ def test_rows_that_share_an_id(spark):
     out = suffix_tree.removal_digest(df).collect()
     # whichever of the two rows of id 1 comes first keeps the 40 words that both have
     assert len(out) == 5 and sum(r["n_words"] - r["n_removed"] for r in out) == 62 and [r["n_removed"] for r in out if r["doc_id"] == 2] == [60]
+
+
+@pytest.mark.parametrize("module, spec", [(suffix_array, _repeats.Spec(False, 50, 18, False, 5)), (suffix_tree, _repeats.Spec(True, 20, 6, True, 5))])
+def test_runs_are_compared_some_seeds_at_a_time(monkeypatch, module, spec):
+    from roadlens.llm import _arrays
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(60)]
+    docs = [(i, f"{i} {base[i % 60]} {i}" if i < 60 else f"{base[i % 60][:200]} {i} {base[i % 60][200:]}") for i in range(180)]
+    seen = []
+
+    def later(w, spec):
+        seen.append(len(w.tokens))
+        return module.later_windows(w, spec)
+
+    def found():
+        chunks = [pa.table({"doc_id": [d for d, _ in part], "text": [t for _, t in part], "tie": pa.array([d for d, _ in part], pa.int64()), "chunk": pa.array([k] * len(part), pa.int32())}) for k, part in enumerate((docs[::2], docs[1::2]))]
+        seeds = pa.concat_tables([_repeats._send_seeds(spec, 1)(c) for c in chunks])
+        answers = _repeats._answer(seeds)
+        own = lambda t, k: t.filter(pa.compute.equal(t["chunk"], k))
+        runs = pa.concat_tables([_repeats._send_contexts(spec, 1)(c, own(answers, k)) for k, c in enumerate(chunks)])
+        told = _repeats._resolve(spec, later)(runs)
+        return [_repeats.Chunk(c, spec).covered(own(told, k)).tolist() for k, c in enumerate(chunks)]
+
+    want, whole = found(), max(seen)
+    assert any(map(any, want))
+    seen.clear()
+    monkeypatch.setattr(_arrays.slices, "__defaults__", (500,))
+    assert found() == want and len(seen) > 3 and max(seen) < whole / 3

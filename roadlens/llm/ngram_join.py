@@ -176,47 +176,62 @@ def features(shingles: Shingles) -> DataFrame:
 
 
 def _sets(shingles: Shingles, wanted: DataFrame) -> DataFrame:
-    """class, set (packed hashes, in order) of the wanted classes (class, rep, key)."""
+    """u, class, set (packed hashes, in order) for each of `to` of the wanted classes (class, rep, key, to).
+
+    Sets are shuffled once, to where they are needed. Rows that repeat another give
+    its set again only from another task.
+    """
     k, key = shingles.k, shingles.key
-    wanted = gathered(wanted)
-    reps = wanted.select("rep", F.col("key").alias("own"))
-    small = wanted.count() <= BROADCAST_IDS
+    wanted = gathered(wanted).select("class", "to", "rep", F.col("key").alias("own"))
+    small = wanted.agg(F.sum(F.size("to"))).first()[0] or 0
     texts = _texts(shingles.docs).withColumn("key", _key())
-    reps = F.broadcast(reps) if small else reps
-    texts = texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]) & (texts["key"] == reps["own"]), "left_semi")
+    wanted = F.broadcast(wanted) if small <= BROADCAST_IDS else wanted
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["key"] == wanted["own"])).select("class", "to", "text")
 
     def run(batches):
+        told: set[int] = set()
         for batch in A.pieces(batches):
+            new = []
+            for name in batch.column("class").to_pylist():
+                new.append(name not in told)
+                told.add(name)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for i, j, row, h in shingle_sets(*A.utf8(batch.column("text")), k, key):
                 n = np.bincount(row - i, minlength=j - i)
                 at = np.append(0, np.cumsum(n))
                 raw = h.tobytes()
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "key": batch.column("key").slice(i, j - i), "set": pa.array([raw[8 * at[r] : 8 * at[r + 1]] for r in range(j - i)], pa.binary())})
+                yield pa.record_batch({"class": batch.column("class").slice(i, j - i), "to": batch.column("to").slice(i, j - i), "set": pa.array([raw[8 * at[r] : 8 * at[r + 1]] for r in range(j - i)], pa.binary())})
 
-    sets = texts.mapInArrow(run, "doc_id long, key binary, set binary")
-    # repeated rows give one set
-    sets = sets.join(wanted.withColumnRenamed("key", "own"), sets["doc_id"].eqNullSafe(F.col("rep")) & (sets["key"] == F.col("own")))
-    return sets.select("class", "set").dropDuplicates(["class"])
+    return texts.mapInArrow(run, "class long, to array<long>, set binary").select(F.explode("to").alias("u"), "class", "set")
 
 
-def _dealt(pairs: DataFrame) -> DataFrame:
+def _dealt(pairs: DataFrame, by: str = "b") -> DataFrame:
     """pairs (a, b, n: size of a's set) and p: what is verified together.
 
-    Pairs are dealt by b, so that a set is sent once for each b it meets at most;
-    the pairs of a b that has very many are divided by a.
+    Pairs are dealt by a column that groups them, so that a set is sent once for each
+    group it is in at most. Groups of very many pairs are dealt by b, and the pairs of a b that
+    has very many are divided by a.
     """
     total = pairs.agg(F.sum("n"), F.count("*")).first()
     deals = max(1, -(-8 * (total[0] or 0) // BLOCK_BYTES), -(-total[1] // BLOCK_PAIRS))
-    many = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
-    many = many.withColumn("parts", F.greatest(F.ceil(8 * F.col("n") / BLOCK_BYTES), F.ceil(F.col("pairs") / BLOCK_PAIRS)))
-    many = gathered(many.filter("parts > 1").select("b", "parts"))
+
+    def large(name: str) -> DataFrame:
+        """What can't be verified together: a row for each BLOCK_BYTES or BLOCK_PAIRS at most."""
+        many = pairs.groupBy(name).agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+        many = many.withColumn("parts", F.greatest(F.ceil(8 * F.col("n") / BLOCK_BYTES), F.ceil(F.col("pairs") / BLOCK_PAIRS)))
+        return F.broadcast(gathered(many.filter("parts > 1").select(name, "parts")))
+
     part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.col("parts")) + 1)
     p = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("b"), F.lit(deals))).otherwise(F.xxhash64("b", part))
-    return pairs.join(many, "b", "left").withColumn("p", p).drop("parts")
+    out = pairs.join(large("b"), "b", "left").withColumn("p", p).drop("parts")
+    if by != "b":
+        p = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64(by), F.lit(deals))).otherwise(F.col("p"))
+        out = out.join(large(by), by, "left").withColumn("p", p).drop("parts")
+    return out
 
 
 def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """What a comparison of the sets of a and b shows, for pairs (a, b, n, weight, pivot): those that are similar, and all whose b is a pivot.
+    """What a comparison of the sets of a and b shows, for pairs (a, b, n, weight, pivot, head: names their group): those that are similar, and all whose b is a pivot.
 
     near: whether they are similar. far_prefix: the differences that a similar
     pair shares one of if its other end isn't near to the pivot; any_prefix, if a isn't near: the same
@@ -224,9 +239,9 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
     """
     percent, table = shingles.percent, shingles.often
     ends = lambda rows, *also: rows.select(*also, F.col("a").alias("class")).union(rows.select(*also, F.col("b").alias("class"))).distinct()
-    sets = _sets(shingles, ends(pairs).join(classes.select("class", "rep", "key"), "class"))
-    keyed = gathered(_dealt(pairs))
-    needed = ends(keyed, F.col("p").alias("u")).join(sets, "class")
+    keyed = gathered(_dealt(pairs, "head"))
+    to = ends(keyed, F.col("p").alias("u")).groupBy("class").agg(F.collect_list("u").alias("to"))
+    needed = _sets(shingles, to.join(classes.select("class", "rep", "key"), "class"))
     schema = "a long, b long, n long, weight double, pivot boolean, near boolean, far_prefix array<long>, any_prefix array<long>"
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -278,9 +293,10 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     least, and then in the shorter ones. They are divided into bands of like sizes (k2): a class is in its own
     band and the next.
     """
-    sent = classes.select(F.explode("prefix").alias("k1"), "class", "n", "weight", (F.col("n") - F.size("prefix")).alias("kept"))
+    sent = classes.select(F.explode("prefix").alias("k1"), "class")
     shared = gathered(sent.groupBy("k1").agg(F.count("*").alias("f")).filter("f > 1"))
-    by_class = sent.join(shared, "k1").groupBy("class").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("f", "k1"))).alias("sent"))
+    by_class = sent.join(shared, "k1").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("f", "k1"))).alias("sent"))
+    by_class = by_class.join(classes.select("class", "n", "weight", (F.col("n") - F.size("prefix")).alias("kept")), "class")
     share = lambda n: F.floor((n * percent + 99) / 100)
     long = F.size(F.filter("sent", lambda s: s["f"] > SHORT))
     # matches of the smallest set that can be similar; larger ones ask for more
@@ -322,9 +338,9 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
         common = F.floor(((F.col("x.n") + F.col("y.n")) * percent + 99 + percent) / (100 + percent))
         swap = F.col("x.class") < F.col("y.class")
         end = lambda c, first: F.when(swap == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-        met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept") - F.least("x.n_long", "y.n_long")).alias("least"))
-        met = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.count("*").alias("met"), F.coalesce(F.min("least"), F.lit(1)).alias("least")).filter("met >= least")
-        return met.select("a", "b", "n", F.lit(0.0).alias("weight"), F.lit(False).alias("pivot"))
+        met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept") - F.least("x.n_long", "y.n_long")).alias("least"), F.col("x.lo").alias("head"))
+        met = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.count("*").alias("met"), F.coalesce(F.min("least"), F.lit(1)).alias("least"), F.min("head").alias("head")).filter("met >= least")
+        return met.select("a", "b", "n", F.lit(0.0).alias("weight"), F.lit(False).alias("pivot"), "head")
 
     for level in range(LEVELS + 1):
         last = level == LEVELS
@@ -332,11 +348,12 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
             lists = cut(lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
         # a list matters if it has two labels, a class in its own band and, if sides are to be joined, both
         heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("weight", "class")).alias("head"))
-        heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", F.col("head.class").alias("pivot")))
-        pairs = candidates(lists.join(heads if last else heads.filter(F.col("f") <= SHORT), ["k1", "k2"], "left_semi"))
+        heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", "lo", F.col("head.class").alias("pivot")))
+        # the least label of a list names the group of its pairs: near copies meet in many lists of much the same members
+        pairs = candidates(lists.join((heads if last else heads.filter(F.col("f") <= SHORT)).select("k1", "k2", "lo"), ["k1", "k2"]))
         if not last:
             long = lists.join(heads.filter(F.col("f") > SHORT), ["k1", "k2"]).filter("class <> pivot")
-            pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight")).withColumn("pivot", F.lit(True)))
+            pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.min("lo").alias("head")).withColumn("pivot", F.lit(True)))
         pairs = gathered(pairs)
         if pairs.isEmpty():
             break

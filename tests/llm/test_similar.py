@@ -205,3 +205,14 @@ def test_leaks_of_few_words(spark, window):
     docs, items = [(i, text(rng.randrange(40))) for i in range(60)], [(i, text(rng.randrange(14))) for i in range(12)]
     got = rows(decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window))
     assert got == sorted(brute.leaks(docs, items, window), key=str)
+
+
+def test_pairs_of_a_group_stay_together(spark, monkeypatch):
+    """A set of a group whose members all meet each other is sent once, not once for each b."""
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 50)
+    pairs = spark.createDataFrame([(100 * g + i, 100 * g + j, 5, 100 * g) for g in range(40) for i in range(8) for j in range(i + 1, 8)], "a long, b long, n long, head long")
+    large = spark.range(1, 400).selectExpr("9000 as a", "9000 + id as b", "5L as n", "9000L as head")
+    dealt = ngram_join._dealt(pairs.union(large), "head").cache()
+    assert dealt.select(pairs.columns).exceptAll(pairs.union(large)).isEmpty() and dealt.count() == 40 * 28 + 399
+    sent = dealt.filter("head < 9000").selectExpr("p", "explode(array(a, b)) as c").distinct().count()
+    assert sent == 40 * 8 and dealt.filter("head = 9000").select("p").distinct().count() > 4

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +171,11 @@ class Chunk(Tokens):
         return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
+def squeeze(text: np.ndarray) -> bytes:
+    """Texts of runs are most of what is shuffled, and Spark's own compression is a light one."""
+    return zstandard.ZstdCompressor(level=1).compress(text.tobytes())
+
+
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
@@ -232,7 +238,7 @@ def _send_contexts(spec: Spec, buckets: int):
             text, _ = A.gather(c.data, begin[i], (end - begin)[i])
             rows.append(
                 {"bucket": b, "chunk": number, "kind": A.pack(whole[i], np.uint32), "seed": seed[i].tobytes(), "doc": c.ids[row[i]].tobytes(), "tie": c.tie[row[i]].tobytes() if spec.within else b""}
-                | {"start": A.pack(place[i], np.int64), "base": A.pack(base[i], np.uint32), "size": A.pack(np.where(odd[i], -size[i], size[i]), np.int32), "bytes": A.pack((end - begin)[i], np.uint32), "text": text.tobytes()}
+                | {"start": A.pack(place[i], np.int64) if spec.within else b"", "base": A.pack(base[i], np.uint32), "size": A.pack(np.where(odd[i], -size[i], size[i]), np.int32), "bytes": A.pack((end - begin)[i], np.uint32), "text": squeeze(text)}
             )
         return _table(rows, _CONTEXTS)
 
@@ -276,7 +282,8 @@ def _resolve(spec: Spec, later: Callable[[Windows, Spec], np.ndarray]):
         size, n = A.unpack(table["size"], np.int32)
         (kind, _), (base, _), (length, _) = (A.unpack(table[c], np.uint32) for c in ("kind", "base", "bytes"))
         (seed, _), (doc, _), (tie, _), (place, _) = A.unpack(table["seed"], U64), A.unpack(table["doc"], np.int64), A.unpack(table["tie"], np.int64), A.unpack(table["start"], np.int64)
-        data, _ = A.unpack(table["text"], np.uint8)
+        place = place if spec.within else np.zeros(len(doc), np.int64)
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["text"].to_pylist()), np.uint8)
         chunk = np.repeat(table["chunk"].to_numpy(), n)
         periodic, size = size < 0, np.abs(size).astype(np.int64)
         t = Tokens(data, np.append(0, np.cumsum(length.astype(np.int64))), spec)

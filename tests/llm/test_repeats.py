@@ -149,3 +149,13 @@ def test_runs_are_compared_some_seeds_at_a_time(monkeypatch, module, spec):
     seen.clear()
     monkeypatch.setattr(_arrays.slices, "__defaults__", (500,))
     assert found() == want and len(seen) > 3 and max(seen) < whole / 3
+
+
+def test_texts_of_runs_are_sent_compressed():
+    text = ("some words that any page has, " * 40).encode()
+    docs = pa.table({"doc_id": [1, 2], "text": [text.decode(), "x" + text.decode()], "tie": [1, 2], "chunk": pa.array([0, 0], pa.int32())})
+    spec = _repeats.Spec(False, 50, 18, False, 5)
+    answers = _repeats._answer(_repeats._send_seeds(spec, 1)(docs))
+    sent = _repeats._send_contexts(spec, 1)(docs, answers)
+    size = np.frombuffer(b"".join(sent["bytes"].to_pylist()), np.uint32).sum()
+    assert 0 < sum(map(len, sent["text"].to_pylist())) < size and set(sent["start"].to_pylist()) == {b""}

@@ -14,7 +14,8 @@ by the differences to it: the shingles that just one of both has. Two that are
 similar to the pivot are connected through it. Of any other similar pair x, y with
 d and e differences to the pivot, (d + e - distance(x, y)) / 2 are the same, at
 least one, so the pair is found by the prefixes of its differences, in lists that
-are short or treated again in the same way. What large groups of copies have in
+are short or treated again in the same way. There it is met only where what is left of both
+ends' differences is enough for the rest, in one of the lists that have the same members. What large groups of copies have in
 common is thereby left out of the comparison.
 
 Hashes are keyed by a number drawn for the job. Classes whose 64-bit names are
@@ -233,7 +234,7 @@ def _dealt(pairs: DataFrame, by: str = "b") -> DataFrame:
 def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """What a comparison of the sets of a and b shows, for pairs (a, b, n, weight, pivot, head: names their group): those that are similar, and all whose b is a pivot.
 
-    near: whether they are similar. far_prefix: the differences that a similar
+    near: whether they are similar. d: how many differences a pivot and its member have. far_prefix: the differences that a similar
     pair shares one of if its other end isn't near to the pivot; any_prefix, if a isn't near: the same
     for an end that may be.
     """
@@ -242,7 +243,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
     keyed = gathered(_dealt(pairs, "head"))
     to = ends(keyed, F.col("p").alias("u")).groupBy("class").agg(F.collect_list("u").alias("to"))
     needed = _sets(shingles, to.join(classes.select("class", "rep", "key"), "class"))
-    schema = "a long, b long, n long, weight double, pivot boolean, near boolean, far_prefix array<long>, any_prefix array<long>"
+    schema = "a long, b long, n long, weight double, pivot boolean, near boolean, d long, far_prefix array<long>, any_prefix array<long>"
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         known = sets["class"].to_numpy()
@@ -251,6 +252,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
         a, b = (order[np.searchsorted(known, pairs[c].to_numpy(), sorter=order)] if len(known) else np.zeros(0, np.int64) for c in ("a", "b"))
         pivot = pairs["pivot"].to_numpy()
         near, told, far_prefix, any_prefix = np.zeros(len(a), bool), pivot.copy(), [[]] * len(a), [[]] * len(a)
+        size = np.zeros(len(a), np.int64)
         for r in range(len(a)):
             x, y = have[a[r]], have[b[r]]
             both = np.concatenate([x, y])
@@ -260,7 +262,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
             if not pivot[r]:
                 told[r] = near[r]
                 continue
-            d = len(both) - 2 * common
+            d = size[r] = len(both) - 2 * common
             # what a similar pair shares at least, if the other end is far from the pivot, and in any case
             any_ = max(1, d - len(x) * (100 - percent) // percent)
             far = max(any_, ((100 + percent) * d + (100 - percent) * (len(y) - len(x))) // (2 * (100 + percent)) + 1)
@@ -273,7 +275,7 @@ def _verified(shingles: Shingles, pairs: DataFrame, classes: DataFrame) -> DataF
         keep = np.flatnonzero(told)
         lists = lambda x: pa.array([x[r] for r in keep.tolist()], pa.list_(pa.int64()))
         out = pairs.select(["a", "b", "n", "weight", "pivot"]).take(pa.array(keep))
-        return out.append_column("near", pa.array(near[keep])).append_column("far_prefix", lists(far_prefix)).append_column("any_prefix", lists(any_prefix))
+        return out.append_column("near", pa.array(near[keep])).append_column("d", pa.array(size[keep])).append_column("far_prefix", lists(far_prefix)).append_column("any_prefix", lists(any_prefix))
 
     return gathered(keyed.groupBy("p").cogroup(needed.groupBy("u")).applyInArrow(run, schema))
 
@@ -308,17 +310,44 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     kept = F.slice("sent", F.lit(1), F.size("sent") - F.least("n_long", F.col("asked") - 1).cast("int"))
     rows = by_class.withColumn("n_long", long).withColumn("asked", asked).select("*", F.inline(kept))
     rows = rows.select("k1", F.posexplode(bands).alias("next", "k2"), "class", "n", "weight", "kept", "n_long")
-    return rows.select("k1", "k2", "class", "n", "weight", "kept", "n_long", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"))
+    return rows.select("k1", "k2", "class", "n", "weight", "kept", "n_long", F.lit(0).alias("side"), (F.col("next") == 0).alias("own"), *_unknown("d", "at"))
 
 
-def _next_lists(found: DataFrame) -> DataFrame:
+def _excess(percent: int) -> Column:
+    """For similar sets, the sum of both ends' excess is 2 * (100 + percent) times what they share of d and e differences at most."""
+    return (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+
+
+def _reach(percent: int) -> Column:
+    """The largest excess of another set that one can still share enough with from a place on; null: any."""
+    return 2 * (100 + percent) * (F.col("d") - F.col("at")) - _excess(percent)
+
+
+def _next_lists(found: DataFrame, percent: int) -> DataFrame:
     """Lists of the classes by pivot (k1) and shared difference (k2): pairs are to be looked for on side 0, or from side 1 to side 2."""
-    company = found.groupBy(F.col("b").alias("pivot_")).agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"))
+    company = found.groupBy(F.col("b").alias("pivot_")).agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"), F.min(_excess(percent)).alias("least_excess"))
     found = found.join(company, F.col("b") == F.col("pivot_")).filter("fars > 1 or fars > 0 and nears > 0")
-    row = lambda tokens, side: found.select("nears", "fars", F.col("b").alias("k1"), F.explode(tokens).alias("k2"), F.col("a").alias("class"), "n", "weight", "near").withColumn("side", F.lit(side))
+    row = lambda tokens, side: found.select("nears", "fars", "least_excess", F.col("b").alias("k1"), F.posexplode(tokens).alias("at", "k2"), F.col("a").alias("class"), "n", "weight", "near", "d").filter(_reach(percent) >= F.col("least_excess")).withColumn("side", F.lit(side))
     rows = row("far_prefix", 0).filter("not near and fars > 1").unionAll(row("any_prefix", 1).filter("not near and nears > 0")).unionAll(row("far_prefix", 2).filter("near"))
     k2 = F.when(F.col("side") == 0, F.col("k2")).otherwise(F.xxhash64("k2"))
-    return rows.select("k1", k2.alias("k2"), "class", "n", "weight", F.lit(None).cast("long").alias("kept"), F.lit(None).cast("int").alias("n_long"), "side", F.lit(True).alias("own"))
+    return rows.select("k1", k2.alias("k2"), "class", "n", "weight", *_unknown("kept", "n_long"), "side", F.lit(True).alias("own"), "d", F.col("at").cast("long").alias("at"))
+
+
+def _unknown(*names: str) -> list[Column]:
+    return [F.lit(None).cast("long").alias(name) for name in names]
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of a list's members that may be similar, a row for each list they meet in.
+
+    By their differences to a pivot, d and e, they meet only where enough is left of
+    both for what a similar pair shares; the first difference that it shares is such a place.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    sides = ((F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.class") < F.col("y.class"))) | ((F.col("x.side") == 1) & (F.col("y.side") == 2))
+    left = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    enough = F.coalesce(2 * left >= F.col("x.d") + F.col("y.d") - F.col("x.n") - F.col("y.n") + 2 * _common("x.n", "y.n", percent), F.lit(True))
+    return x.join(y, (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & sides & (F.col("x.label") != F.col("y.label")) & (F.col("x.own") | F.col("y.own")) & _alike("x.n", "y.n", percent) & enough)
 
 
 def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
@@ -332,10 +361,7 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
 
     def candidates(rows: DataFrame) -> DataFrame:
         """Pairs of short lists, in enough of them: shingles that the one whose last comes first has sent, and that meet nothing, meet nothing at all; long lists may hold the rest."""
-        x, y = rows, rows.alias("y")
-        sides = ((F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.class") < F.col("y.class"))) | ((F.col("x.side") == 1) & (F.col("y.side") == 2))
-        met = x.alias("x").join(y, (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & sides & (F.col("x.label") != F.col("y.label")) & (F.col("x.own") | F.col("y.own")) & _alike("x.n", "y.n", percent))
-        common = F.floor(((F.col("x.n") + F.col("y.n")) * percent + 99 + percent) / (100 + percent))
+        met, common = _met(rows, percent), _common("x.n", "y.n", percent)
         swap = F.col("x.class") < F.col("y.class")
         end = lambda c, first: F.when(swap == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
         met = met.select(end("class", F.lit(True)).alias("a"), end("class", F.lit(False)).alias("b"), end("n", F.lit(True)).alias("n"), (common - F.greatest("x.kept", "y.kept") - F.least("x.n_long", "y.n_long")).alias("least"), F.col("x.lo").alias("head"))
@@ -347,12 +373,17 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
         if level:
             lists = cut(lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
         # a list matters if it has two labels, a class in its own band and, if sides are to be joined, both
-        heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("weight", "class")).alias("head"))
-        heads = cut(heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", "lo", F.col("head.class").alias("pivot")))
+        heads = lists.groupBy("k1", "k2").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("side").alias("from"), F.max("side").alias("to"), F.max("own").alias("some"), F.max(F.struct("weight", "class")).alias("head"), F.bit_xor(F.xxhash64("class", "side")).alias("members"), F.bit_xor(F.xxhash64("side", "class")).alias("check"), F.sum("at").alias("at"), F.min(_excess(percent)).alias("least_excess"))
+        heads = heads.filter("lo <> hi and some and (to = 0 or from < to)").select("k1", "k2", "f", "lo", F.col("head.class").alias("pivot"), "least_excess", "members", "check", "at")
+        if level:  # of differences that the same members of a pivot share, the first comes first for all of them
+            rest = F.struct("k2", "f", "lo", "pivot", "least_excess")
+            heads = heads.groupBy("k1", "members", "check").agg(F.min_by(rest, F.struct("at", "k2")).alias("rest")).select("k1", "rest.*")
+        heads = cut(heads.select("k1", "k2", "f", "lo", "pivot", "least_excess"))
+        within = lambda some: lists.join(some, ["k1", "k2"]).filter(F.coalesce(_reach(percent) >= F.col("least_excess"), F.lit(True)))
         # the least label of a list names the group of its pairs: near copies meet in many lists of much the same members
-        pairs = candidates(lists.join((heads if last else heads.filter(F.col("f") <= SHORT)).select("k1", "k2", "lo"), ["k1", "k2"]))
+        pairs = candidates(within(heads if last else heads.filter(F.col("f") <= SHORT)))
         if not last:
-            long = lists.join(heads.filter(F.col("f") > SHORT), ["k1", "k2"]).filter("class <> pivot")
+            long = within(heads.filter(F.col("f") > SHORT)).filter("class <> pivot")
             pairs = pairs.unionByName(long.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.min("lo").alias("head")).withColumn("pivot", F.lit(True)))
         pairs = gathered(pairs)
         if pairs.isEmpty():
@@ -361,11 +392,16 @@ def similar_classes(shingles: Shingles, found: DataFrame) -> DataFrame:
         links = gathered(links.unionByName(seen.filter("near").select("a", "b")))
         if last:
             break
-        lists = _next_lists(seen.filter("pivot"))
+        lists = _next_lists(seen.filter("pivot"), percent)
         label = components(links).toDF("class", "label")
     return links
 
 
+def _common(x: str, y: str, percent: int) -> Column:
+    """What similar sets of such sizes share at least."""
+    return F.floor(((F.col(x) + F.col(y)) * percent + 99 + percent) / (100 + percent))
+
+
 def _alike(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 

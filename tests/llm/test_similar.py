@@ -99,6 +99,29 @@ def test_groups_by_pivots(spark, monkeypatch, k, percent, levels):
     assert got == sorted(brute.jaccard_groups(docs, k, percent), key=str) and len({r[2] for r in got}) < 150
 
 
+def test_pairs_of_variants_are_not_all_looked_at(spark, monkeypatch):
+    """Variants of one text that lack passages, few of them similar: each difference is in many, still not all pairs are verified."""
+    looked, verified = [], ngram_join._verified
+
+    def counted(shingles, pairs, classes):
+        looked.append(pairs.filter("not pivot").count())
+        return verified(shingles, pairs, classes)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(5):
+            at = rng.randrange(len(words) - 20)
+            del words[at : at + rng.randrange(8, 20)]
+        docs.append((i, " ".join(words)))
+    got = rows(ngram_join.groups(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80))
+    assert got == sorted(brute.jaccard_groups(docs, 5, 80), key=str) and len({r[2] for r in got}) > 100
+    assert sum(looked) < 0.85 * len(docs) * (len(docs) - 1) / 2
+
+
 def test_names_that_collide(spark, documents, corpus, monkeypatch):
     """Sets that share the 64 bits of their name are told apart by the check."""
     names = ngram_join.names

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import secrets
 
@@ -27,6 +28,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: Only glibc has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def job_key() -> int:
@@ -166,12 +169,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches, column: str = "text", most: int = 4 << 20):
     """Record batches cut so that their texts hold about `most` bytes; a longer text stands alone."""
+    give_back()  # an earlier task's
     for batch in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for i, j in slices(np.append(0, np.cumsum(size.astype(np.int64))), most):
             yield batch.slice(i, j - i)
 
 
+def give_back():
+    """Returns to the system what this process has freed but keeps: Python workers are reused, and what idle ones keep counts as well."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
 def ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A column of integer ids; null comes last."""
     return np.asarray(column.cast(pa.int64()).fill_null(int(LAST_ID)).to_numpy(zero_copy_only=False), np.int64)

@@ -11,6 +11,7 @@ the one that fits those rows best is taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U64
-from .components import free
 
 #: The classifier learns from at most this many labelled rows of each kind, those with the least hash of their id, of texts of at most this many bytes.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 5000, 1 << 15
@@ -186,7 +186,9 @@ def _train(batches):
     for batch in batches:
         for toxic, text in zip(batch.column("_toxic").to_pylist(), batch.column("_text").to_pylist(), strict=True):
             texts[toxic == 0].append(text)
+    A.give_back()
     m = fitted(*texts)
+    A.give_back()
     yield pa.record_batch({"ordinary": pa.array([m.ordinary], pa.binary()), "toxic": pa.array([m.toxic], pa.binary()), "weights": pa.array([m.weights.tolist()])})
 
 
@@ -197,6 +199,22 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(bytes(found[0]["ordinary"]), bytes(found[0]["toxic"]), np.array(found[0]["weights"])) if found else fitted([], [])
 
 
+def score(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """The score of a column of texts by a model of the labelled rows of docs: only the texts go to Python, only scores come back."""
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pair = model.value.compressors()
+        for texts in batches:
+            A.give_back()  # the batch before, or an earlier task's
+            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in texts]).reshape(-1, 4)
+            yield pa.array(model.value.score(x))
+        A.give_back()
+
+    made = F.arrow_udf(run, "double")
+    return lambda text: made(text.cast("string"))
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text), by a model of labels (doc_id, toxic).
 
@@ -205,29 +223,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held out. Without toxic and ordinary labels all scores are low. Repeated rows
     give a row each; other columns are never looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
-
-    def run(batches):
-        pair = model.value.compressors()
-        for batch in batches:
-            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in batch.column("text")]).reshape(-1, 4)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(model.value.score(x))})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(docs, labels)(F.col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that aren't predicted to be toxic: each by its own text, whatever its id."""
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
-
-    def run(batches):
-        pair = model.value.compressors()
-        for batch in batches:
-            x = np.array([model.value.features(plain(t.as_py() or ""), pair) for t in batch.column(inside)]).reshape(-1, 4)
-            yield batch.filter(pa.array(model.value.score(x) < LIMIT))
-
-    (inside,) = free(docs, "_text")
-    rows = docs.withColumn(inside, F.col("text").cast("string"))
-    return rows.mapInArrow(run, rows.schema).drop(inside)
+    return docs.filter(score(docs, labels)(docs["text"]) < LIMIT)

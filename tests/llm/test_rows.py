@@ -1,10 +1,15 @@
 """Rows that share an id, have none, collide under a public hash, or whose columns clash."""
 
+import ctypes
+from pathlib import Path
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from roadlens.llm import _arrays as A
 from roadlens.llm import decontamination, line_dedup, mixing, ngram_join, toxicity
 
 #: Pairs of lines that are equal under Spark's xxhash64.
@@ -101,3 +106,23 @@ def test_model_is_trained_in_a_task(spark, monkeypatch):
     got = toxicity.learned(docs, labels)
     assert (got.ordinary, got.toxic, got.weights.tolist()) == (want.ordinary, want.toxic, want.weights.tolist())
     assert toxicity.accepted(docs, labels).count() == 40 and toxicity.scored(docs, labels).count() == 80
+
+
+def test_only_texts_go_to_python(spark):
+    rows = [(i, f"you idiot x{i}", 1) for i in range(40)] + [(100 + i, f"nice day y{i}", 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("age", F.expr("make_interval(0, 1, 0, 2)"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    out = toxicity.accepted(docs, labels)  # Arrow can't carry such intervals
+    assert out.schema == docs.schema and {r["text"] for r in out.select("text", F.col("age").cast("string")).collect()} == {r[1] for r in rows if not r[2]}
+    for df in (out, toxicity.scored(docs, labels)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="not glibc")
+def test_a_reused_worker_gives_memory_back():
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) >> 8
+    blocks = [np.ones(12_000) for _ in range(1000)]
+    full, last = held(), blocks[-1]
+    del blocks
+    assert not list(A.pieces([])) and full - held() > 60 and last.sum() == 12_000

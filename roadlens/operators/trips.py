@@ -70,9 +70,10 @@ def efficiency(trips: DataFrame) -> DataFrame:
 
 
 def fuel_share(trips: DataFrame) -> DataFrame:
-    """A trip's share in its user's fuel, in whole percent."""
-    total = trips.groupBy("user_id").agg(F.sum("fuel_consumed").alias("total"))
-    return trips.join(total, "user_id").select("id", "user_id", F.expr(rounded(ratio("fuel_consumed * 1e2", "total", "0e0"), 0)).alias("share"))
+    """A trip's share in its user's fuel, in whole percent; fuel is added up in order of id, so that halves round alike however the rows are dealt."""
+    own = W.partitionBy("user_id").orderBy("id", "fuel_consumed").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    total = trips.select("id", "user_id", "fuel_consumed", F.sum("fuel_consumed").over(own).alias("total"))
+    return total.select("id", "user_id", F.expr(rounded(ratio("fuel_consumed * 1e2", "total", "0e0"), 0)).alias("share"))
 
 
 def load_gauge(trips: DataFrame) -> DataFrame:

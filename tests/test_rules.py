@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlens.operators import anomaly, scoring, sentiment
+from roadlens.operators import trips as T
 from roadlens.sources import views as V
 
 BASE = dict(id=1, user_id=1, trip_date=None, distance_km=100.0, avg_speed_kmph=60.0, max_speed=100.0, max_rpm=3000, fuel_consumed=5.0, brake_events=5, steering_angle=0.0, angular_velocity=0.0, acceleration=0.0, gear_position=3, tire_pressure=32.0, engine_load=50.0, throttle_position=50.0, brake_pressure=50.0, trip_duration=60.0)
@@ -84,3 +85,12 @@ def test_noise_is_normal_and_fixed(spark, data):
     noise = [(told[0][k] - plain[k]) / spread for k in plain]
     mean = sum(noise) / len(noise)
     assert abs(mean) < 0.1 and abs((sum((x - mean) ** 2 for x in noise) / len(noise)) ** 0.5 - 0.5) < 0.1
+
+
+def test_fuel_is_added_up_in_order_of_id(spark):
+    """20.7 of this fuel is 22.5%, which a sum from the other end rounds to 23."""
+    fuel = [20.7, 16.12, 24.13, 1.42, 19.68, 9.95]
+    rows = trips(spark, *({"fuel_consumed": v} for v in fuel)).orderBy("id", ascending=False).coalesce(1)
+    assert {r["id"]: r["share"] for r in T.fuel_share(rows).collect()}[1] == 22
+    none = T.fuel_share(trips(spark, {"user_id": None, "fuel_consumed": 4.0})).collect()
+    assert [r["share"] for r in none] == [100]
